@@ -121,7 +121,7 @@ def run_pairs(indexed: DataFrame, cap: int) -> DataFrame:
 
 
 def block_pairs(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, close: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
-    """The pairs under keys of more than ``cap`` rows of which ``close(left texts, right texts)`` is true.
+    """The pairs under keys of more than ``cap`` rows where the matrix ``close(left texts, right texts)`` is true.
 
     Such a run is cut into blocks of about ``cap`` rows, and each pair of blocks is compared in a task of its own, so that no
     task holds more than two blocks, however long the run.
@@ -141,12 +141,9 @@ def block_pairs(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: in
         own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
         ids, text = t.column("id").to_numpy(), t.column("text").combine_chunks()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[ids[right] > ids[x]] if i[0] == j[0] else right[ids[right] != ids[x]]
-            y = y[close(text.take(pa.array(np.full(len(y), x))), text.take(pa.array(y)))] if len(y) else y
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        x, y = np.nonzero(close(text.take(pa.array(left)), text.take(pa.array(right))))
+        x, y = ids[left[x]], ids[right[y]]
+        once = x < y if i[0] == j[0] else x != y
+        return pa.table({"a": np.minimum(x, y)[once], "b": np.maximum(x, y)[once]})
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, PAIRS)

@@ -60,8 +60,60 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both, np.bincount(both >> 30, minlength=len(offsets) - 1)
 
 
+#: Two-bit numbers of A, C, G and T; 4 for all other bytes.
+_BASES = np.full(256, 4, np.uint8)
+_BASES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+
+
+def _bit_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets of the 6-letter shingles of texts over A, C, G and T, and which texts hold other letters."""
+    base = _BASES[data]
+    other = np.zeros(len(offsets) - 1, bool)
+    other[np.searchsorted(offsets, np.flatnonzero(base == 4), "right") - 1] = True
+    rows, at = starts(offsets, 6)
+    code = np.zeros(max(len(data) - 5, 0), np.int32)
+    for i in range(6):
+        code = (code << 2) | (base[i : i + len(code)] & 3)
+    seen = np.zeros((len(offsets) - 1, 4096), bool)
+    seen[rows, code[at]] = True
+    return np.packbits(seen, axis=1).view(np.uint64), other
+
+
 def jaccard6(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Size of intersection and union of the 6-letter shingle sets of each pair of texts."""
+    common, union = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    slow = [np.zeros(0, np.int64)]
+    for begin in range(0, len(left), 4096):
+        x, xo = _bit_sets(*flat(left.slice(begin, 4096)))
+        y, yo = _bit_sets(*flat(right.slice(begin, 4096)))
+        common[begin : begin + 4096] = np.bitwise_count(x & y).sum(axis=1)
+        union[begin : begin + 4096] = np.bitwise_count(x | y).sum(axis=1)
+        slow.append(begin + np.flatnonzero(xo | yo))
+    rest = np.concatenate(slow)
+    if len(rest):
+        common[rest], union[rest] = _jaccard6_any(left.take(pa.array(rest)), right.take(pa.array(rest)))
+    return common, union
+
+
+def close_matrix(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
+    """For every text of ``left`` against every one of ``right``: is the similarity of their shingle sets ``least`` or more?"""
+    (x, xo), (y, yo) = _bit_sets(*flat(left)), _bit_sets(*flat(right))
+    nx, ny = np.bitwise_count(x).sum(axis=1), np.bitwise_count(y).sum(axis=1)
+    out = np.zeros((len(left), len(right)), bool)
+    for i in range(len(left)):
+        common = np.bitwise_count(x[i] & y).sum(axis=1)
+        out[i] = (common > 0) & (common >= least * (nx[i] + ny - common))
+    for i in np.flatnonzero(xo):
+        common, union = _jaccard6_any(left.take(pa.array(np.full(len(right), i))), right)
+        out[i] = (common > 0) & (common >= least * union)
+    for j in np.flatnonzero(yo):
+        common, union = _jaccard6_any(left, right.take(pa.array(np.full(len(left), j))))
+        out[:, j] = (common > 0) & (common >= least * union)
+    return out
+
+
+def _jaccard6_any(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts over any of the letters A to Z."""
     a, na = shingle_sets(left)
     b, nb = shingle_sets(right)
     both = np.intersect1d(a, b, assume_unique=True)

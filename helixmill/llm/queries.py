@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import near_copies
+from helixmill.llm import byte_bpe, leaks, near_copies, plain_text
 
 _QUERIES = {"p1_found": near_copies.p1_found, "p1_groups": near_copies.p1_groups}
+_QUERIES |= {"p6_ids": byte_bpe.p6_ids}
+_QUERIES |= {"p7_found": leaks.p7_found, "p7_items": leaks.p7_items, "p7_paraphrases": leaks.p7_paraphrases}
+_QUERIES |= {"p8_found": plain_text.p8_found, "p8_plain": plain_text.p8_plain}
 _SQL: dict[str, str] = {}
 
 
