@@ -76,62 +76,70 @@ def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int
     return df.mapInArrow(run, "key long, id long, hot boolean")
 
 
-def run_pairs(indexed: DataFrame, cap: int) -> DataFrame:
-    """(a, b) of all pairs a < b under a key of at most ``cap`` rows; (id, null) for every row under a longer one."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The rows in pieces that end with a run; of a run longer than a piece, the rest counts as hot."""
-        keep: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if keep is not None:
-                now = tuple(np.concatenate(x) for x in zip(keep, now))
-            if not len(now[0]):
-                continue
-            first = int(np.searchsorted(now[0], now[0][-1]))
-            if len(now[0]) - first > cap + 1:  # the open run is long already: pass its rows on as hot, keep enough to tell
-                tail = np.arange(first + cap + 1, len(now[0]))
-                yield now[0][tail], now[1][tail], np.ones(len(tail), bool)
-                now = tuple(x[: first + cap + 1] for x in now)
-            yield tuple(x[:first] for x in now)
-            keep = tuple(x[first:] for x in now)
+def _runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[list[np.ndarray]]:
+    """The columns (key, id, hot, tags...) in pieces that end with a run; the rest of a run that is long already comes as hot."""
+    keep: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if keep is not None:
-            yield keep
+            now = [np.concatenate(x) for x in zip(keep, now)]
+        n = len(now[0])
+        if not n:
+            continue
+        first = int(np.searchsorted(now[0], now[0][-1]))
+        kept = min(n, first + cap + 1)
+        if kept < n:
+            tail = [x[kept:] for x in now]
+            tail[2] = np.ones(n - kept, bool)
+            yield tail
+        yield [x[:first] for x in now]
+        keep = [x[first:kept] for x in now]
+    if keep is not None:
+        yield keep
+
+
+def run_pairs(indexed: DataFrame, cap: int, allow: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(a, b) of all pairs a < b under a key of at most ``cap`` rows; (id, null) for every row under a longer one.
+
+    ``allow``, of two arrays of the further column ``tag``, keeps only some of the pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, hot in runs(batches):
+        for key, ids, hot, *tags in _runs(batches, cap):
             if not len(key):
                 continue
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n = np.diff(np.r_[at, len(key)])
             marked = hot | np.repeat(n > cap, n)
             for size in np.unique(n[(n > 1) & (n <= cap)]):
-                block = ids[at[n == size][:, None] + np.arange(size)]
+                place = at[n == size][:, None] + np.arange(size)
                 x, y = np.triu_indices(size, 1)
-                a.append(block[:, x].ravel())
-                b.append(block[:, y].ravel())
-            left, right = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-            same = left == right
-            left, right = np.minimum(left, right)[~same], np.maximum(left, right)[~same]
+                x, y = place[:, x].ravel(), place[:, y].ravel()
+                good = ids[x] != ids[y]
+                if allow is not None:
+                    good &= allow(tags[0][x], tags[0][y])
+                a.append(ids[x[good]])
+                b.append(ids[y[good]])
+            x, y = np.concatenate(a), np.concatenate(b)
             hot_ids = np.unique(ids[marked])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[left, hot_ids]), pa.array(np.r_[right, np.zeros(len(hot_ids), np.int64)], mask=np.r_[np.zeros(len(left), bool), np.ones(len(hot_ids), bool)])], ["a", "b"])
+            none = np.r_[np.zeros(len(x), bool), np.ones(len(hot_ids), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(x, y), hot_ids]), pa.array(np.r_[np.maximum(x, y), hot_ids], mask=none)], ["a", "b"])
 
     return indexed.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIRS)
 
 
-def block_pairs(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, close: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
-    """The pairs under keys of more than ``cap`` rows where the matrix ``close(left texts, right texts)`` is true.
+def block_pairs(keys: DataFrame, texts: DataFrame, cap: int, close: Callable[[pa.Array, pa.Array], np.ndarray], over: int | None = None) -> DataFrame:
+    """The pairs under keys of more than ``over`` (``cap``) rows of which the matrix ``close(left texts, right texts)`` is true.
 
-    Such a run is cut into blocks of about ``cap`` rows, and each pair of blocks is compared in a task of its own, so that no
-    task holds more than two blocks, however long the run.
+    ``keys``: (key, id); ``texts``: (id, text). A long run is cut into blocks of about ``cap`` rows, and each pair of blocks is
+    compared in a task of its own, so that no task holds more than two blocks, however long the run.
     """
-    keys = index_rows(df, sign, chunks, distance, 1 << 40).select("key", "id")
-    long = keys.groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("blocks"))
+    long = keys.groupBy("key").count().where(F.col("count") > (cap if over is None else over)).select("key", F.ceil(F.col("count") / cap).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (
         keys.join(long, "key")
-        .join(df, "id")
+        .join(texts, "id")
         .select("key", "id", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "text")
     )

@@ -65,7 +65,7 @@ _BASES = np.full(256, 4, np.uint8)
 _BASES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
-def _bit_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bit_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bit sets of the 6-letter shingles of texts over A, C, G and T, and which texts hold other letters."""
     base = _BASES[data]
     other = np.zeros(len(offsets) - 1, bool)
@@ -84,8 +84,8 @@ def jaccard6(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     common, union = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     slow = [np.zeros(0, np.int64)]
     for begin in range(0, len(left), 4096):
-        x, xo = _bit_sets(*flat(left.slice(begin, 4096)))
-        y, yo = _bit_sets(*flat(right.slice(begin, 4096)))
+        x, xo = bit_sets(*flat(left.slice(begin, 4096)))
+        y, yo = bit_sets(*flat(right.slice(begin, 4096)))
         common[begin : begin + 4096] = np.bitwise_count(x & y).sum(axis=1)
         union[begin : begin + 4096] = np.bitwise_count(x | y).sum(axis=1)
         slow.append(begin + np.flatnonzero(xo | yo))
@@ -97,7 +97,7 @@ def jaccard6(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def close_matrix(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
     """For every text of ``left`` against every one of ``right``: is the similarity of their shingle sets ``least`` or more?"""
-    (x, xo), (y, yo) = _bit_sets(*flat(left)), _bit_sets(*flat(right))
+    (x, xo), (y, yo) = bit_sets(*flat(left)), bit_sets(*flat(right))
     nx, ny = np.bitwise_count(x).sum(axis=1), np.bitwise_count(y).sum(axis=1)
     out = np.zeros((len(left), len(right)), bool)
     for i in range(len(left)):
