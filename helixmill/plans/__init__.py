@@ -1,5 +1,6 @@
 """Registered queries over the given tables, each with its SQL where SQL can say it."""
 
+from helixmill.plans import sequence_queries
 from helixmill.plans.registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries", "sequence_queries"]
