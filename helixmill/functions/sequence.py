@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def c(col: Column | str) -> Column:
 
 def count_of(seq: Column | str, letters: str) -> Column:
     """How many letters of the text are among ``letters``."""
-    return F.length(c(seq)) - F.length(F.regexp_replace(c(seq), f"[{letters}]", ""))
+    return F.length(c(seq)) - F.length(F.translate(c(seq), letters, ""))
 
 
 def gc_fraction(seq: Column | str) -> Column:
@@ -35,13 +37,15 @@ def longest_run(seq: Column | str) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.when(c(seq).isNotNull(), F.lit(0)))
 
 
-def is_dna(seq: Column | str, length: int | None = None) -> Column:
-    return c(seq).rlike("^[ACGT]+$" if length is None else f"^[ACGT]{{{length}}}$")
+def is_dna(seq: Column | str) -> Column:
+    """A text of A, C, G and T alone, not empty."""
+    return (F.length(c(seq)) > 0) & (F.translate(c(seq), "ACGT", "") == "")
 
 
 def eligible(seq: Column | str, length: int = LENGTH, gc_min: int = GC_MIN, gc_max: int = GC_MAX, max_run: int = MAX_RUN) -> Column:
     """A word of the language: its length, alphabet, GC count and longest run all within bounds."""
-    return is_dna(seq, length) & count_of(seq, "GC").between(gc_min, gc_max) & ~c(seq).rlike(rf"(.)\1{{{max_run}}}")
+    runs = reduce(or_, [c(seq).contains(b * (max_run + 1)) for b in "ACGT"])
+    return (F.length(c(seq)) == length) & is_dna(seq) & count_of(seq, "GC").between(gc_min, gc_max) & ~runs
 
 
 def words(text: str, k: int) -> list[str]:
@@ -90,7 +94,7 @@ def score_key(score: Column | str, scale: float = 1e12) -> Column:
 def crc16(hex_text: Column | str) -> Column:
     """CRC-16 (polynomial 0x1021, start 0xffff, not reflected) of the bytes written in hexadecimal; an odd count gets a leading 0."""
     padded = F.when(F.length(c(hex_text)) % 2 == 1, F.concat(F.lit("0"), c(hex_text))).otherwise(c(hex_text))
-    digits = F.transform(F.split(padded, "(?!^)"), lambda d: F.conv(d, 16, 10).cast("int"))
+    digits = F.transform(F.split(padded, "(?!^)(?!$)"), lambda d: F.conv(d, 16, 10).cast("int"))
 
     def nibble(crc: Column, d: Column) -> Column:
         out = crc.bitwiseXOR(F.shiftleft(d, 12))

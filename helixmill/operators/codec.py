@@ -72,7 +72,7 @@ def candidates(df: DataFrame, language: Language, namespace: str) -> DataFrame:
     ``df``: (record_id, payload_rank decimal string, bits). Payloads beyond the domain have null words.
     """
     shape = _shape(language)
-    wide = df.select("record_id", "payload_rank", "bits", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("bits")) - 1)).alias("choice"))
+    wide = df.select("record_id", "payload_rank", "bits", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits)") - 1)).alias("choice"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = Language(*shape)

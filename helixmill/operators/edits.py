@@ -23,5 +23,7 @@ def single_edits(df: DataFrame, seq: str, kinds: tuple[str, ...] = ("substitutio
 
 
 def outcomes(df: DataFrame, group: list[str], edited: str) -> DataFrame:
-    word, fits = eligible(edited), F.length(edited) == LENGTH
-    return df.groupBy(*group).agg(F.count("*").alias("edits"), F.count_if(~fits).alias("wrong_length"), F.count_if(fits & ~word).alias("no_word"), F.count_if(word).alias("accepted"))
+    marked = df.select(*group, (F.length(edited) == LENGTH).alias("_fits"), eligible(edited).alias("_word"))
+    return marked.groupBy(*group).agg(
+        F.count("*").alias("edits"), F.count_if(~F.col("_fits")).alias("wrong_length"), F.count_if(F.col("_fits") & ~F.col("_word")).alias("no_word"), F.count_if("_word").alias("accepted")
+    )

@@ -110,15 +110,15 @@ def feature_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POSITION_SQL = f"""WITH {T.EMITTED}, ok AS (SELECT pool, seq FROM emitted WHERE pool IS NOT NULL AND {T.ELIGIBLE}),
-at AS (SELECT pool, unnest(range(1, 109)) AS position, seq FROM ok)"""
+spots AS (SELECT pool, unnest(range(1, 109)) AS position, seq FROM ok)"""
 
 
 @register(
     "positional_freq",
-    f"{_POSITION_SQL} SELECT pool, CAST(position AS INTEGER) AS position, {', '.join(f'''round(avg(CASE WHEN substr(seq, position, 1) = '{b}' THEN 1.0 ELSE 0.0 END), 6) AS {b.lower()}''' for b in 'ACGT')} FROM at GROUP BY ALL",
+    f"{_POSITION_SQL} SELECT pool, CAST(position AS INTEGER) AS position, {', '.join(f'''round(avg(CASE WHEN substr(seq, position, 1) = '{b}' THEN 1.0 ELSE 0.0 END), 6) AS {b.lower()}''' for b in 'ACGT')} FROM spots GROUP BY ALL",
 )
 def positional_freq(spark: SparkSession, d: str) -> DataFrame:
-    at = T.eligible_emitted(spark, d).select("pool", F.posexplode(F.split("seq", "(?!^)")).alias("position", "base"))
+    at = T.eligible_emitted(spark, d).select("pool", F.posexplode(F.split("seq", "(?!^)(?!$)")).alias("position", "base"))
     share = [F.round(F.avg((F.col("base") == b).cast("double")), 6).alias(b.lower()) for b in "ACGT"]
     return at.groupBy("pool", (F.col("position") + 1).alias("position")).agg(*share)
 
@@ -218,7 +218,7 @@ def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "linear_score",
-    f"WITH {T.GENERATED} SELECT record_id, round(0.9 + 0.002 * gc_count - 0.004 * max_homopolymer - 0.0001 * pairs + 0.00002 * weighted, 9) AS linear FROM generated WHERE gc_count IS NOT NULL AND max_homopolymer IS NOT NULL AND pairs IS NOT NULL AND weighted IS NOT NULL",
+    f"WITH {T.GENERATED} SELECT record_id, round(0.9e0 + 0.002e0 * gc_count + -0.004e0 * max_homopolymer + -0.0001e0 * pairs + 0.00002e0 * weighted, 9) AS linear FROM generated WHERE gc_count IS NOT NULL AND max_homopolymer IS NOT NULL AND pairs IS NOT NULL AND weighted IS NOT NULL",
 )
 def linear_score(spark: SparkSession, d: str) -> DataFrame:
     """A coefficient table as one expression, in table order."""
