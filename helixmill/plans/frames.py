@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.names import digest_key, name_key, normal_sequence
 from helixmill.functions.sequence import eligible
-from helixmill.sources import table
+from helixmill.sources import table as table
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 _NAME = "nullif(lower(trim({}, " + _BLANKS + ")), '')"
