@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL where SQL can say it."""
 
-from helixmill.plans import fiber_queries, sequence_queries
+from helixmill.plans import fiber_queries, sequence_queries, stat_queries, table_queries
 from helixmill.plans.registry import oracle_sql, queries
 
-__all__ = ["fiber_queries", "oracle_sql", "queries", "sequence_queries"]
+__all__ = ["fiber_queries", "oracle_sql", "queries", "sequence_queries", "stat_queries", "table_queries"]
