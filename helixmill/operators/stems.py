@@ -1,7 +1,7 @@
 """Reverse-complement stems of a sequence, and the feature row built on them.
 
 A stem is a stretch of four letters or more whose reverse complement follows it after a loop of three or more. ``stem_burden``
-counts them by anti-diagonals of the pairing matrix, in numpy, one sequence at a time; ``stem_burden_join`` says the same as a
+counts them by anti-diagonals of the pairing matrix, in numpy, for many sequences of one length at a time; ``stem_burden_join`` says the same as a
 join of four-letter words with those of the other strand, extended letter by letter, which SQL can say too.
 """
 
@@ -16,30 +16,55 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
 from helixmill.functions.names import reverse_complement
+from helixmill.sources import spread
 
 STEM, LOOP = 4, 3
 _OUT = "pairs int, weighted int, longest int, least_loop int"
 
 
-def stems_of(text: str) -> tuple[int, int, int, int]:
-    """(stems, letters in them, longest, least loop or -1) of one text over A, C, G and T."""
-    base = np.frombuffer(text.encode(), np.uint8)
-    n = len(base)
+def stems_of(texts: list[str]) -> np.ndarray:
+    """(stems, letters in them, longest, least loop or -1) of each text over A, C, G and T; all of one length."""
+    n = len(texts[0])
+    out = np.zeros((len(texts), 4), np.int64)
+    out[:, 3] = -1
     if n < 2 * STEM + LOOP:
-        return 0, 0, 0, -1
+        return out
+    base = np.frombuffer("".join(texts).encode(), np.uint8).reshape(-1, n)
     other = np.zeros(256, np.uint8)
     other[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
-    pairs = base[:, None] == other[base][None, :]
-    run = np.zeros((n + 1, n + 2), np.int16)  # run[i, j]: paired letters from i up and from j - 1 down
+    back, end = other[base], np.arange(n)
+    run = np.zeros((len(texts), n + 1), np.int16)  # run[:, q + 1]: paired letters from i up and from q down
+    loop = np.full(len(texts), n, np.int64)
     for i in range(n - 1, -1, -1):
-        run[i, 1 : n + 1] = np.where(pairs[i], run[i + 1, :n] + 1, 0)
-    i, q = np.nonzero(run[:n, 1 : n + 1] >= STEM)
-    most = np.minimum(run[i, q + 1], (q - i - LOOP + 1) // 2).astype(np.int64)
-    i, q, most = i[most >= STEM], q[most >= STEM], most[most >= STEM]
-    if not len(most):
-        return 0, 0, 0, -1
-    count = most - STEM + 1
-    return int(count.sum()), int(((STEM + most) * count // 2).sum()), int(most.max()), int((q - i - 2 * most + 1).min())
+        run[:, 1:] = np.where(base[:, i : i + 1] == back, run[:, :-1] + 1, 0)
+        run[:, 0] = 0
+        far = i + 2 * STEM + LOOP - 1
+        if far >= n or not (run[:, far + 1 :] >= STEM).any():
+            continue
+        most = np.minimum(run[:, far + 1 :], (end[far:] - i - LOOP + 1) // 2).astype(np.int64)
+        good = most >= STEM
+        count = np.where(good, most - STEM + 1, 0)
+        out[:, 0] += count.sum(axis=1)
+        out[:, 1] += ((STEM + most) * count // 2).sum(axis=1)
+        out[:, 2] = np.maximum(out[:, 2], np.where(good, most, 0).max(axis=1))
+        loop = np.minimum(loop, np.where(good, end[far:] - i - 2 * most + 1, n).min(axis=1))
+    out[:, 3] = np.where(out[:, 0] > 0, loop, -1)
+    return out
+
+
+def _stems(texts: list[str | None]) -> list[list[int | None]]:
+    out: list[list[int | None]] = [[None] * 4 for _ in texts]
+    order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts[i]))
+    begin = 0
+    while begin < len(order):
+        n = len(texts[order[begin]])
+        stop = begin
+        while stop < len(order) and stop - begin < 512 and len(texts[order[stop]]) == n:
+            stop += 1
+        for i, row in zip(order[begin:stop], stems_of([texts[i] for i in order[begin:stop]]).tolist()):
+            out[i] = row
+        begin = stop
+    return out
 
 
 def stem_burden(df: DataFrame, seq: str) -> DataFrame:
@@ -48,7 +73,7 @@ def stem_burden(df: DataFrame, seq: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(None,) * 4 if t is None else stems_of(t) for t in batch.column(at).to_pylist()]
+            rows = _stems(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in (zip(*rows) if rows else [[]] * 4))], [*names, "pairs", "weighted", "longest", "least_loop"])
 
     return df.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + _OUT)
@@ -71,7 +96,7 @@ def stem_burden_join(df: DataFrame, seq: str) -> DataFrame:
 
 def features(df: DataFrame, seq: str = "seq") -> DataFrame:
     """The feature row of each distinct sequence of 24 letters or more: composition, runs, stems, adapter complementarity."""
-    own = stem_burden(df, seq).withColumnsRenamed({"pairs": "own_pairs", "weighted": "own_weighted", "longest": "own_longest"}).drop("least_loop")
+    own = stem_burden(spread(df), seq).withColumnsRenamed({"pairs": "own_pairs", "weighted": "own_weighted", "longest": "own_longest"}).drop("least_loop")
     full = own.withColumn("_full", F.concat(F.lit(S.LEFT_ADAPTER), F.col(seq), F.lit(S.RIGHT_ADAPTER)))
     full = stem_burden(full, "_full").withColumnsRenamed({"pairs": "full_pairs", "weighted": "full_weighted", "longest": "full_longest"}).drop("least_loop", "_full")
     out = {"gc_deviation": F.abs(S.gc_fraction(seq) - 0.5), "longest_run": S.longest_run(seq)}

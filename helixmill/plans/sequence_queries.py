@@ -14,6 +14,7 @@ from helixmill.functions.names import reverse_complement
 from helixmill.operators import codec, edits, stems
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
+from helixmill.sources import spread
 
 _DNA_SQL = f"WITH {T.EMITTED}, dna AS (SELECT * FROM emitted WHERE {T.DNA})"
 _RC_SQL = "translate(reverse(seq), 'ACGT', 'TGCA')"
@@ -94,7 +95,7 @@ SELECT seq, CAST(count(stem) AS INTEGER) AS pairs, CAST(coalesce(sum(stem), 0) A
 
 @register("stem_burden", STEM_SQL)
 def stem_burden(spark: SparkSession, d: str) -> DataFrame:
-    return stems.stem_burden(T.generated(spark, d).where(S.is_dna("seq")).select("seq").distinct(), "seq")
+    return stems.stem_burden(spread(T.generated(spark, d).where(S.is_dna("seq")).select("seq").distinct()), "seq")
 
 
 @register("stem_burden_join", STEM_SQL)
@@ -162,14 +163,14 @@ def crc16_payload(spark: SparkSession, d: str) -> DataFrame:
 @register("codec_rank")
 def codec_rank(spark: SparkSession, d: str) -> DataFrame:
     """Rank of every codeword in the language as a decimal string, its payload, or why it has none."""
-    return codec.decode(T.emitted(spark, d).select("record_id", "seq", "bits"), Language(), "helixmill-language")
+    return codec.decode(spread(T.emitted(spark, d).select("record_id", "seq", "bits")), Language(), "helixmill-language")
 
 
 @register("codec_roundtrip", f"WITH {T.EMITTED} SELECT pool, count(*) AS words, count(*) AS same FROM emitted WHERE pool IS NOT NULL AND {T.ELIGIBLE} GROUP BY pool")
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Eligible codewords that come back from their rank; all of them, if the codec is right."""
     ok = T.eligible_emitted(spark, d).select("record_id", "pool", "seq")
-    back = codec.roundtrip(ok, Language())
+    back = codec.roundtrip(spread(ok), Language())
     return back.groupBy("pool").agg(F.count("*").alias("words"), F.count_if(F.col("seq") == F.col("again")).alias("same"))
 
 
@@ -177,7 +178,7 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def codec_encode(spark: SparkSession, d: str) -> DataFrame:
     """The best-scored member of each sample's fiber: payload, 2 ** bits candidates, and the choice that scores highest."""
     rows = T.generated(spark, d).where("payload_rank is not null and bits is not null").select("record_id", "payload_rank", "bits")
-    members = codec.candidates(rows, Language(), "helixmill-language")
+    members = codec.candidates(spread(rows), Language(), "helixmill-language")
     key = S.score_key(-F.abs(S.count_of("seq", "GC") - 54) / 108)
     best = F.max_by(F.struct("choice", "seq", key.alias("key")), F.struct(key, -F.col("choice")))
     return members.where("seq is not null").groupBy("record_id", "bits").agg(best.alias("b"), F.count("*").alias("candidates")).select("record_id", "bits", "candidates", "b.choice", "b.seq", "b.key")
@@ -212,7 +213,7 @@ def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
     """Decoder's view of accepted substitutions: within or beyond the payload domain, with or without a valid CRC."""
     words = T.eligible_emitted(spark, d).select("pool", "bits", "seq").distinct()
     near = edits.single_edits(words, "seq", kinds=("substitution",)).where(S.eligible("edited"))
-    status = codec.decode(near.select("pool", F.col("edited").alias("seq"), "bits"), Language(), "helixmill-language")
+    status = codec.decode(spread(near.select("pool", F.col("edited").alias("seq"), "bits")), Language(), "helixmill-language")
     return status.groupBy("pool", "bits", "status").agg(F.count("*").alias("edits"))
 
 

@@ -1,3 +1,3 @@
-from helixmill.sources.tables import materialise, shared_folder, table
+from helixmill.sources.tables import materialise, shared_folder, spread, table
 
-__all__ = ["materialise", "shared_folder", "table"]
+__all__ = ["materialise", "shared_folder", "spread", "table"]

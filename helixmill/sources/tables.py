@@ -35,6 +35,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many partitions as the cluster can work on, for steps that cost much more than their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
