@@ -122,7 +122,7 @@ def run_pairs(indexed: DataFrame, cap: int, allow: Callable[[np.ndarray, np.ndar
                 a.append(ids[x[good]])
                 b.append(ids[y[good]])
             x, y = np.concatenate(a), np.concatenate(b)
-            hot_ids = np.unique(ids[marked])
+            hot_ids = ids[marked]  # once a key: callers count them
             none = np.r_[np.zeros(len(x), bool), np.ones(len(hot_ids), bool)]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(x, y), hot_ids]), pa.array(np.r_[np.maximum(x, y), hot_ids], mask=none)], ["a", "b"])
 
