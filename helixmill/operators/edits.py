@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.sequence import LENGTH, eligible
+from helixmill.sources import spread
 
 
 def single_edits(df: DataFrame, seq: str, kinds: tuple[str, ...] = ("substitution", "insertion", "deletion")) -> DataFrame:
     """``df`` times its edits, with ``kind`` and ``edited``; n letters have 3n, 4(n + 1) and n of them."""
     s, n = F.col(seq), F.length(seq)
     bases = F.array(*[F.lit(b) for b in "ACGT"])
-    wide = df.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    wide = spread(df).withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
     wide = wide.withColumn("_i", F.explode(F.sequence(F.when(F.col("_kind") == "insertion", 0).otherwise(1), n)))
     wide = wide.withColumn("_b", F.explode(F.when(F.col("_kind") == "deletion", F.array(F.lit(""))).otherwise(bases)))
     i = F.col("_i")
