@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -14,7 +15,8 @@ from helixmill.functions.names import reverse_complement
 from helixmill.operators import codec, edits, stems
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
-from helixmill.sources import spread
+from helixmill.sources import shared_folder, spread
+from helixmill.streaming import decode_stream
 
 _DNA_SQL = f"WITH {T.EMITTED}, dna AS (SELECT * FROM emitted WHERE {T.DNA})"
 _RC_SQL = "translate(reverse(seq), 'ACGT', 'TGCA')"
@@ -243,3 +245,14 @@ def affine_permutation(spark: SparkSession, d: str) -> DataFrame:
     rows = T.generated(spark, d).where("payload_rank is not null").select("payload_rank", "bits").distinct()
     spread = rows.mapInArrow(run, "bits int, physical string, back boolean")
     return spread.groupBy("bits").agg(F.count("*").alias("payloads"), F.count_if("back").alias("back"), F.countDistinct("physical").alias("ranks"))
+
+
+@register("stream_decode")
+def stream_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The codewords read as a stream, each record decoded once, up to what is there now."""
+    schema = T.table(spark, d, "emitted_crc16_codewords").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/emitted_crc16_codewords*")
+    folder = f"{shared_folder(spark)}/helixmill-stream-{uuid.uuid4().hex}"
+    decoded = decode_stream(stream, Language(), "helixmill-language")
+    decoded.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(decoded.schema).parquet(f"{folder}/rows")

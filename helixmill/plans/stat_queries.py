@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
-from helixmill.operators import ridge, separation, stats
+from helixmill.operators import fibers as B
+from helixmill.operators import logistic, ridge, separation, stats
 from helixmill.operators.positions import average_ranks, positions
 from helixmill.plans import frames as T
 from helixmill.plans.fiber_queries import measured, whole
-from helixmill.operators import fibers as B
 from helixmill.plans.registry import register
+from helixmill.sources import materialise
 
 _SCORED = f"{T.GENERATED}, ok AS (SELECT * FROM generated WHERE pool IS NOT NULL AND isfinite(score) AND isfinite(cross_))"
 
@@ -261,3 +264,60 @@ def hamming_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The nearest other word of every word whose id is divisible by 20, the query set, against all words."""
     words = _words(spark, d)
     return separation.nearest(words.where("id % 20 = 0"), words, "id", "seq", S.LENGTH)
+
+
+@register("logistic_transfer")
+def logistic_transfer(spark: SparkSession, d: str) -> DataFrame:
+    """Low-efficiency risk fitted on one direction and tried on all others of the same target: rows, events, Brier score."""
+    rows = _labelled(spark, d).select("direction", ((F.col("prediction") - 1) * 1000).alias("x"), (F.col("choice") / 4).alias("c"), "event").where("c is not null")
+    rows = materialise(rows, "logistic")
+    models = logistic.fit(rows, "direction", ["x", "c"], "event")
+    names = F.array(*[F.lit(n) for n in sorted(models)])
+    pairs = rows.withColumnRenamed("direction", "tried").withColumn("fitted", F.explode(names)).where("fitted <> tried")
+    pairs = pairs.where(F.element_at(F.split("fitted", "_to_"), -1) == F.element_at(F.split("tried", "_to_"), -1))
+    p = logistic.probability(models, "fitted", ["x", "c"])
+    return pairs.groupBy("fitted", "tried").agg(F.count("*").alias("n"), F.sum(F.col("event").cast("long")).alias("events"), F.round(F.avg((p - F.col("event")) ** 2), 9).alias("brier"))
+
+
+_RESAMPLES = 20
+
+
+def _poisson(unit: Column) -> Column:
+    """A Poisson(1) count from a uniform number: the weight of a row in a bootstrap resample."""
+    out, below = F.lit(6), [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(6)]
+    for k in reversed(range(6)):
+        out = F.when(unit < below[k], F.lit(k)).otherwise(out)
+    return out
+
+
+@register("two_stage_bootstrap")
+def two_stage_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Both stages resampled: the source pool's ridge model is refitted, then the target pool's fibers are drawn again.
+
+    Weights come from hashes of replicate and record, so any partitioning gives the same replicates. Each pass over the samples
+    handles all replicates; the driver solves one small system for each source pool and replicate.
+    """
+    rows = materialise(_scored(spark, d).na.drop(subset=_FEATURES).where("digest is not null").select("record_id", "pool", "digest", *_FEATURES, "score", "cross"), "two-stage")
+    replicate = F.explode(F.sequence(F.lit(0), F.lit(_RESAMPLES - 1))).alias("replicate")
+    unit = F.pmod(F.xxhash64(F.lit("source"), "replicate", "record_id"), F.lit(1 << 30)) / (1 << 30)
+    drawn = rows.select("*", replicate).withColumn("w", F.sqrt(_poisson(unit).cast("double"))).where("w > 0")
+    names = ["one", *_FEATURES, "score"]
+    cols = {"one": F.col("w")} | {c: F.col("w") * F.col(c) for c in names[1:]}
+    sums = [F.sum(cols[a] * cols[b]).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]]
+    models = []
+    for r in drawn.groupBy("pool", "replicate").agg(*sums).collect():  # one row a pool and replicate
+        _, beta = ridge.solve(ridge.gram(r.asDict(), _FEATURES, "score"), 1.0)
+        models.append((r["pool"], r["replicate"], *map(float, beta)))
+    fitted = spark.createDataFrame(models, "source string, replicate int, " + ", ".join(f"b_{f} double" for f in _FEATURES))
+    ways = T.table(spark, d, "public_fiber_results").select("direction", F.lower(F.trim("source_pool")).alias("source"), F.lower(F.trim("target_pool")).alias("pool")).distinct()
+    cut = B.whole_fibers(B.fibers(B.codebook(rows, ["pool"], "digest", "two-stage", "record_id"), 4), ["pool"], 4)
+    line = sum((F.col(f"b_{f}") * F.col(f) for f in _FEATURES[1:]), F.col(f"b_{_FEATURES[0]}") * F.col(_FEATURES[0]))
+    tried = cut.join(ways, "pool").join(fitted, "source").withColumn("predicted", line)
+    picked = B.gains(tried, ["direction", "replicate"], "predicted", "cross")
+    unit = F.pmod(F.xxhash64(F.lit("fiber"), "replicate", "direction", "fiber"), F.lit(1 << 30)) / (1 << 30)
+    per = picked.withColumn("w", _poisson(unit)).groupBy("direction", "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("gain")), F.sum("w")).alias("gain"))
+    q = F.percentile("gain", [0.025, 0.5, 0.975])
+    return per.groupBy("direction").agg(
+        F.count("*").alias("replicates"), F.round(F.avg("gain"), 9).alias("mean"), F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("median"), F.round(q[2], 9).alias("high"),
+        F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
+    )

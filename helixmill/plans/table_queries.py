@@ -135,12 +135,12 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "gain_groups",
-    f"WITH {_RUNS} SELECT pool, model, bits, count(*) AS n, min(gain) AS least, round(quantile_cont(gain, 0.5), 9) AS median, max(gain) AS most, round(avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(ties) AS BIGINT) AS ties, min(gap) AS gap FROM runs WHERE isfinite(gain) GROUP BY ALL",
+    f"WITH {_RUNS} SELECT pool, model, bits, count(*) AS n, min(gain) AS least, round(quantile_cont(gain, 0.5), 12) AS median, max(gain) AS most, round(avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(ties) AS BIGINT) AS ties, min(gap) AS gap FROM runs WHERE isfinite(gain) GROUP BY ALL",
 )
 def gain_groups(spark: SparkSession, d: str) -> DataFrame:
     """Minimum, median and maximum of gains per setting, the share above zero, and the determinism sums."""
     return _runs(spark, d).where(S.finite("gain")).groupBy("pool", "model", "bits").agg(
-        F.count("*").alias("n"), F.min("gain").alias("least"), F.round(F.percentile("gain", 0.5), 9).alias("median"), F.max("gain").alias("most"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
+        F.count("*").alias("n"), F.min("gain").alias("least"), F.round(F.percentile("gain", 0.5), 12).alias("median"), F.max("gain").alias("most"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
         F.sum("changed").alias("changed"), F.sum("ties").alias("ties"), F.min("gap").alias("gap"),
     )
 
@@ -269,3 +269,47 @@ def score_windows(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("direction", "payload")
     rows = T.public(spark, d).where(F.col("direction").isNotNull() & S.finite("prediction"))
     return rows.select("record_id", "direction", F.round(F.avg("prediction").over(w), 9).alias("fiber_mean"), F.round(F.var_pop("prediction").over(w), 12).alias("fiber_variance"))
+
+
+_RULES = {
+    "bits_add_up": "payload_bits_after_selection = base_fixed_payload_bits - selector_bits",
+    "width_is_a_power": "candidates_per_payload = pow(2, selector_bits)",
+    "own_shares_add_up": "abs(own_model_negative_gain_fraction + own_model_zero_gain_fraction + fibers_improved_in_own_model_fraction - 1) <= 5e-6",
+    "cross_shares_add_up": "abs(cross_model_negative_gain_fraction + cross_model_zero_gain_fraction + fibers_improved_in_cross_model_fraction - 1) <= 5e-6",
+    "interval_holds_the_mean": "own_model_mean_gain_vs_fiber >= own_gain_ci_2p5 AND own_model_mean_gain_vs_fiber <= own_gain_ci_97p5",
+    "quantiles_ascend": "cross_model_gain_q25 <= cross_model_gain_median AND cross_model_gain_median <= cross_model_gain_q75",
+    "round_trips": "selected_roundtrip_failures = 0",
+}
+
+
+@register(
+    "claim_checks",
+    " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS rows_, count(*) FILTER ({r}) AS held, count(*) FILTER (NOT ({r})) AS broken FROM (SELECT DISTINCT * EXCLUDE (ingested_at) FROM generated_fiber_results)" for n, r in _RULES.items()),
+)
+def claim_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How many results keep each rule, in one pass; nulls neither keep nor break one."""
+    t = T.table(spark, d, "generated_fiber_results").drop("ingested_at").distinct()
+    sums = [F.count_if(F.expr(r)).alias(f"h_{n}") for n, r in _RULES.items()] + [F.count_if(~F.expr(r)).alias(f"b_{n}") for n, r in _RULES.items()]
+    rows = F.array(*[F.struct(F.lit(n).alias("rule"), F.col("rows_"), F.col(f"h_{n}").alias("held"), F.col(f"b_{n}").alias("broken")) for n in _RULES])
+    return t.agg(F.count("*").alias("rows_"), *sums).select(F.inline(rows))
+
+
+@register(
+    "first_missing_rank",
+    f"WITH {T.PUBLIC}, r AS (SELECT DISTINCT direction, base_rank FROM public_ WHERE direction IS NOT NULL AND base_rank IS NOT NULL), c AS (SELECT direction, base_rank + 1 AS rank FROM r UNION SELECT direction, 0 FROM r) SELECT direction, min(rank) AS first_missing FROM c ANTI JOIN r ON c.direction = r.direction AND c.rank = r.base_rank GROUP BY direction",
+)
+def first_missing_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The least rank of each direction that no record has."""
+    ranks = T.public(spark, d).where("direction is not null and base_rank is not null").select("direction", "base_rank").distinct()
+    tries = ranks.select("direction", F.explode(F.array(F.lit(0).cast("long"), F.col("base_rank") + 1)).alias("base_rank"))
+    return tries.join(ranks, ["direction", "base_rank"], "left_anti").groupBy("direction").agg(F.min("base_rank").alias("first_missing"))
+
+
+@register(
+    "library_sizes",
+    f"WITH {T.EMITTED} SELECT library_id, count(*) AS rows_, CAST(sum(length(seq)) AS BIGINT) AS letters, count(DISTINCT seq) AS distinct_seqs FROM emitted WHERE seq IS NOT NULL GROUP BY library_id",
+)
+def library_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Size of each library: records, letters and distinct sequences."""
+    rows = T.emitted(spark, d).where("seq is not null")
+    return rows.groupBy("library_id").agg(F.count("*").alias("rows_"), F.sum(F.length("seq")).cast("long").alias("letters"), F.countDistinct("seq").alias("distinct_seqs"))

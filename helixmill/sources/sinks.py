@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
-def _general(v, digits):
-    return v.combine(digits, lambda x, n: None if x is None or x != x else f"%.{int(n)}g" % x)
+def _general(numbers: pd.Series, digits: int) -> pd.Series:
+    return numbers.map(lambda x: f"%.{digits}g" % x, na_action="ignore").where(numbers.notna(), None)
 
 
 def general(col: Column, digits: int) -> Column:
     """A number as ``%.<digits>g`` writes it, without trailing zeros; null and NaN are null."""
-    return _general(col.cast("double"), F.lit(digits))
+
+    def text(numbers: pd.Series) -> pd.Series:
+        return _general(numbers, digits)
+
+    return F.pandas_udf(text, T.StringType())(col.cast("double"))
 
 
 def write_text_table(df: DataFrame, path: str, digits: int = 12, sep: str = "\t") -> None:
@@ -33,7 +37,7 @@ def write_json(rows: dict, path: str, spark: SparkSession) -> None:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file under ``folder``, hashed by Spark; hidden files and the manifest itself stay out."""
+    """(path, bytes, sha256) of every file under ``folder``, hashed by Spark; hidden and empty files and the manifest itself stay out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_replace("path", "^file:/*", "/")
     return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), git_blob(F.col("content"), F.col("length")).alias("git_blob")).where(

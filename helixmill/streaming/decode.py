@@ -15,6 +15,7 @@ def decode_stream(stream: DataFrame, language: Language, namespace: str, late: s
 
     A record delivered again within the watermark counts once; its state is dropped after that.
     """
+    stream = stream.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
     once = stream.withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(["record_id"])
     words = once.select("record_id", normal_sequence("sequence").alias("seq"), F.col("selector_bits").alias("bits"))
     return decode(words, language, namespace)
