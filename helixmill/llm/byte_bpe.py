@@ -1,7 +1,7 @@
 """Problem 6: token ids of every text by a public byte-level BPE vocabulary.
 
 Each short word keeps a contiguous array of part boundaries and one of the ranks of adjacent parts; the least rank is found by
-a scan, its boundary is deleted, and the ranks beside it are refreshed. Words of over ``SHORT`` bytes, where the scans would
+a scan, its boundary is deleted, and the ranks beside it are refreshed. Words of over 64 bytes, where the scans would
 be quadratic, take the same merges in the same order from a heap. Spark reads and splits the texts; a task keeps the ids of
 the words it met, a bounded number of them, so that a common word is merged once a task.
 """
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +23,7 @@ from helixmill.sources import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT = 512
+SHORT, KEPT = 64, 512
 CACHED_WORDS = 1 << 19
 _NONE = 1 << 60
 
@@ -34,6 +33,11 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The merges of a word, least rank first, the leftmost of equal ranks first.
+
+    Equal pairs have equal ranks, so after one scan for the minimum the next places of the same rank follow without another,
+    unless a refreshed rank is less.
+    """
     get = ranks.get
     bounds = list(range(len(word) + 1))
     near = [get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
@@ -42,11 +46,21 @@ def merge_short(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         if least == _NONE:
             break
         i = near.index(least)
-        del bounds[i + 1], near[i]
-        if i:
-            near[i - 1] = get(word[bounds[i - 1] : bounds[i + 1]], _NONE)
-        if i < len(near):
-            near[i] = get(word[bounds[i] : bounds[i + 2]], _NONE)
+        while True:
+            del bounds[i + 1], near[i]
+            less = False
+            if i:
+                near[i - 1] = r = get(word[bounds[i - 1] : bounds[i + 1]], _NONE)
+                less = r < least
+            if i < len(near):
+                near[i] = r = get(word[bounds[i] : bounds[i + 2]], _NONE)
+                less = less or r < least
+            if less:
+                break
+            try:
+                i = near.index(least, i)
+            except ValueError:
+                break
     return tuple(ranks[word[a:b]] for a, b in zip(bounds, bounds[1:]))
 
 
@@ -89,7 +103,7 @@ class WordIds(dict):
             ids: tuple[int, ...] = (whole,)
         else:
             ids = merge_short(raw, self.ranks) if len(raw) <= SHORT else merge_long(raw, self.ranks)
-        if len(raw) <= SHORT:
+        if len(raw) <= KEPT:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
@@ -112,11 +126,13 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id"
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                lists = [list(chain.from_iterable(map(get, split(t)))) if t else [] for t in part.column(1).to_pylist()]
-                offsets = np.zeros(len(lists) + 1, np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, offsets[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
+                flat: list[int] = []
+                ends = [0]
+                for t in part.column(1).to_pylist():
+                    if t:
+                        flat.extend(chain.from_iterable(map(get, split(t))))
+                    ends.append(len(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
