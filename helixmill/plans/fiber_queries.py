@@ -15,7 +15,7 @@ _G = ["direction"]
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    return T.public(spark, d).where(F.col("direction").isNotNull() & F.col("digest").isNotNull() & S.finite("outcome") & S.finite("prediction"))
+    return T.public(spark, d, "direction", "digest", "choice", "outcome", "event", "prediction").where(F.col("direction").isNotNull() & F.col("digest").isNotNull() & S.finite("outcome") & S.finite("prediction"))
 
 
 def book(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ def bottom2pct_label(spark: SparkSession, d: str) -> DataFrame:
 def hard_filter(spark: SparkSession, d: str) -> DataFrame:
     share = F.col("gc_count") / 108
     ok = (share > 0.4) & (share < 0.6) & (F.col("max_homopolymer") < 5) & (F.col("weighted") < 150)
-    return T.generated(spark, d).where("pool is not null").groupBy("pool").agg(F.count("*").alias("rows_"), F.count_if(ok).alias("passed"))
+    return T.generated(spark, d, "pool", "gc_count", "max_homopolymer", "weighted").where("pool is not null").groupBy("pool").agg(F.count("*").alias("rows_"), F.count_if(ok).alias("passed"))
 
 
 @register(
@@ -219,7 +219,7 @@ def retention_rate_penalty(spark: SparkSession, d: str) -> DataFrame:
 )
 def public_decode(spark: SparkSession, d: str) -> DataFrame:
     """Payload and choice from the base rank, beside those delivered."""
-    t = T.public(spark, d).where("bits is not null")
+    t = T.public(spark, d, "direction", "bits", "base_rank", "payload", "choice", "decoded_payload").where("bits is not null")
     up = F.expr("shiftleft(1L, bits)")
     return t.groupBy("direction", "bits").agg(
         F.count("*").alias("rows_"), F.count_if(F.expr("shiftright(base_rank, bits)") == F.col("payload")).alias("payload_fits"),

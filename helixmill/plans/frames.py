@@ -15,32 +15,40 @@ _DIGEST = "nullif(trim(regexp_replace(lower(trim({}, " + _BLANKS + ")), '^(sha25
 _SEQ = "replace(upper(regexp_replace({}, '[^A-Za-z]', '', 'g')), 'U', 'T')"
 
 
-def emitted(spark: SparkSession, data_dir: str) -> DataFrame:
+def _once(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each record once, with the columns asked for; only those are read and shuffled, since a delivery repeats its row in full."""
+    return (rows.select("record_id", *[c for c in columns if c != "record_id"]) if columns else rows).distinct()
+
+
+def emitted(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
     t = table(spark, data_dir, "emitted_crc16_codewords")
-    return t.select(
+    rows = t.select(
         "record_id", name_key("selector_source_pool").alias("pool"), "library_id", F.col("selector_model").alias("model"), F.col("selector_bits").alias("bits"),
         F.col("message_sample_index").alias("sample"), "message_hex", "payload_hex", F.col("selected_choice_index").alias("choice"),
         normal_sequence("sequence").alias("seq"), digest_key("sequence_sha256").alias("digest"), F.col("fullcontext_score").alias("score"), "batch_no",
-    ).distinct()
+    )
+    return _once(rows, columns)
 
 
-def generated(spark: SparkSession, data_dir: str) -> DataFrame:
+def generated(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
     t = table(spark, data_dir, "generated_selected_samples")
-    return t.select(
+    rows = t.select(
         "record_id", name_key("selector_source_pool").alias("pool"), F.col("selector_model").alias("model"), F.col("selector_bits").alias("bits"), "payload_rank",
         F.col("choice_index").alias("choice"), "physical_rank", normal_sequence("sequence").alias("seq"), digest_key("sequence_sha256").alias("digest"), "gc_count", "max_homopolymer",
         F.col("variable_candidate_pairs").alias("pairs"), F.col("variable_weighted_pairs").alias("weighted"), F.col("source_model_score").alias("score"),
         F.col("cross_model_score").alias("cross"), "rerank", "decoded_payload",
-    ).distinct()
+    )
+    return _once(rows, columns)
 
 
-def public(spark: SparkSession, data_dir: str) -> DataFrame:
+def public(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
     t = table(spark, data_dir, "public_fiber_selected_samples")
-    return t.select(
+    rows = t.select(
         "record_id", name_key("direction").alias("direction"), F.col("selector_model").alias("model"), F.col("selector_bits").alias("bits"), F.col("payload_rank").alias("payload"),
         F.col("choice_index").alias("choice"), "base_rank", digest_key("sequence_sha256").alias("digest"), F.col("observed_relative_efficiency").alias("outcome"),
         F.col("observed_low_efficiency_label").alias("event"), F.col("source_only_prediction").alias("prediction"), "rerank", "decoded_payload", "batch_no",
-    ).distinct()
+    )
+    return _once(rows, columns)
 
 
 EMITTED = f"""emitted AS (SELECT DISTINCT record_id, {_NAME.format("selector_source_pool")} AS pool, library_id, selector_model AS model, selector_bits AS bits,
@@ -58,8 +66,8 @@ GC = "(length(seq) - length(translate(seq, 'GC', '')))"
 ELIGIBLE = f"regexp_matches(seq, '^[ACGT]{{108}}$') AND {GC} BETWEEN 49 AND 59 AND NOT regexp_matches(seq, 'AAAA|CCCC|GGGG|TTTT')"
 
 
-def eligible_emitted(spark: SparkSession, data_dir: str) -> DataFrame:
-    return emitted(spark, data_dir).where(eligible("seq") & F.col("pool").isNotNull())
+def eligible_emitted(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
+    return emitted(spark, data_dir, "pool", "seq", *columns).where(eligible("seq") & F.col("pool").isNotNull())
 
 
 #: Candidates with a finite score and outcome, for the fibers of a direction.

@@ -23,17 +23,17 @@ _RC_SQL = "translate(reverse(seq), 'ACGT', 'TGCA')"
 
 
 def _dna(spark: SparkSession, d: str) -> DataFrame:
-    return T.emitted(spark, d).where(S.is_dna("seq"))
+    return T.emitted(spark, d, "seq").where(S.is_dna("seq"))
 
 
 @register("eligible_filter", f"WITH {T.EMITTED} SELECT record_id, pool FROM emitted WHERE {T.ELIGIBLE}")
 def eligible_filter(spark: SparkSession, d: str) -> DataFrame:
-    return T.emitted(spark, d).where(S.eligible("seq")).select("record_id", "pool")
+    return T.emitted(spark, d, "pool", "seq").where(S.eligible("seq")).select("record_id", "pool")
 
 
 @register("normal_sequence", f"WITH {T.EMITTED} SELECT record_id, seq, digest, sha256(seq) = digest AS digest_fits FROM emitted")
 def normal_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return T.emitted(spark, d).select("record_id", "seq", "digest", (F.sha2("seq", 256) == F.col("digest")).alias("digest_fits"))
+    return T.emitted(spark, d, "seq", "digest").select("record_id", "seq", "digest", (F.sha2("seq", 256) == F.col("digest")).alias("digest_fits"))
 
 
 @register("gc_fraction", f"{_DNA_SQL} SELECT record_id, {T.GC} / length(seq) AS gc, -abs({T.GC} - 54) / 108 AS toy_score FROM dna")
@@ -97,18 +97,18 @@ SELECT seq, CAST(count(stem) AS INTEGER) AS pairs, CAST(coalesce(sum(stem), 0) A
 
 @register("stem_burden", STEM_SQL)
 def stem_burden(spark: SparkSession, d: str) -> DataFrame:
-    return stems.stem_burden(spread(T.generated(spark, d).where(S.is_dna("seq")).select("seq").distinct()), "seq")
+    return stems.stem_burden(spread(T.generated(spark, d, "seq").where(S.is_dna("seq")).select("seq").distinct()), "seq")
 
 
 @register("stem_burden_join", STEM_SQL)
 def stem_burden_join(spark: SparkSession, d: str) -> DataFrame:
-    return stems.stem_burden_join(T.generated(spark, d).where(S.is_dna("seq")).select("seq").distinct(), "seq")
+    return stems.stem_burden_join(T.generated(spark, d, "seq").where(S.is_dna("seq")).select("seq").distinct(), "seq")
 
 
 @register("feature_row")
 def feature_row(spark: SparkSession, d: str) -> DataFrame:
     """The twenty features of every sample, computed once a distinct sequence."""
-    rows = T.generated(spark, d).where(S.is_dna("seq") & (F.length("seq") >= S.BOUNDARY))
+    rows = T.generated(spark, d, "seq").where(S.is_dna("seq") & (F.length("seq") >= S.BOUNDARY))
     return rows.select("record_id", "seq").join(stems.features(rows.select("seq").distinct()), "seq").drop("seq")
 
 
@@ -156,7 +156,7 @@ SELECT record_id, CAST(crc AS INTEGER) AS crc, '0x' || raw || lower(lpad(hex(crc
 )
 def crc16_payload(spark: SparkSession, d: str) -> DataFrame:
     """CRC of each message, and whether message and CRC make the payload."""
-    raw = T.emitted(spark, d).where("message_hex is not null").select("record_id", "payload_hex", F.lower(F.expr("substr(message_hex, 3)")).alias("raw"))
+    raw = T.emitted(spark, d, "message_hex", "payload_hex").where("message_hex is not null").select("record_id", "payload_hex", F.lower(F.expr("substr(message_hex, 3)")).alias("raw"))
     with_crc = raw.withColumn("crc", S.crc16("raw"))
     made = F.concat(F.lit("0x"), F.col("raw"), F.lpad(F.lower(F.hex("crc")), 4, "0"))
     return with_crc.select("record_id", "crc", (made == F.lower("payload_hex")).alias("fits"))
@@ -165,7 +165,7 @@ def crc16_payload(spark: SparkSession, d: str) -> DataFrame:
 @register("codec_rank")
 def codec_rank(spark: SparkSession, d: str) -> DataFrame:
     """Rank of every codeword in the language as a decimal string, its payload, or why it has none."""
-    return codec.decode(spread(T.emitted(spark, d).select("record_id", "seq", "bits")), Language(), "helixmill-language")
+    return codec.decode(spread(T.emitted(spark, d, "seq", "bits").select("record_id", "seq", "bits")), Language(), "helixmill-language")
 
 
 @register("codec_roundtrip", f"WITH {T.EMITTED} SELECT pool, count(*) AS words, count(*) AS same FROM emitted WHERE pool IS NOT NULL AND {T.ELIGIBLE} GROUP BY pool")
@@ -179,7 +179,7 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @register("codec_encode")
 def codec_encode(spark: SparkSession, d: str) -> DataFrame:
     """The best-scored member of each sample's fiber: payload, 2 ** bits candidates, and the choice that scores highest."""
-    rows = T.generated(spark, d).where("payload_rank is not null and bits is not null").select("record_id", "payload_rank", "bits")
+    rows = T.generated(spark, d, "payload_rank", "bits").where("payload_rank is not null and bits is not null").select("record_id", "payload_rank", "bits")
     members = codec.candidates(spread(rows), Language(), "helixmill-language")
     key = S.score_key(-F.abs(S.count_of("seq", "GC") - 54) / 108)
     best = F.max_by(F.struct("choice", "seq", key.alias("key")), F.struct(key, -F.col("choice")))
@@ -190,7 +190,7 @@ def codec_encode(spark: SparkSession, d: str) -> DataFrame:
 def codec_encode_decode(spark: SparkSession, d: str) -> DataFrame:
     """Emitted words decoded again: per selector width, the payloads and choices that come back."""
     sent = codec_encode(spark, d).withColumnRenamed("choice", "sent")
-    rows = T.generated(spark, d).select("record_id", F.col("payload_rank").alias("payload_sent"))
+    rows = T.generated(spark, d, "payload_rank").select("record_id", F.col("payload_rank").alias("payload_sent"))
     back = codec.decode(sent.select("record_id", "seq", "bits", "sent"), Language(), "helixmill-language").join(rows, "record_id")
     same = (F.col("payload") == F.col("payload_sent")) & (F.col("choice") == F.col("sent"))
     return back.groupBy("bits").agg(F.count("*").alias("words"), F.count_if(same).alias("same"))
@@ -213,7 +213,7 @@ def single_edit_enumeration(spark: SparkSession, d: str) -> DataFrame:
 @register("edit_decode_status")
 def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
     """Decoder's view of accepted substitutions: within or beyond the payload domain, with or without a valid CRC."""
-    words = T.eligible_emitted(spark, d).select("pool", "bits", "seq").distinct()
+    words = T.eligible_emitted(spark, d, "bits").select("pool", "bits", "seq").distinct()
     near = edits.single_edits(words, "seq", kinds=("substitution",)).where(S.eligible("edited"))
     status = codec.decode(spread(near.select("pool", F.col("edited").alias("seq"), "bits")), Language(), "helixmill-language")
     return status.groupBy("pool", "bits", "status").agg(F.count("*").alias("edits"))
@@ -226,7 +226,7 @@ def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
 def linear_score(spark: SparkSession, d: str) -> DataFrame:
     """A coefficient table as one expression, in table order."""
     weights = {"gc_count": 0.002, "max_homopolymer": -0.004, "pairs": -0.0001, "weighted": 0.00002}
-    rows = T.generated(spark, d).na.drop(subset=list(weights))
+    rows = T.generated(spark, d, *weights).na.drop(subset=list(weights))
     return rows.select("record_id", F.round(reduce(lambda a, n: a + F.lit(weights[n]) * F.col(n), weights, F.lit(0.9)), 9).alias("linear"))
 
 
@@ -242,7 +242,7 @@ def affine_permutation(spark: SparkSession, d: str) -> DataFrame:
             back = [way.gather(int(x)) == int(p) % (1 << way.bits) for x, p in zip(out, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string()), pa.array(back, pa.bool_())], ["bits", "physical", "back"])
 
-    rows = T.generated(spark, d).where("payload_rank is not null").select("payload_rank", "bits").distinct()
+    rows = T.generated(spark, d, "payload_rank", "bits").where("payload_rank is not null").select("payload_rank", "bits").distinct()
     spread = rows.mapInArrow(run, "bits int, physical string, back boolean")
     return spread.groupBy("bits").agg(F.count("*").alias("payloads"), F.count_if("back").alias("back"), F.countDistinct("physical").alias("ranks"))
 

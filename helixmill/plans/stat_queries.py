@@ -16,11 +16,13 @@ from helixmill.plans.fiber_queries import measured, whole
 from helixmill.plans.registry import register
 from helixmill.sources import materialise
 
+_FEATURES = ["gc_count", "max_homopolymer", "pairs", "weighted"]
 _SCORED = f"{T.GENERATED}, ok AS (SELECT * FROM generated WHERE pool IS NOT NULL AND isfinite(score) AND isfinite(cross_))"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return T.generated(spark, d).where(F.col("pool").isNotNull() & S.finite("score") & S.finite("cross"))
+    columns = ("pool", "score", "cross", "choice", "digest", *_FEATURES)
+    return T.generated(spark, d, *columns).where(F.col("pool").isNotNull() & S.finite("score") & S.finite("cross"))
 
 
 _RANK = "rank() OVER (PARTITION BY {g} ORDER BY {v}) + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2"
@@ -108,7 +110,7 @@ sides AS (SELECT direction, CASE WHEN pool = s THEN 0 ELSE 1 END AS side, score,
 def _sides(spark: SparkSession, d: str) -> DataFrame:
     ways = T.table(spark, d, "public_fiber_results").select("direction", F.lower(F.trim("source_pool")).alias("s"), F.lower(F.trim("target_pool")).alias("t")).distinct()
     ends = ways.select("direction", F.inline(F.array(F.struct(F.col("s").alias("pool"), F.lit(0).alias("side")), F.struct(F.col("t").alias("pool"), F.lit(1).alias("side")))))
-    return T.generated(spark, d).where(S.finite("score")).join(ends, "pool").select("direction", "side", "score", "gc_count")
+    return T.generated(spark, d, "pool", "score", "gc_count").where(S.finite("score")).join(ends, "pool").select("direction", "side", "score", "gc_count")
 
 
 @register(
@@ -210,8 +212,6 @@ def perm_envelope_hash(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(null, "pool").select("pool", "spearman", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
-_FEATURES = ["gc_count", "max_homopolymer", "pairs", "weighted"]
-
 
 @register(
     "ridge_one_feature",
@@ -246,7 +246,7 @@ _WORDS = f"{T.EMITTED}, {T.GENERATED}, w AS (SELECT seq, min(record_id) AS id FR
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    both = T.emitted(spark, d).select("record_id", "seq").unionByName(T.generated(spark, d).select("record_id", "seq"))
+    both = T.emitted(spark, d, "seq").unionByName(T.generated(spark, d, "seq"))
     return both.where(S.is_dna("seq") & (F.length("seq") == S.LENGTH)).groupBy("seq").agg(F.min("record_id").alias("id"))
 
 

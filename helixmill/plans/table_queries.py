@@ -21,7 +21,7 @@ def _first(df: DataFrame, name: str) -> DataFrame:
 
 @register("join_one_to_one", f"WITH {_ONE} SELECT digest, emitted_id, generated_id FROM e JOIN g USING (digest)")
 def join_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    left, right = _first(T.emitted(spark, d), "emitted_id"), _first(T.generated(spark, d), "generated_id")
+    left, right = _first(T.emitted(spark, d, "digest"), "emitted_id"), _first(T.generated(spark, d, "digest"), "generated_id")
     return left.join(right, "digest").select("digest", "emitted_id", "generated_id")
 
 
@@ -35,7 +35,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 @register("join_many_to_one", f"WITH {T.PUBLIC}, {_RESULTS} SELECT record_id, direction, bits, stated_gain FROM public_ JOIN results USING (direction, model, bits)")
 def join_many_to_one(spark: SparkSession, d: str) -> DataFrame:
-    return T.public(spark, d).join(_results(spark, d), ["direction", "model", "bits"]).select("record_id", "direction", "bits", "stated_gain")
+    return T.public(spark, d, "direction", "model", "bits").join(_results(spark, d), ["direction", "model", "bits"]).select("record_id", "direction", "bits", "stated_gain")
 
 
 @register(
@@ -44,19 +44,19 @@ def join_many_to_one(spark: SparkSession, d: str) -> DataFrame:
 )
 def join_left_null_audit(spark: SparkSession, d: str) -> DataFrame:
     known = _results(spark, d).withColumn("known", F.lit(True))
-    both = T.public(spark, d).join(known, ["direction", "model", "bits"], "left")
+    both = T.public(spark, d, "direction", "model", "bits").join(known, ["direction", "model", "bits"], "left")
     return both.groupBy("direction").agg(F.count("*").alias("rows_"), F.count_if(F.col("known").isNull()).alias("unmatched"))
 
 
 @register("anti_join_missing", f"WITH {T.EMITTED}, {T.PUBLIC} SELECT record_id, digest FROM public_ WHERE digest IS NOT NULL AND digest NOT IN (SELECT digest FROM emitted WHERE digest IS NOT NULL)")
 def anti_join_missing(spark: SparkSession, d: str) -> DataFrame:
-    known = T.emitted(spark, d).select("digest").where("digest is not null")
-    return T.public(spark, d).where("digest is not null").join(known, "digest", "left_anti").select("record_id", "digest")
+    known = T.emitted(spark, d, "digest").select("digest").where("digest is not null")
+    return T.public(spark, d, "digest").where("digest is not null").join(known, "digest", "left_anti").select("record_id", "digest")
 
 
 @register("semi_join_duplicates", f"WITH {T.EMITTED}, {T.GENERATED} SELECT record_id, seq FROM generated WHERE length(seq) > 0 AND seq IN (SELECT seq FROM emitted)")
 def semi_join_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return T.generated(spark, d).where("length(seq) > 0").join(T.emitted(spark, d).select("seq"), "seq", "left_semi").select("record_id", "seq")
+    return T.generated(spark, d, "seq").where("length(seq) > 0").join(T.emitted(spark, d, "seq").select("seq"), "seq", "left_semi").select("record_id", "seq")
 
 
 @register(
@@ -64,14 +64,14 @@ def semi_join_duplicates(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {T.EMITTED}, {T.GENERATED} SELECT record_id FROM generated WHERE {T.DNA} AND translate(reverse(seq), 'ACGT', 'TGCA') IN (SELECT seq FROM emitted WHERE {T.DNA} UNION ALL SELECT seq FROM generated WHERE {T.DNA})",
 )
 def revcomp_intersection(spark: SparkSession, d: str) -> DataFrame:
-    own = T.generated(spark, d).where(S.is_dna("seq"))
-    all_ = T.emitted(spark, d).where(S.is_dna("seq")).select(F.col("seq").alias("rc")).unionByName(own.select(F.col("seq").alias("rc")))
+    own = T.generated(spark, d, "seq").where(S.is_dna("seq"))
+    all_ = T.emitted(spark, d, "seq").where(S.is_dna("seq")).select(F.col("seq").alias("rc")).unionByName(own.select(F.col("seq").alias("rc")))
     return own.withColumn("rc", reverse_complement("seq")).join(all_, "rc", "left_semi").select("record_id")
 
 
 @register("lookup_join", f"WITH {T.GENERATED} SELECT record_id, physical_rank = rerank AS rank_fits, decoded_payload = payload_rank AS payload_fits FROM generated")
 def lookup_join(spark: SparkSession, d: str) -> DataFrame:
-    return T.generated(spark, d).select("record_id", (F.col("physical_rank") == F.col("rerank")).alias("rank_fits"), (F.col("decoded_payload") == F.col("payload_rank")).alias("payload_fits"))
+    return T.generated(spark, d, "physical_rank", "rerank", "decoded_payload", "payload_rank").select("record_id", (F.col("physical_rank") == F.col("rerank")).alias("rank_fits"), (F.col("decoded_payload") == F.col("payload_rank")).alias("payload_fits"))
 
 
 @register("dedupe_first", "SELECT record_id, min(ingested_at) = max(ingested_at) AS once, count(*) AS deliveries FROM emitted_crc16_codewords GROUP BY record_id")
@@ -83,12 +83,12 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 @register("duplicate_keys", f"WITH {T.EMITTED} SELECT pool, count(*) AS rows_, count(DISTINCT digest) AS digests, count(*) - count(DISTINCT digest) AS repeats FROM emitted WHERE digest IS NOT NULL GROUP BY pool")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     n = F.countDistinct("digest")
-    return T.emitted(spark, d).where("digest is not null").groupBy("pool").agg(F.count("*").alias("rows_"), n.alias("digests"), (F.count("*") - n).alias("repeats"))
+    return T.emitted(spark, d, "pool", "digest").where("digest is not null").groupBy("pool").agg(F.count("*").alias("rows_"), n.alias("digests"), (F.count("*") - n).alias("repeats"))
 
 
 @register("last_per_group", f"WITH {T.EMITTED} SELECT library_id, record_id, batch_no FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY batch_no DESC, record_id DESC) AS p FROM emitted) WHERE p = 1")
 def last_per_group(spark: SparkSession, d: str) -> DataFrame:
-    last = T.emitted(spark, d).groupBy("library_id").agg(F.max(F.struct("batch_no", "record_id")).alias("last"))
+    last = T.emitted(spark, d, "library_id", "batch_no").groupBy("library_id").agg(F.max(F.struct("batch_no", "record_id")).alias("last"))
     return last.select("library_id", "last.record_id", "last.batch_no")
 
 
@@ -98,7 +98,7 @@ def last_per_group(spark: SparkSession, d: str) -> DataFrame:
 )
 def membership_digest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of a direction's set of members, in two steps, so that no row holds a whole direction's members."""
-    keys = T.public(spark, d).where("digest is not null").select("direction", F.substring(F.sha2("digest", 256), 1, 2).alias("bucket"), "digest").distinct()
+    keys = T.public(spark, d, "direction", "digest").where("digest is not null").select("direction", F.substring(F.sha2("digest", 256), 1, 2).alias("bucket"), "digest").distinct()
     joined = lambda col: F.sha2(F.array_join(col, "\n"), 256)
     parts = keys.groupBy("direction", "bucket").agg(F.count("*").alias("n"), joined(F.sort_array(F.collect_list("digest"))).alias("part"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda s: s["part"])
@@ -107,8 +107,8 @@ def membership_digest(spark: SparkSession, d: str) -> DataFrame:
 
 @register("union_missing_columns", f"WITH {T.EMITTED}, {T.PUBLIC} SELECT record_id, 'emitted' AS origin, pool, NULL AS direction, batch_no FROM emitted UNION ALL SELECT record_id, 'public', NULL, direction, batch_no FROM public_")
 def union_missing_columns(spark: SparkSession, d: str) -> DataFrame:
-    a = T.emitted(spark, d).select("record_id", F.lit("emitted").alias("origin"), "pool", "batch_no")
-    return a.unionByName(T.public(spark, d).select("record_id", F.lit("public").alias("origin"), "direction", "batch_no"), allowMissingColumns=True)
+    a = T.emitted(spark, d, "pool", "batch_no").select("record_id", F.lit("emitted").alias("origin"), "pool", "batch_no")
+    return a.unionByName(T.public(spark, d, "direction", "batch_no").select("record_id", F.lit("public").alias("origin"), "direction", "batch_no"), allowMissingColumns=True)
 
 
 @register("except_names", "SELECT DISTINCT lower(trim(pool_or_direction)) AS name FROM paper2_assay_calibrated_selection_figure_source_data WHERE pool_or_direction IS NOT NULL EXCEPT SELECT lower(trim(direction)) FROM public_fiber_results")
@@ -119,7 +119,7 @@ def except_names(spark: SparkSession, d: str) -> DataFrame:
 
 @register("intersect_names", f"WITH {T.EMITTED}, {T.GENERATED} SELECT DISTINCT model, bits FROM emitted INTERSECT SELECT model, bits FROM generated")
 def intersect_names(spark: SparkSession, d: str) -> DataFrame:
-    return T.emitted(spark, d).select("model", "bits").intersect(T.generated(spark, d).select("model", "bits"))
+    return T.emitted(spark, d, "model", "bits").select("model", "bits").intersect(T.generated(spark, d, "model", "bits").select("model", "bits"))
 
 
 _RUNS = "runs AS (SELECT DISTINCT result_id, lower(trim(selector_source_pool)) AS pool, selector_model AS model, selector_bits AS bits, own_model_mean_gain_vs_fiber AS gain, choices_changed_by_quantization AS changed, quantized_extremum_tie_fibers AS ties, minimum_raw_top_gap AS gap, cross_model_mean_gain_vs_fiber AS cross_ FROM generated_fiber_results)"
@@ -200,7 +200,7 @@ _MEASURES = ("gc_count", "max_homopolymer", "pairs", "weighted")
 )
 def smd_pooled(spark: SparkSession, d: str) -> DataFrame:
     """Standardised difference of each feature between high and low scores, wide rows made long first."""
-    rows = T.generated(spark, d).where(S.finite("score") & F.col("pool").isNotNull()).select("pool", (F.col("score") >= 1.0).alias("high"), *[F.col(m).cast("double").alias(m) for m in _MEASURES])
+    rows = T.generated(spark, d, "pool", "score", *_MEASURES).where(S.finite("score") & F.col("pool").isNotNull()).select("pool", (F.col("score") >= 1.0).alias("high"), *[F.col(m).cast("double").alias(m) for m in _MEASURES])
     long = rows.unpivot(["pool", "high"], list(_MEASURES), "feature", "v").where("v is not null")
     on = lambda f, high: f(F.when(F.col("high") == high, F.col("v")))
     sd = F.sqrt((on(F.var_samp, True) + on(F.var_samp, False)) / 2)
@@ -215,7 +215,7 @@ def smd_pooled(spark: SparkSession, d: str) -> DataFrame:
 )
 def binned_median(spark: SparkSession, d: str) -> DataFrame:
     """Median of one score over nine quantile bins of another; equal edges make one."""
-    ok = T.generated(spark, d).where(F.col("pool").isNotNull() & S.finite("score") & S.finite("cross"))
+    ok = T.generated(spark, d, "pool", "score", "cross").where(F.col("pool").isNotNull() & S.finite("score") & S.finite("cross"))
     edges = ok.groupBy("pool").agg(F.percentile("score", [round(i / 9, 12) for i in range(1, 9)]).alias("edges"))
     bins = ok.join(edges, "pool").withColumn("bin", F.size(F.filter(F.array_distinct("edges"), lambda e: e < F.col("score"))).cast("long"))
     return bins.groupBy("pool", "bin").agg(F.count("*").alias("n"), F.round(F.percentile("cross", 0.5), 9).alias("median"))
@@ -228,7 +228,7 @@ def binned_median(spark: SparkSession, d: str) -> DataFrame:
 def quantile_table(spark: SparkSession, d: str) -> DataFrame:
     q = F.percentile("score", [0.01, 0.25, 0.5, 0.75, 0.99])
     cols = [F.round(q[i], 9).alias(n) for i, n in enumerate(("q01", "q25", "q50", "q75", "q99"))]
-    return T.emitted(spark, d).where(F.col("pool").isNotNull() & S.finite("score")).groupBy("pool").agg(F.count("*").alias("n"), F.min("score").alias("least"), *cols, F.max("score").alias("most"))
+    return T.emitted(spark, d, "pool", "score").where(F.col("pool").isNotNull() & S.finite("score")).groupBy("pool").agg(F.count("*").alias("n"), F.min("score").alias("least"), *cols, F.max("score").alias("most"))
 
 
 @register(
@@ -267,7 +267,7 @@ def rate_benefit(spark: SparkSession, d: str) -> DataFrame:
 def score_windows(spark: SparkSession, d: str) -> DataFrame:
     """Mean and variance of each payload's fiber beside its rows."""
     w = Window.partitionBy("direction", "payload")
-    rows = T.public(spark, d).where(F.col("direction").isNotNull() & S.finite("prediction"))
+    rows = T.public(spark, d, "direction", "payload", "prediction").where(F.col("direction").isNotNull() & S.finite("prediction"))
     return rows.select("record_id", "direction", F.round(F.avg("prediction").over(w), 9).alias("fiber_mean"), F.round(F.var_pop("prediction").over(w), 12).alias("fiber_variance"))
 
 
@@ -300,7 +300,7 @@ def claim_checks(spark: SparkSession, d: str) -> DataFrame:
 )
 def first_missing_rank(spark: SparkSession, d: str) -> DataFrame:
     """The least rank of each direction that no record has."""
-    ranks = T.public(spark, d).where("direction is not null and base_rank is not null").select("direction", "base_rank").distinct()
+    ranks = T.public(spark, d, "direction", "base_rank").where("direction is not null and base_rank is not null").select("direction", "base_rank").distinct()
     tries = ranks.select("direction", F.explode(F.array(F.lit(0).cast("long"), F.col("base_rank") + 1)).alias("base_rank"))
     return tries.join(ranks, ["direction", "base_rank"], "left_anti").groupBy("direction").agg(F.min("base_rank").alias("first_missing"))
 
@@ -311,5 +311,5 @@ def first_missing_rank(spark: SparkSession, d: str) -> DataFrame:
 )
 def library_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Size of each library: records, letters and distinct sequences."""
-    rows = T.emitted(spark, d).where("seq is not null")
+    rows = T.emitted(spark, d, "library_id", "seq").where("seq is not null")
     return rows.groupBy("library_id").agg(F.count("*").alias("rows_"), F.sum(F.length("seq")).cast("long").alias("letters"), F.countDistinct("seq").alias("distinct_seqs"))
