@@ -29,8 +29,10 @@ _QUERIES = {
     "p8_plain": plain_text.p8_plain,
 }
 _SQL = {
+    "p1_found": near_copies.P1_FOUND_SQL,
     "p2_sample": stable_sample.P2_SAMPLE_SQL,
     "p2_growth": stable_sample.P2_GROWTH_SQL,
+    "p3_found": overlaps.P3_FOUND_SQL,
     "p4_found": cutoffs.P4_FOUND_SQL,
     "p4_cutoffs": cutoffs.P4_CUTOFFS_SQL,
     "p5_within": compactors.P5_WITHIN_SQL,
