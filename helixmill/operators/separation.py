@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.sources import partitions
+
 BLOCK = 4096
 
 
@@ -67,6 +69,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_: str, seq: str, length: int
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query", "distance", "neighbour"), cols)})
 
-    found = asked.unionByName(given).groupBy("i", "j").applyInArrow(best, "query long, distance long, neighbour long")
+    both = asked.unionByName(given).repartition(partitions(queries.sparkSession), "i", "j")  # a number of its own: the blocks cost more than their bytes
+    found = both.groupBy("i", "j").applyInArrow(best, "query long, distance long, neighbour long")
     top = found.groupBy("query").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
     return top.select("query", "m.distance", "m.neighbour")

@@ -262,7 +262,7 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def hamming_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The nearest other word of every word whose id is divisible by 20, the query set, against all words."""
-    words = _words(spark, d)
+    words = materialise(_words(spark, d), "words")  # read for queries and rows, and counted
     return separation.nearest(words.where("id % 20 = 0"), words, "id", "seq", S.LENGTH)
 
 

@@ -1,3 +1,3 @@
-from helixmill.sources.tables import materialise, shared_folder, spread, table
+from helixmill.sources.tables import materialise, partitions, shared_folder, spread, table
 
-__all__ = ["materialise", "shared_folder", "spread", "table"]
+__all__ = ["materialise", "partitions", "shared_folder", "spread", "table"]

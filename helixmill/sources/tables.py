@@ -37,8 +37,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt evenly over as many partitions as the cluster can work on, for steps that cost much more than their bytes."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(partitions(df.sparkSession))
+
+
+def partitions(spark: SparkSession) -> int:
+    """As many as the cluster can work on at once, and at least those of a shuffle."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @atexit.register
