@@ -6,7 +6,11 @@ passages gives the latent space: each task multiplies its passages with a random
 word, and the driver keeps matrices of vocabulary times ``RANK``, bounded by the fixed set of held-out items. A window of ten document
 words is a candidate for a held-out window if the signs of their latent vectors on random planes agree and their cosine is
 high. Latent word vectors are whole numbers, so that windows of equal words have exactly equal vectors, and none is lost.
-Candidates are then checked word by word; for paraphrases, by the longest common subsequence and the item's last words.
+Candidates are then checked word by word.
+
+Paraphrases have no equal vectors, and signs on planes lose most pairs of a cosine near the bound, so they are searched without
+signs: every window of a document is counted against the words of every item, and only windows that share too few words with
+an item for the common subsequence wanted are dropped. All others are compared by cosine and longest common subsequence.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ PLANES, COSINE = 24, 0.98
 AT_ONCE = 1000
 #: Held-out items are a fixed set that goes to every task; a larger set than this is refused rather than sent.
 MOST_ITEM_WORDS = 4_000_000
-PARAPHRASE_WIDTH, PARAPHRASE_PLANES, PARAPHRASE_COSINE, PARAPHRASE_SHARE = 20, 24, 0.9, 0.6
-PARAPHRASE_STEP = 5
+PARAPHRASE_WIDTH, PARAPHRASE_COSINE, PARAPHRASE_SHARE = 20, 0.9, 0.6
+#: Document windows and items that are counted at a time, and pairs of windows that are compared at a time.
+WINDOWS_AT_ONCE, ITEMS_AT_ONCE, PAIRS_AT_ONCE = 8192, 512, 100_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -209,57 +214,94 @@ def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
     return numbers.mapInArrow(run, "doc_id long, item_id long").distinct()
 
 
-def longest_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short word rows."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return int(row[-1])
+def longest_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of two short word rows, or of each pair of rows of two tables."""
+    row = np.zeros((*b.shape[:-1], b.shape[-1] + 1), np.int64)
+    for i in range(a.shape[-1]):
+        row[..., 1:] = np.maximum.accumulate(np.maximum(row[..., 1:], np.where(b == a[..., i : i + 1], row[..., :-1] + 1, 0)), axis=-1)
+    return row[..., -1]
+
+
+def _window_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``width`` consecutive rows, by doubling; ``width`` under 256."""
+    out, done, power, size = None, 0, x, 1
+    while True:
+        if width & size:
+            n = len(x) - done - size + 1
+            out = power[:n] if out is None else out[:n] + power[done : done + n]
+            done += size
+        if done == width:
+            return out
+        power, size = power[:-size] + power[size:], 2 * size
+
+
+def _sharing(words: np.ndarray, rows: np.ndarray, items: list[np.ndarray], width: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, item), in parts: windows of one document of which at least ``least`` words are words of the item."""
+    n = len(words) - width + 1
+    for low in range(0, n, WINDOWS_AT_ONCE):
+        high = min(n, low + WINDOWS_AT_ONCE)
+        local, own = np.unique(words[low : high + width - 1], return_inverse=True)
+        whole = rows[low:high] == rows[low + width - 1 : high + width - 1]
+        for begin in range(0, len(items), ITEMS_AT_ONCE):
+            some = items[begin : begin + ITEMS_AT_ONCE]
+            member = np.zeros((len(local), len(some)), np.uint8)
+            for i, item in enumerate(some):
+                place = np.minimum(np.searchsorted(local, item), len(local) - 1)
+                member[place[local[place] == item], i] = 1
+            at = np.flatnonzero((_window_sums(member[own], width) >= least) & whole[:, None])
+            yield low + at // len(some), begin + at % len(some)
 
 
 def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
     """(doc_id, item_id, common_words, item_words, answer): documents with a passage close to one of an item.
 
-    Close: latent vectors of twenty words with equal signs on the planes and a cosine of at least 0.9, every fifth window of a document, and a longest common
-    subsequence of the passages of at least 0.6 of the words. ``answer``: the item's last three words stand in the document.
+    Close: of any twenty words of the document and any twenty of the item, the latent vectors have a cosine of at least 0.9, and the
+    longest common subsequence is at least 0.6 of the words. ``common_words`` is the longest of all close passages. ``answer``: the
+    item's last three words stand in the document.
     """
-    width = PARAPHRASE_WIDTH
+    width, least = PARAPHRASE_WIDTH, PARAPHRASE_SHARE * PARAPHRASE_WIDTH
     runs, of = held.windows(width)
-    planes = np.random.default_rng(SEED + 2).standard_normal((vectors.shape[1], PARAPHRASE_PLANES))
-    latent = vectors[runs].sum(axis=1)
-    codes = _signs(latent, planes)
-    order = np.argsort(codes, kind="stable")
-    codes, units = codes[order], _unit(latent)
+    units = _unit(vectors[runs].sum(axis=1))
     ids_of, item_words = held.ids, held.words
+    count = np.bincount(of, minlength=len(item_words))
+    first = np.cumsum(count) - count
+
+    def close(words: np.ndarray, own: np.ndarray, at: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item, common words) of the close ones among all windows of each item; ``own``: the units of windows ``at``."""
+        parts = np.cumsum(count[item]) // PAIRS_AT_ONCE
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(parts)) + 1):
+            n = count[item[part]]
+            mine = np.repeat(part, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[item[part]], n)
+            near = (own[np.searchsorted(at, window[mine])] * units[place]).sum(axis=1) >= PARAPHRASE_COSINE
+            mine, place = mine[near], place[near]
+            for some in np.array_split(np.arange(len(mine)), len(mine) // 20_000 + 1):
+                m, theirs = mine[some], runs[place[some]]
+                text = words[window[m][:, None] + np.arange(width)]
+                enough = (text[:, :, None] == theirs[:, None, :]).any(axis=2).sum(axis=1) >= least
+                common = longest_common(text[enough], theirs[enough])
+                good = common >= least
+                yield window[m[enough][good]], item[m[enough][good]], common[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             ids, words, rows = _flat(batch)
-            n = len(words) - width + 1
-            if n < 1 or not len(runs):
+            if len(words) < width or not len(runs):
                 continue
             sums = np.zeros((len(words) + 1, vectors.shape[1]), np.int64)
             np.cumsum(vectors[words], axis=0, out=sums[1:])
-            known = np.r_[0, np.cumsum(words > 0)]
-            at = np.arange(0, n, PARAPHRASE_STEP)
-            at = at[(rows[at] == rows[at + width - 1]) & (known[at + width] - known[at] >= PARAPHRASE_SHARE * width)]
             best: dict[tuple[int, int], int] = {}
-            for part in np.array_split(at, len(at) // 200_000 + 1):
-                own = sums[part + width] - sums[part]
-                window, place = _candidates(own, _signs(own, planes), order, codes, units, PARAPHRASE_COSINE)
-                for some in np.array_split(np.arange(len(window)), len(window) // 20_000 + 1):
-                    mine, theirs = words[part[window[some]][:, None] + np.arange(width)], runs[place[some]]
-                    shared = ((mine[:, :, None] == theirs[:, None, :]).any(axis=2) & (mine > 0)).sum(axis=1)
-                    for k in np.flatnonzero(shared >= PARAPHRASE_SHARE * width):
-                        key = (int(rows[part[window[some[k]]]]), int(of[place[some[k]]]))
-                        if best.get(key, 0) < shared[k]:
-                            best[key] = max(best.get(key, 0), longest_common(mine[k], theirs[k]))
+            for window, item in _sharing(words, rows, item_words, width, least):
+                at = np.unique(window)
+                for w, i, common in close(words, _unit(sums[at + width] - sums[at]), at, window, item):
+                    for key in zip(rows[w].tolist(), i.tolist(), common.tolist()):
+                        if best.get(key[:2], 0) < key[2]:
+                            best[key[:2]] = key[2]
             out = []
             for (row, item), common in best.items():
-                if common >= PARAPHRASE_SHARE * width:
-                    text, tail = words[rows == row], item_words[item][-3:]
-                    stands = len(text) >= 3 and (np.lib.stride_tricks.sliding_window_view(text, 3) == tail).all(axis=1).any()
-                    out.append((int(ids[row]), int(ids_of[item]), common, len(item_words[item]), bool(stands)))
+                text, tail = words[np.searchsorted(rows, row) : np.searchsorted(rows, row, "right")], item_words[item][-3:]
+                stands = (np.lib.stride_tricks.sliding_window_view(text, 3) == tail).all(axis=1).any()
+                out.append((int(ids[row]), int(ids_of[item]), common, len(item_words[item]), bool(stands)))
             cols = list(zip(*out)) if out else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "common_words", "item_words", "answer"])
 

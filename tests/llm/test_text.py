@@ -149,6 +149,39 @@ def test_paraphrases_find_reordered_passages(spark):
     assert [(r["doc_id"], r["item_id"], r["answer"]) for r in got] == [(1, 5, True)]
 
 
+def test_paraphrases_match_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in (("WINDOWS_AT_ONCE", 50), ("ITEMS_AT_ONCE", 3), ("PAIRS_AT_ONCE", 40)):
+        monkeypatch.setattr(leaks, name, value, raising=False)
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(15, 45)))) for i in range(10)]
+    docs = []
+    for i in range(120):
+        words = [rng.choice([*vocab, "other"]) for _ in range(rng.randint(0, 30))]
+        source = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(source))
+            source[at : at + rng.randint(0, 1)] = [rng.choice(["other", *vocab])]
+        words[len(words) // 2 : len(words) // 2] = source
+        docs.append((i, " ".join(words)))
+    numbers, held, vectors = _leaks(spark, docs, items)
+    want, close, unit = {}, 0, lambda v: v / max(np.linalg.norm(v), 1e-12)
+    runs, of = held.windows(20)
+    theirs = np.array([unit(vectors[r].sum(axis=0)) for r in runs])
+    for d, text in docs:
+        w = np.array([held.number.get(x, 0) for x in text.split()])
+        for k in range(len(w) - 19):
+            for place in np.flatnonzero(theirs @ unit(vectors[w[k : k + 20]].sum(axis=0)) >= 0.9):
+                common = leaks.longest_common(w[k : k + 20], runs[place])
+                if common >= 12:
+                    close, key = close + 1, (d, held.ids[of[place]])
+                    want[key] = max(want.get(key, 0), int(common))
+    got = [(r["doc_id"], r["item_id"], r["common_words"]) for r in leaks.paraphrased(numbers, held, vectors).collect()]
+    assert sorted(got) == sorted((*k, c) for k, c in want.items()) and len(want) > 60 and close > 500
+
+
 def test_longest_common_subsequence():
     import numpy as np
 
