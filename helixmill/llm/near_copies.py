@@ -21,8 +21,8 @@ WORD, SYMBOLS, CHUNKS, DISTANCE, CAP = 14, 32, 16, 31, 64
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings go to the second index too; rows with so many hot symbols of the first do as well.
-SHORT, HOT_SYMBOLS = 100, 6
+#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a hot key in the first.
+SHORT = 100
 
 
 def word_signature(texts: pa.Array) -> np.ndarray:
@@ -58,7 +58,7 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
     Empty texts and those under 6 letters have no shingles and never pair. An empty table gives an empty result.
     """
     first = materialise(hamming.run_pairs(hamming.index_rows(classes, word_signature, CHUNKS, DISTANCE, CAP), CAP), "p1-first")
-    hot = first.where("b is null").groupBy("a").count().where(F.col("count") >= HOT_SYMBOLS).select(F.col("a").alias("id"))
+    hot = first.where("b is null").select(F.col("a").alias("id")).distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
     fine = materialise(classes.where(short).unionByName(classes.where(~short).join(hot, "id", "left_semi")), "p1-fine")
     again = materialise(hamming.run_pairs(hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP), FINE_CAP), "p1-second")

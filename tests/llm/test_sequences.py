@@ -79,6 +79,34 @@ def test_hot_families_and_shared_adapters_lose_nothing(spark, monkeypatch):
     assert pairs_of(spark, rows) == want and len(want) > 1000
 
 
+def moved(rng, s, n):
+    for _ in range(n):
+        if rng.random() < 0.25:
+            p = rng.randrange(len(s))
+            piece, s = s[p : p + rng.randint(10, 40)], s[:p] + s[p + 40 :]
+            q = rng.randrange(len(s) + 1)
+            s = s[:q] + piece + s[q:]
+        else:
+            s = changed(rng, s, 1)
+    return s
+
+
+def all_similar(rows):
+    text = pa.array([s for _, s in rows])
+    ids = np.array([i for i, _ in rows])
+    a, b = np.nonzero(np.triu(close_matrix(text, text, 0.5), 1))
+    return {(min(p, q), max(p, q)) for p, q in zip(ids[a].tolist(), ids[b].tolist())}
+
+
+def test_rows_with_few_hot_keys_keep_their_links(spark):
+    rng = random.Random(0)
+    base = "".join(rng.choice("ACGT") for _ in range(108))
+    rows = [(i, moved(rng, base, rng.randint(4, 6))) for i in range(1, 401)]
+    want = all_similar(rows)
+    got = pairs_of(spark, rows)
+    assert got <= want and len(want - got) <= len(want) // 2000 and len(want) > 4000
+
+
 def test_near_copies_of_an_empty_table(spark):
     assert pairs_of(spark, [(1, None), (2, "")]) == set()
     df = spark.createDataFrame([], "record_id long, sequence string")
