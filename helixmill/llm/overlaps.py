@@ -5,7 +5,10 @@ common suffix start has a long common prefix. The suffix array holds the suffixe
 ``k`` letters with the least hash among ``w`` neighbours, in the strand with the lesser hash, where ``k + w - 1`` is that run. Every
 shared run then has a suffix in both texts, of either strand. Spark partitions the suffixes by their first ``k`` letters and sorts
 them; adjacent suffixes of a direction's two splits with that common prefix are a shared span. Pairs with a shared span are
-checked by 6-letter counts and a banded edit distance; the spans of a record merge into its coverage.
+checked by 6-letter counts and a banded edit distance.
+
+Coverage must not depend on tiers or on which suffixes were taken: it uses all substrings of ``SPAN`` letters of all texts. A shared
+run of more letters is the union of its substrings, so the union of those that both splits hold is that of all longest shared runs.
 
 Lengths are cut into tiers, since the run to be shared depends on the length. Texts under 40 letters, which may share next to
 nothing, and suffixes under a prefix that more than ``CAP`` texts share are compared exhaustively, in blocks.
@@ -29,6 +32,8 @@ EDITS = 4
 #: (least length, k, w) of each tier, with k + w - 1 a fifth of the least length; each reaches to the next one's least.
 TIERS = ((40, 6, 3), (80, 12, 5), (100, 16, 5), (145, 22, 8), (300, 40, 21), (1000, 80, 121))
 CAP, BLOCK = 64, 500
+#: Letters that a shared span has at least, for coverage.
+SPAN = 20
 #: More splits than bits in a mask are refused; the splits are those of the fixed table of directions.
 MOST_SPLITS = 30
 _SPAN_COLUMNS = "key long, id long, hot boolean, tag long, at int, k int"
@@ -269,16 +274,59 @@ def p3_report(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-def p3_coverage(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Letters of each target sample that lie in spans shared with the source split, per direction: spans merged, not pairs."""
-    ways, rows = directions(spark, data_dir), samples(spark, data_dir)
-    places = suffixes(rows.select(F.col("record_id").alias("id"), "text", F.lit(0).alias("mask"))).join(rows.select(F.col("record_id").alias("id"), "pool"), "id")
-    there = places.select("key", F.col("pool").alias("source")).distinct().join(ways.select("direction", "source", "target"), "source")
-    spans = places.withColumnRenamed("pool", "target").join(there.select("key", "direction", "target"), ["key", "target"])
-    merged = spans.groupBy("direction", "id").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("k")).alias("to")))).alias("spans"))  # at most the minimizers of one text
+def places(classes: DataFrame) -> DataFrame:
+    """(key, id, mask, at, letters) of all substrings of ``SPAN`` letters, on either strand, of ``classes`` (id, text, mask).
+
+    Texts of fewer letters have one, the whole text, with a key that no longer one has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, mask = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            letters = np.minimum(np.diff(flat(batch.column(1))[1]), SPAN)
+            for k in np.unique(letters[letters > 0]).tolist():
+                inside = np.flatnonzero(letters == k)
+                data, offsets = flat(batch.column(1).take(pa.array(inside)))
+                rows, at = starts(offsets, k)
+                back = offsets[rows] + offsets[rows + 1] - k - at
+                h = np.minimum(mix(rolling(data, k)[at]), mix(rolling(reversed_rows(data, offsets), k)[back]))
+                cols = [mix(h ^ np.uint64(k)).view(np.int64), ids[inside[rows]], mask[inside[rows]].astype(np.int32), (at - offsets[rows]).astype(np.int32), np.full(len(at), k, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "mask", "at", "letters"])
+
+    return classes.select("id", "text", "mask").mapInArrow(run, "key long, id long, mask int, at int, letters int")
+
+
+def coverage(rows: DataFrame, ways: DataFrame) -> DataFrame:
+    """(direction, record_id, covered_letters): letters of target samples in spans that a text of the source split holds too.
+
+    A span has ``SPAN`` letters or more, on either strand; a shorter text is covered if the source split has the same text. Only
+    covered samples have a row. ``rows`` and ``ways`` as in ``cross_split``.
+    """
+    pools = [(r["source"], r["target"]) for r in ways.select("source", "target").distinct().limit(MOST_SPLITS**2 + 1).collect()]
+    bit = {p: i for i, p in enumerate(sorted({p for way in pools for p in way}))}
+    if len(bit) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    number = lambda c: F.coalesce(*[F.when(F.col(c) == p, F.lit(1 << i)) for p, i in bit.items()], F.lit(0))
+    inside = rows.where(number("pool") > 0)
+    classes = materialise(inside.groupBy("text").agg(F.min("record_id").alias("id"), F.bit_or(number("pool")).alias("mask")).select("id", "text", "mask"), "p3-coverage-classes")
+    both = F.lit(False)
+    for s, t in pools:
+        both = both | (F.col("there").bitwiseAND(1 << bit[s] | 1 << bit[t]) == (1 << bit[s] | 1 << bit[t]))
+    all_places = places(classes)
+    shared = all_places.groupBy("key").agg(F.bit_or("mask").alias("there")).where(both)
+    spans = all_places.join(shared, "key").groupBy("id", "mask").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("letters")).alias("to"), "there"))).alias("spans"))  # at most the letters of one text
+    way = F.broadcast(ways.select("direction", F.col("target").alias("pool"), number("source").alias("from"), number("target").alias("into")).distinct())
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"))
     add = lambda acc, s: F.struct(F.greatest(acc["end"], s["to"]).alias("end"), (acc["covered"] + F.greatest(s["to"] - F.greatest(acc["end"], s["at"]), F.lit(0))).alias("covered"))
-    return merged.select("direction", F.col("id").alias("record_id"), F.aggregate("spans", start, add)["covered"].alias("covered_letters"))
+    theirs = F.filter("spans", lambda s: s["there"].bitwiseAND(F.col("from")) != 0)
+    covered = spans.join(way, F.col("mask").bitwiseAND(F.col("into")) != 0).select("id", "direction", "pool", F.aggregate(theirs, start, add)["covered"].alias("covered_letters"))
+    members = inside.join(classes.select("text", "id"), "text").select("id", "pool", "record_id").distinct()
+    return covered.where("covered_letters > 0").join(members, ["id", "pool"]).select("direction", "record_id", "covered_letters")
+
+
+def p3_coverage(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Letters of each target sample that lie in spans shared with the source split, per direction: spans merged, not pairs."""
+    return coverage(samples(spark, data_dir), directions(spark, data_dir).select("direction", "source", "target"))
 
 
 _SEQ = "replace(upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), 'U', 'T')"

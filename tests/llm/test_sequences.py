@@ -187,6 +187,30 @@ def test_cross_split_with_hot_prefixes(spark, monkeypatch):
     assert _cross(spark, rows, ways) == _want(rows, ways)
 
 
+def test_coverage_matches_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = []
+    for n in (8, 15, 30, 39, 60, 108, 108, 149, 330, 1100):
+        base = word(n)
+        for s in (base, _back(base), base[: n * 5 // 6], word(25) + base + word(16), base[n // 3 :], changed(rng, base, 4)):
+            rows.append((len(rows) + 1, rng.choice("abc"), s))
+    rows += [(900, "a", rows[0][2]), (901, "b", rows[0][2]), (902, "a", rows[30][2]), (903, "b", rows[30][2]), (904, "z", rows[30][2])]
+    ways = [("a_to_b", "a", "b"), ("b_to_a", "b", "a"), ("c_to_b", "c", "b")]
+    want = set()
+    for d, source, target in ways:
+        texts = [x for _, p, s in rows if p == source for x in (s, _back(s))]
+        for i, p, s in rows:
+            if p == target:
+                k = min(len(s), 20)
+                at = [a for a in range(len(s) - k + 1) if any(s[a : a + k] in x if k == 20 else s == x for x in texts)]
+                if at:
+                    want.add((d, i, len({a + j for a in at for j in range(k)})))
+    df = spark.createDataFrame(rows, "record_id long, pool string, text string")
+    got = [tuple(r) for r in overlaps.coverage(df, spark.createDataFrame(ways, "direction string, source string, target string")).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 30
+
+
 def test_digest_overlaps(spark):
     seq = "ACGTTACCAGTA"
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
