@@ -141,6 +141,8 @@ def feature_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REPLICATES = 50
+#: The reference's count, where no SQL twin fixes a smaller one.
+_FULL_REPLICATES = 2000
 _GAIN = f"{T.FIBERS}, g AS (SELECT direction, fiber, outcome - fiber_mean AS gain FROM best WHERE first_ = 1)"
 
 
@@ -166,7 +168,7 @@ def bca_interval(spark: SparkSession, d: str) -> DataFrame:
     """BCa interval of the mean gain per direction, the acceleration from the third moment of the gains."""
     g = _gains(spark, d)
     own = g.groupBy("direction").agg(F.avg("gain").alias("mean"), F.count("*").alias("n"), F.coalesce(F.skewness("gain"), F.lit(0.0)).alias("skew"))
-    boot = stats.bootstrap_means(g, ["direction"], "fiber", "gain", _REPLICATES, "boot").groupBy("direction").agg(F.collect_list("mean").alias("b"))  # one entry a replicate
+    boot = stats.bootstrap_means(g, ["direction"], "fiber", "gain", _FULL_REPLICATES, "boot").groupBy("direction").agg(F.collect_list("mean").alias("b"))  # one entry a replicate
     rows = boot.join(own, "direction").where("n > 1").collect()  # one row a direction
     out = [(r["direction"], r["mean"], *stats.bca(r["mean"], r["b"], r["skew"] / (6 * r["n"] ** 0.5))) for r in rows]
     return spark.createDataFrame(out, "direction string, mean double, low double, high double")

@@ -198,3 +198,25 @@ def test_logistic_fit_reaches_the_penalised_optimum(spark):
     assert np.isfinite(w["one"]).all()
     got = df.where("g = 'g'").select(logistic.probability(w, "g", ["a", "b"]).alias("p")).collect()
     assert [r["p"] for r in got[:50]] == pytest.approx(list(p[:50]))
+
+
+def test_bca_interval_has_all_of_the_references_replicates(spark):
+    import hashlib
+
+    import numpy as np
+
+    from helixmill.operators import stats
+    from helixmill.plans import stat_queries
+
+    d = "/root/testdata/sf0.001"
+    gains: dict = {}
+    for r in stat_queries._gains(spark, d).collect():
+        gains.setdefault(r["direction"], {})[r["fiber"]] = r["gain"]
+    got = {r["direction"]: (r["low"], r["high"]) for r in stat_queries.bca_interval(spark, d).collect()}
+    direction = min(got)
+    g = np.array([gains[direction][i] for i in range(len(gains[direction]))])
+    draw = lambda b, i: int(hashlib.sha256(f"boot|{b}|{i}".encode()).hexdigest()[:15], 16) % len(g)
+    boot = [g[[draw(b, i) for i in range(len(g))]].mean() for b in range(2000)]
+    skew = ((g - g.mean()) ** 3).mean() / g.std() ** 3
+    want = stats.bca(g.mean(), boot, skew / (6 * len(g) ** 0.5))
+    assert np.allclose(got[direction], want, rtol=1e-6, atol=1e-12)
