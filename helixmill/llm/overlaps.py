@@ -1,11 +1,10 @@
-"""Problem 3: sequences of one split that occur, exactly or almost, in the other, by a sparse suffix array.
+"""Problem 3: sequences of one split that occur, exactly or almost, in the other, by a join of minimizer hashes.
 
 Two texts within four edits share a run of at least a fifth of the shorter one's letters (pigeonhole over five pieces), so some
-common suffix start has a long common prefix. The suffix array holds the suffixes that start at minimizers: the substring of
-``k`` letters with the least hash among ``w`` neighbours, in the strand with the lesser hash, where ``k + w - 1`` is that run. Every
-shared run then has a suffix in both texts, of either strand. Spark partitions the suffixes by their first ``k`` letters and sorts
-them; adjacent suffixes of a direction's two splits with that common prefix are a shared span. Pairs with a shared span are
-checked by 6-letter counts and a banded edit distance.
+common substring of ``k`` letters is a minimizer of both: the one with the least hash among ``w`` neighbours, in the strand with the
+lesser hash, where ``k + w - 1`` is that run. This join replaces the sparse suffix array: Spark shuffles and sorts the hashes, not the
+texts, rows under one equal hash are a shared span, and no common prefixes are taken, since the edit distance decides anyway.
+Pairs with a shared span are checked by 6-letter counts and a banded edit distance.
 
 Coverage must not depend on tiers or on which suffixes were taken: it uses all substrings of ``SPAN`` letters of all texts. A shared
 run of more letters is the union of its substrings, so the union of those that both splits hold is that of all longest shared runs.
