@@ -56,24 +56,56 @@ def _ranks(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.arange(len(k)) - np.repeat(at, np.diff(np.r_[at, len(k)]))
 
 
-def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int) -> DataFrame:
-    """(key, id, hot) of ``df`` (id long, text string). Hot rows stand under a key of their own."""
+def short_tags(sig: np.ndarray) -> list[np.ndarray]:
+    """Four bits of every symbol, 16 symbols to a word: what the rows of a run are compared by."""
+    nibble = (sig >> np.uint64(20)) & np.uint64(15)
+    shift = np.uint64(4) * np.arange(16, dtype=np.uint64)
+    return [np.bitwise_or.reduce(nibble[:, i : i + 16] << shift[: nibble.shape[1] - i], axis=1).view(np.int64) for i in range(0, sig.shape[1], 16)]
+
+
+def within_distance(symbols: int, distance: int) -> Callable[..., np.ndarray]:
+    """A test of pairs by their short tags that all pairs within the signature distance pass: equal symbols have equal bits."""
+    ones = np.uint64(0x1111111111111111)
+
+    def allow(*tags: np.ndarray) -> np.ndarray:
+        differ = 0
+        for x, y in zip(tags[: len(tags) // 2], tags[len(tags) // 2 :]):
+            z = x.view(np.uint64) ^ y.view(np.uint64)
+            differ = differ + np.bitwise_count((z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & ones).astype(np.int64)
+        return differ <= distance
+
+    if symbols % 16:
+        raise ValueError("whole words of 16 symbols are compared")
+    return allow
+
+
+def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, tags: int = 0, most_absent: int | None = None) -> DataFrame:
+    """(key, id, hot) of ``df`` (id long, text string), and ``tags`` words t0, t1, ... of short tags. Hot rows stand under a key of their own.
+
+    Rows with more than ``most_absent`` symbols absent, too poor in substrings for this signature, come out as hot as well.
+    """
+    names = ["key", "id", "hot", *(f"t{i}" for i in range(tags))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            row, key = chunk_keys(sign(batch.column(1)), chunks, distance)
+            sig = sign(batch.column(1))
+            row, key = chunk_keys(sig, chunks, distance)
             order = np.argsort(key, kind="stable")
             over = np.zeros(len(key), bool)
             over[order] = _ranks(order, key) > cap
+            if most_absent is not None:
+                poor = np.flatnonzero((sig == ABSENT).sum(axis=1) > most_absent)
+                row, key, over = np.r_[row, poor], np.r_[key, mix(ids[poor].view(np.uint64)).view(np.int64)], np.r_[over, np.ones(len(poor), bool)]
             hot = mix(ids[row[over]].view(np.uint64) ^ key[over].view(np.uint64)).view(np.int64)
             key = np.where(over, 0, key)
             key[over] = hot
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(over)], ["key", "id", "hot"])
+            cols = [key, ids[row], over, *(t[row] for t in (short_tags(sig) if tags else []))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return df.mapInArrow(run, "key long, id long, hot boolean")
+    return df.mapInArrow(run, ", ".join(["key long, id long, hot boolean", *(f"{n} long" for n in names[3:])]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[list[np.ndarray]]:
@@ -98,10 +130,10 @@ def _runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[list[np.ndarr
         yield keep
 
 
-def run_pairs(indexed: DataFrame, cap: int, allow: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def run_pairs(indexed: DataFrame, cap: int, allow: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """(a, b) of all pairs a < b under a key of at most ``cap`` rows; (id, null) for every row under a longer one.
 
-    ``allow``, of two arrays of the further column ``tag``, keeps only some of the pairs.
+    ``allow``, of the further columns of the one rows and of the other, keeps only some of the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +150,11 @@ def run_pairs(indexed: DataFrame, cap: int, allow: Callable[[np.ndarray, np.ndar
                 x, y = place[:, x].ravel(), place[:, y].ravel()
                 good = ids[x] != ids[y]
                 if allow is not None:
-                    good &= allow(tags[0][x], tags[0][y])
+                    good &= allow(*(t[x] for t in tags), *(t[y] for t in tags))
                 a.append(ids[x[good]])
                 b.append(ids[y[good]])
             x, y = np.concatenate(a), np.concatenate(b)
-            hot_ids = ids[marked]  # once a key: callers count them
+            hot_ids = np.unique(ids[marked])
             none = np.r_[np.zeros(len(x), bool), np.ones(len(hot_ids), bool)]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(x, y), hot_ids]), pa.array(np.r_[np.maximum(x, y), hot_ids], mask=none)], ["a", "b"])
 

@@ -14,25 +14,30 @@ from helixmill.sources import materialise, table
 
 SHINGLE = 6
 THRESHOLD = 0.5
-#: First index: 32 symbols, the least hash of the 14-letter substrings in each of 32 classes; pairs that differ in at most 31.
-WORD, SYMBOLS, CHUNKS, DISTANCE, CAP = 14, 32, 16, 31, 64
+#: First index: 72 symbols, the least hash of the 9-letter substrings in each of 24 classes under three functions; 24 chunks of
+#: three symbols, so that pairs which differ in at most 47 agree in two symbols of a chunk.
+WORD, FUNCTIONS, CLASSES, CHUNKS, DISTANCE, CAP = 9, 3, 24, 24, 47, 64
 #: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under 48
 #: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a hot key in the first.
-SHORT = 100
+#: Sequences with fewer 6-letter substrings, or with more absent symbols since their substrings repeat, go to the second index too,
+#: as does every row with a hot key in the first.
+SHORT, MOST_ABSENT = 100, 6
 
 
 def word_signature(texts: pa.Array) -> np.ndarray:
-    """Least hash in each of 32 classes of the 14-letter substrings; absent where a class has none."""
+    """Least hashes of the 9-letter substrings in each class under each function; absent where a class has none."""
     data, offsets = flat(texts)
     rows, at = starts(offsets, WORD)
-    h = mix(rolling(data, WORD)[at])
-    out = np.full((len(offsets) - 1) * SYMBOLS, hamming.ABSENT)
-    np.minimum.at(out, rows * SYMBOLS + (h >> np.uint64(59)).astype(np.int64), h)
-    return out.reshape(-1, SYMBOLS)
+    base = rolling(data, WORD)[at]
+    out = np.full((len(offsets) - 1) * FUNCTIONS * CLASSES, hamming.ABSENT)
+    for f in range(FUNCTIONS):
+        h = mix(base ^ mix(np.full(1, f + 1, np.uint64)))
+        of = ((h >> np.uint64(32)) * np.uint64(CLASSES) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, (rows * FUNCTIONS + f) * CLASSES + of, h)
+    return out.reshape(-1, FUNCTIONS * CLASSES)
 
 
 def shingle_signature(texts: pa.Array) -> np.ndarray:
@@ -57,11 +62,12 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
 
     Empty texts and those under 6 letters have no shingles and never pair. An empty table gives an empty result.
     """
-    first = materialise(hamming.run_pairs(hamming.index_rows(classes, word_signature, CHUNKS, DISTANCE, CAP), CAP), "p1-first")
+    first = materialise(hamming.run_pairs(hamming.index_rows(classes, word_signature, CHUNKS, DISTANCE, CAP, most_absent=MOST_ABSENT), CAP), "p1-first")
     hot = first.where("b is null").select(F.col("a").alias("id")).distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
     fine = materialise(classes.where(short).unionByName(classes.where(~short).join(hot, "id", "left_semi")), "p1-fine")
-    again = materialise(hamming.run_pairs(hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP), FINE_CAP), "p1-second")
+    tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS // 16)
+    again = materialise(hamming.run_pairs(tagged, FINE_CAP, hamming.within_distance(FINE_SYMBOLS, FINE_DISTANCE)), "p1-second")
     left = again.where("b is null").select(F.col("a").alias("id")).distinct()
     long = fine.join(left, "id", "left_semi")
     keys = hamming.index_rows(long, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, 1 << 40).select("key", "id")
@@ -121,14 +127,20 @@ def p1_groups(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 _SEQ = "replace(upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), 'U', 'T')"
-P1_FOUND_SQL = f"""
-WITH r AS (SELECT DISTINCT record_id, {_SEQ} AS text FROM (SELECT record_id, sequence FROM emitted_crc16_codewords UNION ALL SELECT record_id, sequence FROM generated_selected_samples)
+_LINKS = f"""WITH r AS (SELECT DISTINCT record_id, {_SEQ} AS text FROM (SELECT record_id, sequence FROM emitted_crc16_codewords UNION ALL SELECT record_id, sequence FROM generated_selected_samples)
   WHERE record_id IS NOT NULL AND length({_SEQ}) >= 6),
 c AS (SELECT text, min(record_id) AS id FROM r GROUP BY text),
 k AS (SELECT DISTINCT id, substr(text, i, 6) AS w FROM (SELECT id, text, unnest(range(1, length(text) - 4)) AS i FROM c)),
 n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
 s AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM k x JOIN k y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id),
-near AS (SELECT a, b FROM s JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 3 * i >= p.n + q.n UNION ALL SELECT id, id FROM c),
+links AS (SELECT a, b FROM s JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 3 * i >= p.n + q.n),
 m AS (SELECT id, record_id FROM r JOIN c USING (text))
+"""
+P1_FOUND_SQL = f"""
+{_LINKS}, near AS (SELECT a, b FROM links UNION ALL SELECT id, id FROM c)
 SELECT DISTINCT least(x.record_id, y.record_id) AS id_a, greatest(x.record_id, y.record_id) AS id_b FROM near JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.record_id <> y.record_id
 """
+P1_GROUPS_SQL = f"""
+{_LINKS}, d AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id), z AS (SELECT id, count(*) AS records FROM m GROUP BY id)
+SELECT record_id, m.id AS class_id, records, coalesce(links, 0) AS links FROM m JOIN z USING (id) LEFT JOIN d USING (id)
+"""

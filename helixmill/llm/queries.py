@@ -30,6 +30,7 @@ _QUERIES = {
 }
 _SQL = {
     "p1_found": near_copies.P1_FOUND_SQL,
+    "p1_groups": near_copies.P1_GROUPS_SQL,
     "p2_sample": stable_sample.P2_SAMPLE_SQL,
     "p2_growth": stable_sample.P2_GROWTH_SQL,
     "p3_found": overlaps.P3_FOUND_SQL,

@@ -107,6 +107,30 @@ def test_rows_with_few_hot_keys_keep_their_links(spark):
     assert got <= want and len(want - got) <= len(want) // 2000 and len(want) > 4000
 
 
+def test_a_family_of_near_copies_loses_no_pair(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("ACGT") for _ in range(200))
+    rows = []
+    for i in range(1, 151):
+        s = list(base)
+        for p in rng.sample(range(200), 7):
+            s[p] = rng.choice([c for c in "ACGT" if c != s[p]])
+        rows.append((i, "".join(s)))
+    want = all_similar(rows)
+    assert pairs_of(spark, rows) == want and len(want) > 4000
+
+
+def test_short_tags_pass_every_pair_within_the_distance():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 60, (300, 48)).astype(np.uint64)
+    b = a.copy()
+    errors = rng.integers(0, 49, 300)
+    for i, n in enumerate(errors):
+        b[i, rng.choice(48, n, replace=False)] = rng.integers(0, 1 << 60, n).astype(np.uint64)
+    passed = hamming.within_distance(48, 31)(*hamming.short_tags(a), *hamming.short_tags(b))
+    assert passed[errors <= 31].all() and not passed[errors > 40].any()
+
+
 def test_near_copies_of_an_empty_table(spark):
     assert pairs_of(spark, [(1, None), (2, "")]) == set()
     df = spark.createDataFrame([], "record_id long, sequence string")
