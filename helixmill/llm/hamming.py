@@ -79,11 +79,22 @@ def within_distance(symbols: int, distance: int) -> Callable[..., np.ndarray]:
     return allow
 
 
-def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, tags: int = 0, most_absent: int | None = None) -> DataFrame:
+def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, symbols: int, tags: int = 0) -> DataFrame:
     """(key, id, hot) of ``df`` (id long, text string), and ``tags`` words t0, t1, ... of short tags. Hot rows stand under a key of their own.
 
-    Rows with more than ``most_absent`` symbols absent, too poor in substrings for this signature, come out as hot as well.
+    The first ``symbols`` of a signature are split into chunks; the tags are of all.
     """
+
+    def keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        sig = sign(texts)
+        row, key = chunk_keys(sig[:, :symbols], chunks, distance)
+        return row, key, [t[row] for t in (short_tags(sig) if tags else [])]
+
+    return keyed_rows(df, keys, cap, tags)
+
+
+def keyed_rows(df: DataFrame, keys: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[np.ndarray]]], cap: int, tags: int = 0) -> DataFrame:
+    """The same for any index: ``keys`` gives the row, key and tags of every entry of some texts."""
     names = ["key", "id", "hot", *(f"t{i}" for i in range(tags))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,18 +102,14 @@ def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = sign(batch.column(1))
-            row, key = chunk_keys(sig, chunks, distance)
+            row, key, own = keys(batch.column(1))
             order = np.argsort(key, kind="stable")
             over = np.zeros(len(key), bool)
             over[order] = _ranks(order, key) > cap
-            if most_absent is not None:
-                poor = np.flatnonzero((sig == ABSENT).sum(axis=1) > most_absent)
-                row, key, over = np.r_[row, poor], np.r_[key, mix(ids[poor].view(np.uint64)).view(np.int64)], np.r_[over, np.ones(len(poor), bool)]
             hot = mix(ids[row[over]].view(np.uint64) ^ key[over].view(np.uint64)).view(np.int64)
             key = np.where(over, 0, key)
             key[over] = hot
-            cols = [key, ids[row], over, *(t[row] for t in (short_tags(sig) if tags else []))]
+            cols = [key, ids[row], over, *own]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     return df.mapInArrow(run, ", ".join(["key long, id long, hot boolean", *(f"{n} long" for n in names[3:])]))

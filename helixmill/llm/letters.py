@@ -43,6 +43,26 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def anchored(data: np.ndarray, offsets: np.ndarray, k: int, w: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the ``k``-letter words at the anchors of the texts.
+
+    Every ``k + w - 1`` letters hold one: the place of their least hashed ``anchor``-letter substring, modulo ``w``. It depends on these letters alone, so
+    two texts that share so long a stretch share a word, wherever the stretch stands.
+    """
+    rows, at = starts(offsets, k + w - 1)
+    h = mix(rolling(data, anchor))
+    least, place = h[at], np.zeros(len(at), np.int64)
+    for i in range(1, k + w - anchor):
+        now = h[at + i]
+        less = now < least
+        least[less] = now[less]
+        place[less] = i
+    taken = np.zeros(len(data), bool)
+    taken[at + place % w] = True
+    chosen = np.flatnonzero(taken)
+    return np.searchsorted(offsets, chosen, "right") - 1, chosen
+
+
 def codes6(data: np.ndarray) -> np.ndarray:
     """Exact 30-bit codes of the 6-letter substrings of A to Z from each position on."""
     n = max(len(data) - 5, 0)
@@ -79,6 +99,31 @@ def bit_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(seen, axis=1).view(np.uint64), other
 
 
+def may_share(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
+    """False only for pairs whose similarity is surely under ``least``: from sets of 1,024 shingle classes instead of shingles.
+
+    Classes merge shingles, so two texts share at most as many shingles as classes and those one text has more than classes.
+    """
+    out = np.ones(len(left), bool)
+    for begin in range(0, len(left), 8192):
+        bits, size, slack = [], [], []
+        for texts in (left.slice(begin, 8192), right.slice(begin, 8192)):
+            data, offsets = flat(texts)
+            base = _BASES[data] & 3
+            code = np.zeros(max(len(data) - 5, 0), np.int32)
+            for i in range(6):
+                code = (code << 2) | base[i : i + len(code)]
+            rows, at = starts(offsets, 6)
+            seen = np.zeros((len(texts), 1024), bool)
+            seen[rows, ((code * 40503) >> 4)[at] & 1023] = True
+            bits.append(np.packbits(seen, axis=1).view(np.uint64))
+            size.append(np.bitwise_count(bits[-1]).sum(axis=1).astype(np.int64))
+            slack.append(np.maximum(np.diff(offsets) - 5, 0) - size[-1])
+        common = np.bitwise_count(bits[0] & bits[1]).sum(axis=1) + np.minimum(*slack)
+        out[begin : begin + 8192] = common * (1 + least) >= least * (size[0] + size[1])
+    return out
+
+
 def jaccard6(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Size of intersection and union of the 6-letter shingle sets of each pair of texts."""
     common, union = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)

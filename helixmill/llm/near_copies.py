@@ -9,52 +9,51 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.names import normal_sequence
 from helixmill.llm import hamming
-from helixmill.llm.letters import close_matrix, codes6, flat, jaccard6, mix, rolling, starts
+from helixmill.llm.letters import anchored, close_matrix, codes6, flat, jaccard6, may_share, mix, rolling, starts
 from helixmill.sources import materialise, table
 
 SHINGLE = 6
 THRESHOLD = 0.5
-#: First index: 72 symbols, the least hash of the 9-letter substrings in each of 24 classes under three functions; 24 chunks of
-#: three symbols, so that pairs which differ in at most 47 agree in two symbols of a chunk.
-WORD, FUNCTIONS, CLASSES, CHUNKS, DISTANCE, CAP = 9, 3, 24, 24, 47, 64
-#: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under 48
-#: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
-FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
+#: First index: the 13-letter words at anchors; every stretch of 15 letters holds one.
+WORD, WINDOW, ANCHOR, CAP = 13, 3, 4, 64
+#: Second index, for short sequences and for rows under hot keys: 60 symbols, least hashes of all 6-letter substrings under as many
+#: functions; pairs that agree in 3 of 6 symbols of one of 10 chunks (so all that differ in at most 39).
+FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 60, 10, 39, 500
+#: Symbols of which a run compares short tags, and those that may differ: of pairs with a similarity of one half, 18 agree but for some 4 in 100,000.
+TAG_SYMBOLS, TAG_DISTANCE = 64, 46
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings, or with more absent symbols since their substrings repeat, go to the second index too,
-#: as does every row with a hot key in the first.
-SHORT, MOST_ABSENT = 100, 6
+#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a hot key in the first.
+SHORT = 100
 
 
-def word_signature(texts: pa.Array) -> np.ndarray:
-    """Least hashes of the 9-letter substrings in each class under each function; absent where a class has none."""
+def stretch_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(row, key) of the first index: one key for each anchored word of a text, none where a word repeats the one before."""
     data, offsets = flat(texts)
-    rows, at = starts(offsets, WORD)
-    base = rolling(data, WORD)[at]
-    out = np.full((len(offsets) - 1) * FUNCTIONS * CLASSES, hamming.ABSENT)
-    for f in range(FUNCTIONS):
-        h = mix(base ^ mix(np.full(1, f + 1, np.uint64)))
-        of = ((h >> np.uint64(32)) * np.uint64(CLASSES) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(out, (rows * FUNCTIONS + f) * CLASSES + of, h)
-    return out.reshape(-1, FUNCTIONS * CLASSES)
+    row, at = anchored(data, offsets, WORD, WINDOW, ANCHOR)
+    key = mix(rolling(data, WORD)[at]) if len(at) else np.zeros(0, np.uint64)
+    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)]
+    return row[new], key[new].view(np.int64), []
 
 
 def shingle_signature(texts: pa.Array) -> np.ndarray:
-    """Least hash of the 6-letter substrings under each of 48 functions; absent where there are none."""
+    """Least hash of the 6-letter substrings under each of 64 functions; absent where there are none."""
     data, offsets = flat(texts)
     rows, at = starts(offsets, SHINGLE)
     base = codes6(data)[at].astype(np.uint64)
-    out = np.full((len(offsets) - 1, FINE_SYMBOLS), hamming.ABSENT)
+    out = np.full((len(offsets) - 1, TAG_SYMBOLS), hamming.ABSENT)
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    for s in range(FINE_SYMBOLS if len(rows) else 0):
+    for s in range(TAG_SYMBOLS if len(rows) else 0):
         out[rows[first], s] = np.minimum.reduceat(mix(base + np.uint64((s + 1) << 32)), first)
     return out
 
 
 def _close(left: pa.Array, right: pa.Array) -> np.ndarray:
-    common, union = jaccard6(left, right)
-    return common >= THRESHOLD * union
+    out = may_share(left, right, THRESHOLD)
+    some = pa.array(np.flatnonzero(out))
+    common, union = jaccard6(left.take(some), right.take(some))
+    out[out] = common >= THRESHOLD * union
+    return out
 
 
 def similar_pairs(classes: DataFrame) -> DataFrame:
@@ -62,15 +61,15 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
 
     Empty texts and those under 6 letters have no shingles and never pair. An empty table gives an empty result.
     """
-    first = materialise(hamming.run_pairs(hamming.index_rows(classes, word_signature, CHUNKS, DISTANCE, CAP, most_absent=MOST_ABSENT), CAP), "p1-first")
+    first = materialise(hamming.run_pairs(hamming.keyed_rows(classes, stretch_keys, CAP), CAP), "p1-first")
     hot = first.where("b is null").select(F.col("a").alias("id")).distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
     fine = materialise(classes.where(short).unionByName(classes.where(~short).join(hot, "id", "left_semi")), "p1-fine")
-    tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS // 16)
-    again = materialise(hamming.run_pairs(tagged, FINE_CAP, hamming.within_distance(FINE_SYMBOLS, FINE_DISTANCE)), "p1-second")
+    tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS, TAG_SYMBOLS // 16)
+    again = materialise(hamming.run_pairs(tagged, FINE_CAP, hamming.within_distance(TAG_SYMBOLS, TAG_DISTANCE)), "p1-second")
     left = again.where("b is null").select(F.col("a").alias("id")).distinct()
     long = fine.join(left, "id", "left_semi")
-    keys = hamming.index_rows(long, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, 1 << 40).select("key", "id")
+    keys = hamming.index_rows(long, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, 1 << 40, FINE_SYMBOLS).select("key", "id")
     rest = hamming.block_pairs(keys, long, BLOCK, lambda x, y: close_matrix(x, y, THRESHOLD), FINE_CAP)
     pairs = first.where("b is not null").unionByName(again.where("b is not null")).unionByName(rest).distinct()
     both = pairs.join(classes.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")

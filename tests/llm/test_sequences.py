@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from helixmill.llm import hamming, near_copies, overlaps, stable_sample
-from helixmill.llm.letters import close_matrix, jaccard6
+from helixmill.llm.letters import anchored, close_matrix, jaccard6, may_share
 
 
 def shingles(s):
@@ -120,6 +120,27 @@ def test_a_family_of_near_copies_loses_no_pair(spark):
     assert pairs_of(spark, rows) == want and len(want) > 4000
 
 
+def test_every_stretch_of_fifteen_letters_shares_a_word():
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    for _ in range(300):
+        same = word(15)
+        texts = [word(rng.randint(0, 30)) + same + word(rng.randint(0, 30)) for _ in range(2)]
+        row, at = anchored(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, len(texts[0]), len(texts[0] + texts[1])]), 13, 3, 4)
+        words = [{"".join(texts)[p : p + 13] for p in at[row == i]} for i in (0, 1)]
+        assert any(w in same for w in words[0] & words[1])
+
+
+def test_filter_by_classes_drops_no_similar_pair():
+    rng = random.Random(12)
+    left = ["".join(rng.choice("ACG") for _ in range(rng.randint(0, 150))) for _ in range(800)]
+    right = [moved(rng, s, rng.randint(1, 9)) if len(s) > 60 else s[:-1] for s in left]
+    left, right = left + left, right + right[::-1]
+    passed = may_share(pa.array(left), pa.array(right), 0.5)
+    want = np.array([similar(a, b) for a, b in zip(left, right)])
+    assert passed[want].all() and want.sum() > 300 and not passed.all()
+
+
 def test_short_tags_pass_every_pair_within_the_distance():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 60, (300, 48)).astype(np.uint64)
