@@ -14,8 +14,8 @@ from helixmill.sources import materialise, table
 
 SHINGLE = 6
 THRESHOLD = 0.5
-#: First index: the 13-letter words at anchors; every stretch of 15 letters holds one.
-WORD, WINDOW, ANCHOR, CAP = 13, 3, 4, 64
+#: First index: the 14-letter words at anchors; every stretch of 16 letters holds one.
+WORD, WINDOW, ANCHOR, CAP = 14, 3, 5, 64
 #: Second index, for short sequences and for rows under hot keys: 60 symbols, least hashes of all 6-letter substrings under as many
 #: functions; pairs that agree in 3 of 6 symbols of one of 10 chunks (so all that differ in at most 39).
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 60, 10, 39, 500
