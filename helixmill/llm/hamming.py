@@ -82,13 +82,13 @@ def within_distance(symbols: int, distance: int) -> Callable[..., np.ndarray]:
 def index_rows(df: DataFrame, sign: Signer, chunks: int, distance: int, cap: int, symbols: int, tags: int = 0) -> DataFrame:
     """(key, id, hot) of ``df`` (id long, text string), and ``tags`` words t0, t1, ... of short tags. Hot rows stand under a key of their own.
 
-    The first ``symbols`` of a signature are split into chunks; the tags are of all.
+    The first ``symbols`` of a signature are split into chunks; the tags are of the others.
     """
 
     def keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         sig = sign(texts)
         row, key = chunk_keys(sig[:, :symbols], chunks, distance)
-        return row, key, [t[row] for t in (short_tags(sig) if tags else [])]
+        return row, key, [t[row] for t in (short_tags(sig[:, symbols:]) if tags else [])]
 
     return keyed_rows(df, keys, cap, tags)
 

@@ -16,10 +16,11 @@ SHINGLE = 6
 THRESHOLD = 0.5
 #: First index: the 14-letter words at anchors; every stretch of 16 letters holds one.
 WORD, WINDOW, ANCHOR, CAP = 14, 3, 5, 64
-#: Second index, for short sequences and for rows under hot keys: 60 symbols, least hashes of all 6-letter substrings under as many
-#: functions; pairs that agree in 3 of 6 symbols of one of 10 chunks (so all that differ in at most 39).
-FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 60, 10, 39, 500
-#: Symbols of which a run compares short tags, and those that may differ: of pairs with a similarity of one half, 18 agree but for some 4 in 100,000.
+#: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under as many
+#: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
+FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
+#: Further symbols of which a run compares short tags, and those that may differ: of pairs with a similarity of one half, 18 agree but
+#: for some 4 in 100,000.
 TAG_SYMBOLS, TAG_DISTANCE = 64, 46
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
@@ -37,13 +38,13 @@ def stretch_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
 
 
 def shingle_signature(texts: pa.Array) -> np.ndarray:
-    """Least hash of the 6-letter substrings under each of 64 functions; absent where there are none."""
+    """Least hash of the 6-letter substrings under each of 112 functions; absent where there are none."""
     data, offsets = flat(texts)
     rows, at = starts(offsets, SHINGLE)
     base = codes6(data)[at].astype(np.uint64)
-    out = np.full((len(offsets) - 1, TAG_SYMBOLS), hamming.ABSENT)
+    out = np.full((len(offsets) - 1, FINE_SYMBOLS + TAG_SYMBOLS), hamming.ABSENT)
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    for s in range(TAG_SYMBOLS if len(rows) else 0):
+    for s in range(out.shape[1] if len(rows) else 0):
         out[rows[first], s] = np.minimum.reduceat(mix(base + np.uint64((s + 1) << 32)), first)
     return out
 
