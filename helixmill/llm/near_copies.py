@@ -14,8 +14,8 @@ from helixmill.sources import materialise, table
 
 SHINGLE = 6
 THRESHOLD = 0.5
-#: First index: the 14-letter words at anchors; every stretch of 16 letters holds one.
-WORD, WINDOW, ANCHOR, CAP = 14, 3, 5, 64
+#: First index: the 13-letter words at anchors; every stretch of 15 letters holds one.
+WORD, WINDOW, ANCHOR, CAP = 13, 3, 4, 64
 #: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under as many
 #: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
@@ -24,17 +24,33 @@ FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
 TAG_SYMBOLS, TAG_DISTANCE = 64, 46
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a hot key in the first.
+#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a key of over ``BLOCK`` rows in the first.
 SHORT = 100
 
 
 def stretch_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(row, key) of the first index: one key for each anchored word of a text, none where a word repeats the one before."""
+    """(row, key, tag) of the first index: one key for each anchored word of a text, none where a word repeats the one before.
+
+    The tag holds the two letters on either side of the word, three bits each, 0 beyond the text.
+    """
     data, offsets = flat(texts)
     row, at = anchored(data, offsets, WORD, WINDOW, ANCHOR)
-    key = mix(rolling(data, WORD)[at]) if len(at) else np.zeros(0, np.uint64)
-    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)]
-    return row[new], key[new].view(np.int64), []
+    if not len(at):
+        return row, at, [at]
+    key = mix(rolling(data, WORD)[at])
+    near = np.zeros(len(at), np.int64)
+    for step in (-2, -1, WORD, WORD + 1):
+        place = at + step
+        inside = (place >= offsets[row]) & (place < offsets[row + 1])
+        near = near << 3 | np.where(inside, data[np.where(inside, place, 0)] & 7, 0)
+    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
+    return row[new], key[new].view(np.int64), [near[new]]
+
+
+def same_stretch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Do two rows with an equal word share one of the three stretches of 15 letters around it? True for all that do."""
+    differ = x ^ y
+    return (differ & 0o0077 == 0) | (differ & 0o0770 == 0) | (differ & 0o7700 == 0)
 
 
 def shingle_signature(texts: pa.Array) -> np.ndarray:
@@ -62,17 +78,22 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
 
     Empty texts and those under 6 letters have no shingles and never pair. An empty table gives an empty result.
     """
-    first = materialise(hamming.run_pairs(hamming.keyed_rows(classes, stretch_keys, CAP), CAP), "p1-first")
-    hot = first.where("b is null").select(F.col("a").alias("id")).distinct()
+    first = materialise(hamming.run_pairs(hamming.keyed_rows(classes, stretch_keys, CAP, 1), CAP, same_stretch), "p1-first")
+    hot = materialise(classes.join(first.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "p1-hot")
+    runs = hamming.keyed_rows(hot, stretch_keys, 1 << 40, 1).select("key", "id").distinct()
+    size = runs.groupBy("key").count()
+    close = lambda x, y: close_matrix(x, y, THRESHOLD)
+    middle = hamming.block_pairs(runs.join(size.where(F.col("count") <= BLOCK), "key").select("key", "id"), hot, BLOCK, close, CAP)
+    hotter = runs.join(size.where(F.col("count") > BLOCK), "key").select("id").distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
-    fine = materialise(classes.where(short).unionByName(classes.where(~short).join(hot, "id", "left_semi")), "p1-fine")
+    fine = materialise(classes.where(short).unionByName(hot.where(~short).join(hotter, "id", "left_semi")), "p1-fine")
     tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS, TAG_SYMBOLS // 16)
     again = materialise(hamming.run_pairs(tagged, FINE_CAP, hamming.within_distance(TAG_SYMBOLS, TAG_DISTANCE)), "p1-second")
     left = again.where("b is null").select(F.col("a").alias("id")).distinct()
     long = fine.join(left, "id", "left_semi")
     keys = hamming.index_rows(long, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, 1 << 40, FINE_SYMBOLS).select("key", "id")
-    rest = hamming.block_pairs(keys, long, BLOCK, lambda x, y: close_matrix(x, y, THRESHOLD), FINE_CAP)
-    pairs = first.where("b is not null").unionByName(again.where("b is not null")).unionByName(rest).distinct()
+    rest = hamming.block_pairs(keys, long, BLOCK, close, FINE_CAP)
+    pairs = first.where("b is not null").unionByName(again.where("b is not null")).unionByName(middle).unionByName(rest).distinct()
     both = pairs.join(classes.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches):
