@@ -16,6 +16,8 @@ SHINGLE = 6
 THRESHOLD = 0.5
 #: First index: the 13-letter words at anchors; every stretch of 15 letters holds one.
 WORD, WINDOW, ANCHOR, CAP = 13, 3, 4, 64
+#: Runs of the first index of up to this many rows are compared exhaustively; rows under longer ones go to the second index.
+MIDDLE = 1024
 #: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under as many
 #: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
@@ -24,7 +26,7 @@ FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
 TAG_SYMBOLS, TAG_DISTANCE = 64, 46
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a key of over ``BLOCK`` rows in the first.
+#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a key of over ``MIDDLE`` rows in the first.
 SHORT = 100
 
 
@@ -83,8 +85,8 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
     runs = hamming.keyed_rows(hot, stretch_keys, 1 << 40, 1).select("key", "id").distinct()
     size = runs.groupBy("key").count()
     close = lambda x, y: close_matrix(x, y, THRESHOLD)
-    middle = hamming.block_pairs(runs.join(size.where(F.col("count") <= BLOCK), "key").select("key", "id"), hot, BLOCK, close, CAP)
-    hotter = runs.join(size.where(F.col("count") > BLOCK), "key").select("id").distinct()
+    middle = hamming.block_pairs(runs.join(size.where(F.col("count") <= MIDDLE), "key").select("key", "id"), hot, MIDDLE, close, CAP)
+    hotter = runs.join(size.where(F.col("count") > MIDDLE), "key").select("id").distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
     fine = materialise(classes.where(short).unionByName(hot.where(~short).join(hotter, "id", "left_semi")), "p1-fine")
     tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS, TAG_SYMBOLS // 16)

@@ -69,7 +69,7 @@ def test_near_copies_match_brute_force(spark):
 
 
 def test_hot_families_and_shared_adapters_lose_nothing(spark, monkeypatch):
-    for name, value in (("CAP", 4), ("FINE_CAP", 6), ("BLOCK", 9)):
+    for name, value in (("CAP", 4), ("MIDDLE", 8), ("FINE_CAP", 6), ("BLOCK", 9)):
         monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(5)
     base, adapter = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (108, 40))
