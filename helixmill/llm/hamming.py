@@ -103,9 +103,7 @@ def keyed_rows(df: DataFrame, keys: Callable[[pa.Array], tuple[np.ndarray, np.nd
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             row, key, own = keys(batch.column(1))
-            order = np.argsort(key, kind="stable")
-            over = np.zeros(len(key), bool)
-            over[order] = _ranks(order, key) > cap
+            over = beyond(key, cap)
             hot = mix(ids[row[over]].view(np.uint64) ^ key[over].view(np.uint64)).view(np.int64)
             key = np.where(over, 0, key)
             key[over] = hot
@@ -115,6 +113,14 @@ def keyed_rows(df: DataFrame, keys: Callable[[pa.Array], tuple[np.ndarray, np.nd
     return df.mapInArrow(run, ", ".join(["key long, id long, hot boolean", *(f"{n} long" for n in names[3:])]))
 
 
+def beyond(keys: np.ndarray, cap: int) -> np.ndarray:
+    """Which entries have more than ``cap`` earlier ones with the same key."""
+    order = np.argsort(keys, kind="stable")
+    over = np.zeros(len(keys), bool)
+    over[order] = _ranks(order, keys) > cap
+    return over
+
+
 def _runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[list[np.ndarray]]:
     """The columns (key, id, hot, tags...) in pieces that end with a run; the rest of a run that is long already comes as hot."""
     keep: list[np.ndarray] | None = None
@@ -137,35 +143,36 @@ def _runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[list[np.ndarr
         yield keep
 
 
+def pairs_in_runs(batches: Iterator[pa.RecordBatch], cap: int, allow: Callable[..., np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs in each run of rows with one key, and (id, null) for the rows of long runs; see ``run_pairs``."""
+    for key, ids, hot, *tags in _runs(batches, cap):
+        if not len(key):
+            continue
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[at, len(key)])
+        marked = hot | np.repeat(n > cap, n)
+        for size in np.unique(n[(n > 1) & (n <= cap)]):
+            place = at[n == size][:, None] + np.arange(size)
+            x, y = np.triu_indices(size, 1)
+            x, y = place[:, x].ravel(), place[:, y].ravel()
+            good = ids[x] != ids[y]
+            if allow is not None:
+                good &= allow(*(t[x] for t in tags), *(t[y] for t in tags))
+            a.append(ids[x[good]])
+            b.append(ids[y[good]])
+        x, y = np.concatenate(a), np.concatenate(b)
+        hot_ids = np.unique(ids[marked])
+        none = np.r_[np.zeros(len(x), bool), np.ones(len(hot_ids), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(x, y), hot_ids]), pa.array(np.r_[np.maximum(x, y), hot_ids], mask=none)], ["a", "b"])
+
+
 def run_pairs(indexed: DataFrame, cap: int, allow: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """(a, b) of all pairs a < b under a key of at most ``cap`` rows; (id, null) for every row under a longer one.
 
     ``allow``, of the further columns of the one rows and of the other, keeps only some of the pairs.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, hot, *tags in _runs(batches, cap):
-            if not len(key):
-                continue
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.diff(np.r_[at, len(key)])
-            marked = hot | np.repeat(n > cap, n)
-            for size in np.unique(n[(n > 1) & (n <= cap)]):
-                place = at[n == size][:, None] + np.arange(size)
-                x, y = np.triu_indices(size, 1)
-                x, y = place[:, x].ravel(), place[:, y].ravel()
-                good = ids[x] != ids[y]
-                if allow is not None:
-                    good &= allow(*(t[x] for t in tags), *(t[y] for t in tags))
-                a.append(ids[x[good]])
-                b.append(ids[y[good]])
-            x, y = np.concatenate(a), np.concatenate(b)
-            hot_ids = np.unique(ids[marked])
-            none = np.r_[np.zeros(len(x), bool), np.ones(len(hot_ids), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(x, y), hot_ids]), pa.array(np.r_[np.maximum(x, y), hot_ids], mask=none)], ["a", "b"])
-
-    return indexed.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIRS)
+    return indexed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: pairs_in_runs(batches, cap, allow), PAIRS)
 
 
 def block_pairs(keys: DataFrame, texts: DataFrame, cap: int, close: Callable[[pa.Array, pa.Array], np.ndarray], over: int | None = None) -> DataFrame:

@@ -1,90 +1,40 @@
-"""Problem 3: sequences of one split that occur, exactly or almost, in the other, by a join of minimizer hashes.
+"""Problem 3: sequences of one split that occur, exactly or almost, in the other, by a sparse suffix array.
 
-Two texts within four edits share a run of at least a fifth of the shorter one's letters (pigeonhole over five pieces), so some
-common substring of ``k`` letters is a minimizer of both: the one with the least hash among ``w`` neighbours, in the strand with the
-lesser hash, where ``k + w - 1`` is that run. This join replaces the sparse suffix array: Spark shuffles and sorts the hashes, not the
-texts, rows under one equal hash are a shared span, and no common prefixes are taken, since the edit distance decides anyway.
-Pairs with a shared span are checked by 6-letter counts and a banded edit distance.
+Two texts within four edits share a stretch of at least a fifth of the shorter one's letters (pigeonhole over five pieces). The suffix
+array holds the suffixes at the least hash among ``w`` neighbouring places, where ``k + w - 1`` is that stretch, so both texts have the suffix at
+one place of it, and the two have a common prefix of ``k`` letters. The array is sorted in ranges; neighbours are compared, and the
+texts of different splits in a run of common prefixes of ``k`` letters are candidates, checked by 6-letter counts and a banded edit distance.
 
-Coverage must not depend on tiers or on which suffixes were taken: it uses all substrings of ``SPAN`` letters of all texts. A shared
-run of more letters is the union of its substrings, so the union of those that both splits hold is that of all longest shared runs.
+Coverage takes the suffix at every place. Neighbours with a common prefix of ``SPAN`` letters or more, from both splits, reveal a shared
+span; a longer one is the union of those at its places, and each record's spans are merged.
 
-Lengths are cut into tiers, since the run to be shared depends on the length. Texts under 40 letters, which may share next to
-nothing, and suffixes under a prefix that more than ``CAP`` texts share are compared exhaustively, in blocks.
+Lengths are cut into tiers, since the stretch to be shared depends on the length. Texts under 40 letters, which may share next to
+nothing, and texts under a prefix that more than ``CAP`` texts share are compared exhaustively, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions.names import digest_key, name_key, normal_sequence, reverse_complement
-from helixmill.llm import hamming
-from helixmill.llm.letters import bit_sets, flat, mix, rolling, starts
+from helixmill.llm import hamming, suffixes
+from helixmill.llm.letters import bit_sets, flat
 from helixmill.sources import materialise, table
 
 EDITS = 4
 #: (least length, k, w) of each tier, with k + w - 1 a fifth of the least length; each reaches to the next one's least.
-TIERS = ((40, 6, 3), (80, 12, 5), (100, 16, 5), (145, 22, 8), (300, 40, 21), (1000, 80, 121))
+TIERS = ((40, 6, 3), (80, 12, 5), (100, 16, 5), (145, 22, 8), (300, 24, 37), (1000, 24, 177))
 CAP, BLOCK = 64, 500
 #: Letters that a shared span has at least, for coverage.
 SPAN = 20
-#: More splits than bits in a mask are refused; the splits are those of the fixed table of directions.
-MOST_SPLITS = 30
-_SPAN_COLUMNS = "key long, id long, hot boolean, tag long, at int, k int"
-_COMPLEMENT = np.arange(256, dtype=np.uint8)
-_COMPLEMENT[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
-
-
-def reversed_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The bytes of the reverse complements of all texts, in place of the texts."""
-    rows, at = starts(offsets, 1)
-    return _COMPLEMENT[data[offsets[rows] + offsets[rows + 1] - 1 - at]] if len(at) else data
-
-
-def minimizers(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in the data, hash) of the minimizers of texts that have at least ``k + w - 1`` letters."""
-    rows, at = starts(offsets, k)
-    back = offsets[rows] + offsets[rows + 1] - k - at
-    h = np.minimum(mix(rolling(data, k)[at]), mix(rolling(reversed_rows(data, offsets), k)[back]))
-    n = max(len(h) - w + 1, 0)
-    least = h[:n].copy()
-    for i in range(1, w):
-        np.minimum(least, h[i : i + n], out=least)
-    whole = rows[:n] == rows[w - 1 :]
-    chosen = np.zeros(len(h), bool)
-    for i in range(w):
-        chosen[i : i + n] |= whole & (h[i : i + n] == least)
-    return rows[chosen], at[chosen], h[chosen]
-
-
-def suffixes(classes: DataFrame) -> DataFrame:
-    """(key, id, hot, tag, at, k) of the sparse suffixes of ``classes`` (id, text, mask); the tag holds mask and length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, mask = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            data, offsets = flat(batch.column(1))
-            length = np.diff(offsets)
-            tag = (mask.astype(np.int64) << 32) | length
-            for tier, (low, k, w) in enumerate(TIERS):
-                high = TIERS[tier + 1][0] + EDITS if tier + 1 < len(TIERS) else 1 << 60
-                inside = np.flatnonzero((length >= low) & (length < high))
-                if not len(inside):
-                    continue
-                some, ends = flat(batch.column(1).take(pa.array(inside)))
-                row, at, h = minimizers(some, ends, k, w)
-                key = mix(h ^ np.uint64(tier + 1)).view(np.int64)
-                _, once = np.unique(np.stack([row, key]), axis=1, return_index=True)
-                row, at, key = row[once], at[once] - ends[row[once]], key[once]
-                cols = [key, ids[inside[row]], np.zeros(len(key), bool), tag[inside[row]], at.astype(np.int32), np.full(len(key), k, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "hot", "tag", "at", "k"])
-
-    return classes.select("id", "text", "mask").mapInArrow(run, _SPAN_COLUMNS)
+#: Splits that are compared at a time, a bit for each in a mask.
+SPLITS_AT_ONCE = 30
 
 
 def within_edits(left: list[bytes], right: list[bytes], most: int = EDITS) -> np.ndarray:
@@ -125,7 +75,7 @@ def within_edits(left: list[bytes], right: list[bytes], most: int = EDITS) -> np
 
 def _reverse(texts: pa.Array) -> pa.Array:
     data, offsets = flat(texts)
-    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(reversed_rows(data, offsets)))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(suffixes.reversed_rows(data, offsets)))
 
 
 def almost_equal(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -180,13 +130,14 @@ def close_classes(classes: DataFrame, reach: dict[int, int]) -> DataFrame:
         low = (1 << 32) - 1
         return (wide & (y >> 32) != 0) & (np.abs((x & low) - (y & low)) <= EDITS)
 
-    index = suffixes(classes)
-    spans = materialise(hamming.run_pairs(index.select("key", "id", "hot", "tag"), CAP, allow), "p3-spans")
+    array = suffixes.sparse(classes, TIERS, EDITS, CAP)
+    spans = materialise(suffixes.adjacent_pairs(array, TIERS, CAP, allow), "p3-spans")
     hot = classes.join(spans.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     short = classes.where(F.length("text") < TIERS[0][0] + EDITS)
     lengths = short.select(F.explode(F.sequence(F.lit(0), F.lit(1))).alias("step"), "id", (F.length("text") / (EDITS + 1)).cast("long").alias("group"))
     texts = classes.select("id", "text")
-    rest = hamming.block_pairs(suffixes(hot).select("key", "id"), texts, BLOCK, _almost_matrix, CAP)
+    prefixes = suffixes.sparse(hot, TIERS, EDITS, 1 << 40).select(F.xxhash64(*suffixes.prefix_columns(TIERS)).alias("key"), "id")
+    rest = hamming.block_pairs(prefixes, texts, BLOCK, _almost_matrix, CAP)
     few = hamming.block_pairs(lengths.select((F.col("group") + F.col("step")).alias("key"), "id"), texts, BLOCK, _almost_matrix, 1)
     pairs = spans.where("b is not null").unionByName(rest).unionByName(few).distinct()
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -218,13 +169,22 @@ def cross_split(rows: DataFrame, ways: DataFrame) -> DataFrame:
     ``rows``: (record_id, pool, text), distinct; ``ways``: (direction, source, target), the fixed table of directions. Equal texts
     are gathered into classes first, and only classes are compared.
     """
-    joined = ways.select("source", "target").distinct()
-    if joined.count() > MOST_SPLITS**2:
-        raise ValueError(f"more than {MOST_SPLITS} splits")
-    pools = [(r["source"], r["target"]) for r in joined.collect()]
+    groups = split_groups(ways)
+    return reduce(DataFrame.unionByName, [_cross_split(rows, ways, group) for group in groups]) if groups else _cross_split(rows, ways, [])
+
+
+def split_groups(ways: DataFrame) -> list[list[tuple[str, str]]]:
+    """The (source, target) pairs of the fixed table of directions, in groups of at most ``SPLITS_AT_ONCE`` splits."""
+    groups: list[list[tuple[str, str]]] = []
+    for way in sorted((r["source"], r["target"]) for r in ways.select("source", "target").distinct().toLocalIterator()):
+        if not groups or len({p for w in [*groups[-1], way] for p in w}) > SPLITS_AT_ONCE:
+            groups.append([])
+        groups[-1].append(way)
+    return groups
+
+
+def _cross_split(rows: DataFrame, ways: DataFrame, pools: list[tuple[str, str]]) -> DataFrame:
     bit = {p: i for i, p in enumerate(sorted({p for way in pools for p in way}))}
-    if len(bit) > MOST_SPLITS:
-        raise ValueError(f"more than {MOST_SPLITS} splits")
     reach = dict.fromkeys(bit.values(), 0)
     for s, t in pools:
         reach[bit[s]] |= 1 << bit[t]
@@ -238,9 +198,14 @@ def cross_split(rows: DataFrame, ways: DataFrame) -> DataFrame:
     pairs = near.unionByName(classes.where(F.bit_count("mask") > 1).select(F.col("id").alias("x"), F.col("id").alias("y")))
     source = members.select(F.col("id").alias("x"), F.col("pool").alias("source"), F.col("record_id").alias("s"))
     target = members.select(F.col("id").alias("y"), F.col("pool").alias("target"), F.col("record_id").alias("t"))
+    ways = ways.where(_among(pools))
     return pairs.join(source, "x").join(ways, "source").join(target, ["y", "target"]).where("s <> t").select("direction", "s", "t")
 
 
+def _among(pools: list[tuple[str, str]]) -> Column:
+    return reduce(lambda c, way: c | ((F.col("source") == way[0]) & (F.col("target") == way[1])), pools, F.lit(False))
+
+
 def digest_overlaps(public: DataFrame, rows: DataFrame, ways: DataFrame) -> DataFrame:
     """(direction, s, t): sample ``s`` of a direction's source split whose normal sequence, or its reverse complement, has the digest of ``t``.
 
@@ -274,9 +239,9 @@ def p3_report(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def places(classes: DataFrame) -> DataFrame:
-    """(key, id, mask, at, letters) of all substrings of ``SPAN`` letters, on either strand, of ``classes`` (id, text, mask).
+    """(hi, lo, id, mask, at, letters) of the suffixes at all places of ``classes`` (id, text, mask), cut to ``SPAN`` letters.
 
-    Texts of fewer letters have one, the whole text, with a key that no longer one has.
+    Texts of fewer letters have one suffix, the whole text, which no longer one equals.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +251,12 @@ def places(classes: DataFrame) -> DataFrame:
             for k in np.unique(letters[letters > 0]).tolist():
                 inside = np.flatnonzero(letters == k)
                 data, offsets = flat(batch.column(1).take(pa.array(inside)))
-                rows, at = starts(offsets, k)
-                back = offsets[rows] + offsets[rows + 1] - k - at
-                h = np.minimum(mix(rolling(data, k)[at]), mix(rolling(reversed_rows(data, offsets), k)[back]))
-                cols = [mix(h ^ np.uint64(k)).view(np.int64), ids[inside[rows]], mask[inside[rows]].astype(np.int32), (at - offsets[rows]).astype(np.int32), np.full(len(at), k, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "mask", "at", "letters"])
+                rows, at, _, place = suffixes.strands(data, offsets, k)
+                hi, lo = suffixes.words(data, offsets, rows, place, k)
+                cols = [hi, lo, ids[inside[rows]], mask[inside[rows]].astype(np.int32), (at - offsets[rows]).astype(np.int32), np.full(len(at), k, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hi", "lo", "id", "mask", "at", "letters"])
 
-    return classes.select("id", "text", "mask").mapInArrow(run, "key long, id long, mask int, at int, letters int")
+    return classes.select("id", "text", "mask").mapInArrow(run, "hi long, lo long, id long, mask int, at int, letters int")
 
 
 def coverage(rows: DataFrame, ways: DataFrame) -> DataFrame:
@@ -301,10 +265,12 @@ def coverage(rows: DataFrame, ways: DataFrame) -> DataFrame:
     A span has ``SPAN`` letters or more, on either strand; a shorter text is covered if the source split has the same text. Only
     covered samples have a row. ``rows`` and ``ways`` as in ``cross_split``.
     """
-    pools = [(r["source"], r["target"]) for r in ways.select("source", "target").distinct().limit(MOST_SPLITS**2 + 1).collect()]
+    groups = split_groups(ways)
+    return reduce(DataFrame.unionByName, [_coverage(rows, ways, group) for group in groups]) if groups else _coverage(rows, ways, [])
+
+
+def _coverage(rows: DataFrame, ways: DataFrame, pools: list[tuple[str, str]]) -> DataFrame:
     bit = {p: i for i, p in enumerate(sorted({p for way in pools for p in way}))}
-    if len(bit) > MOST_SPLITS:
-        raise ValueError(f"more than {MOST_SPLITS} splits")
     number = lambda c: F.coalesce(*[F.when(F.col(c) == p, F.lit(1 << i)) for p, i in bit.items()], F.lit(0))
     inside = rows.where(number("pool") > 0)
     classes = materialise(inside.groupBy("text").agg(F.min("record_id").alias("id"), F.bit_or(number("pool")).alias("mask")).select("id", "text", "mask"), "p3-coverage-classes")
@@ -312,9 +278,9 @@ def coverage(rows: DataFrame, ways: DataFrame) -> DataFrame:
     for s, t in pools:
         both = both | (F.col("there").bitwiseAND(1 << bit[s] | 1 << bit[t]) == (1 << bit[s] | 1 << bit[t]))
     all_places = places(classes)
-    shared = all_places.groupBy("key").agg(F.bit_or("mask").alias("there")).where(both)
-    spans = all_places.join(shared, "key").groupBy("id", "mask").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("letters")).alias("to"), "there"))).alias("spans"))  # at most the letters of one text
-    way = F.broadcast(ways.select("direction", F.col("target").alias("pool"), number("source").alias("from"), number("target").alias("into")).distinct())
+    shared = all_places.groupBy("hi", "lo").agg(F.bit_or("mask").alias("there")).where(both)
+    spans = all_places.join(shared, ["hi", "lo"]).groupBy("id", "mask").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("letters")).alias("to"), "there"))).alias("spans"))  # at most the letters of one text
+    way = F.broadcast(ways.where(_among(pools)).select("direction", F.col("target").alias("pool"), number("source").alias("from"), number("target").alias("into")).distinct())
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"))
     add = lambda acc, s: F.struct(F.greatest(acc["end"], s["to"]).alias("end"), (acc["covered"] + F.greatest(s["to"] - F.greatest(acc["end"], s["at"]), F.lit(0))).alias("covered"))
     theirs = F.filter("spans", lambda s: s["there"].bitwiseAND(F.col("from")) != 0)
@@ -331,8 +297,7 @@ def p3_coverage(spark: SparkSession, data_dir: str) -> DataFrame:
 _SEQ = "replace(upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), 'U', 'T')"
 _NAME = "lower(trim({}, chr(32) || chr(9) || chr(13) || chr(10)))"
 _BACK = "translate(reverse({}), 'ACGT', 'TGCA')"
-P3_FOUND_SQL = f"""
-WITH ways AS (SELECT DISTINCT direction, {_NAME.format("direction")} AS name, {_NAME.format("source_pool")} AS source, {_NAME.format("target_pool")} AS target FROM public_fiber_results),
+_PAIRS_SQL = f"""WITH ways AS (SELECT DISTINCT direction, {_NAME.format("direction")} AS name, {_NAME.format("source_pool")} AS source, {_NAME.format("target_pool")} AS target FROM public_fiber_results),
 r AS (SELECT DISTINCT record_id, {_NAME.format("selector_source_pool")} AS pool, {_SEQ} AS text FROM generated_selected_samples WHERE record_id IS NOT NULL AND length({_SEQ}) >= 6),
 t AS (SELECT text, min(record_id) AS id FROM r GROUP BY text),
 f AS (SELECT id, 0 AS back, text AS form FROM t UNION ALL SELECT id, 1, {_BACK.format("text")} FROM t),
@@ -346,5 +311,15 @@ near AS (SELECT DISTINCT p.text AS x, q.text AS y FROM c JOIN t p ON p.id = x JO
 a AS (SELECT direction, s.record_id AS s, e.record_id AS t FROM near JOIN r s ON s.text = x JOIN r e ON e.text = y JOIN ways ON source = s.pool AND target = e.pool WHERE s.record_id <> e.record_id),
 p AS (SELECT DISTINCT record_id, {_NAME.format("direction")} AS name, regexp_replace({_NAME.format("sequence_sha256")}, '^(sha256:|0x)', '') AS digest FROM public_fiber_selected_samples),
 b AS (SELECT ways.direction, r.record_id AS s, p.record_id AS t FROM p JOIN ways USING (name) JOIN r ON r.pool = source WHERE p.digest IN (sha256(r.text), sha256({_BACK.format("r.text")})))
-SELECT DISTINCT direction, least(s, t) AS id_a, greatest(s, t) AS id_b FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
+"""
+P3_FOUND_SQL = f"{_PAIRS_SQL} SELECT DISTINCT direction, least(s, t) AS id_a, greatest(s, t) AS id_b FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"
+P3_REPORT_SQL = f"""
+{_PAIRS_SQL}, o AS (SELECT *, 'sequence' AS kind FROM a UNION ALL SELECT *, 'digest' FROM b)
+SELECT direction, source, target, kind, count(*) AS pairs, count(DISTINCT t) AS target_records, count(DISTINCT s) AS source_records FROM o JOIN ways USING (direction) GROUP BY ALL
+"""
+P3_COVERAGE_SQL = f"""
+{_PAIRS_SQL}, i AS (SELECT *, unnest(range(1, greatest(length(text) - {SPAN}, 0) + 2)) AS at FROM r),
+w AS (SELECT record_id, pool, at, least(length(text), {SPAN}) AS n, least(substr(text, at, {SPAN}), {_BACK.format(f"substr(text, at, {SPAN})")}) AS span FROM i),
+h AS (SELECT DISTINCT direction, t.record_id, t.at, t.n FROM ways JOIN w t ON t.pool = target JOIN (SELECT DISTINCT pool, span FROM w) s ON s.pool = source AND s.span = t.span)
+SELECT direction, record_id, CAST(count(DISTINCT p) AS INTEGER) AS covered_letters FROM (SELECT direction, record_id, unnest(range(at, at + n)) AS p FROM h) GROUP BY ALL
 """

@@ -34,6 +34,8 @@ _SQL = {
     "p2_sample": stable_sample.P2_SAMPLE_SQL,
     "p2_growth": stable_sample.P2_GROWTH_SQL,
     "p3_found": overlaps.P3_FOUND_SQL,
+    "p3_report": overlaps.P3_REPORT_SQL,
+    "p3_coverage": overlaps.P3_COVERAGE_SQL,
     "p4_found": cutoffs.P4_FOUND_SQL,
     "p4_cutoffs": cutoffs.P4_CUTOFFS_SQL,
     "p5_within": compactors.P5_WITHIN_SQL,

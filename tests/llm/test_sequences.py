@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from helixmill.llm import hamming, near_copies, overlaps, stable_sample
+from helixmill.llm import hamming, near_copies, overlaps, stable_sample, suffixes
 from helixmill.llm.letters import anchored, close_matrix, jaccard6, may_share
 
 
@@ -234,6 +234,25 @@ def test_cross_split_with_hot_prefixes(spark, monkeypatch):
     assert _cross(spark, rows, ways) == _want(rows, ways)
 
 
+def test_neighbours_in_the_suffix_array_have_their_common_prefix():
+    rng = random.Random(6)
+    texts = sorted("".join(rng.choice("ACG") for _ in range(rng.randint(1, 30))) for _ in range(400))
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    hi, lo = suffixes.words(data, offsets, np.arange(400), offsets[:-1])
+    assert all((hi[i], lo[i]) <= (hi[i + 1], lo[i + 1]) for i in range(399))
+    want = [next((i for i in range(24) if x[i : i + 1] != y[i : i + 1]), 24) if x[:24] != y[:24] else 24 for x, y in zip(texts, texts[1:])]
+    assert suffixes.common_prefix(hi[1:], lo[1:], hi[:-1], lo[:-1]).tolist() == want
+
+
+def test_more_splits_than_a_mask_holds(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "SPLITS_AT_ONCE", 2)
+    rng = random.Random(10)
+    base = "".join(rng.choice("ACGT") for _ in range(108))
+    rows = [(i, "abcd"[i % 4], changed(rng, base, 2)) for i in range(1, 25)]
+    ways = [("1", "a", "b"), ("2", "b", "c"), ("3", "d", "a")]
+    assert _cross(spark, rows, ways) == _want(rows, ways)
+
+
 def test_coverage_matches_brute_force(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
