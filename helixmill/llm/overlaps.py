@@ -318,8 +318,8 @@ P3_REPORT_SQL = f"""
 SELECT direction, source, target, kind, count(*) AS pairs, count(DISTINCT t) AS target_records, count(DISTINCT s) AS source_records FROM o JOIN ways USING (direction) GROUP BY ALL
 """
 P3_COVERAGE_SQL = f"""
-{_PAIRS_SQL}, i AS (SELECT *, unnest(range(1, greatest(length(text) - {SPAN}, 0) + 2)) AS at FROM r),
-w AS (SELECT record_id, pool, at, least(length(text), {SPAN}) AS n, least(substr(text, at, {SPAN}), {_BACK.format(f"substr(text, at, {SPAN})")}) AS span FROM i),
-h AS (SELECT DISTINCT direction, t.record_id, t.at, t.n FROM ways JOIN w t ON t.pool = target JOIN (SELECT DISTINCT pool, span FROM w) s ON s.pool = source AND s.span = t.span)
-SELECT direction, record_id, CAST(count(DISTINCT p) AS INTEGER) AS covered_letters FROM (SELECT direction, record_id, unnest(range(at, at + n)) AS p FROM h) GROUP BY ALL
+{_PAIRS_SQL}, i AS (SELECT *, unnest(range(1, greatest(length(text) - {SPAN}, 0) + 2)) AS pos FROM r),
+w AS (SELECT record_id, pool, pos, least(length(text), {SPAN}) AS n, least(substr(text, pos, {SPAN}), {_BACK.format(f"substr(text, pos, {SPAN})")}) AS span FROM i),
+h AS (SELECT DISTINCT direction, t.record_id, t.pos, t.n FROM ways JOIN w t ON t.pool = target JOIN (SELECT DISTINCT pool, span FROM w) s ON s.pool = source AND s.span = t.span)
+SELECT direction, record_id, CAST(count(DISTINCT p) AS INTEGER) AS covered_letters FROM (SELECT direction, record_id, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY ALL
 """
