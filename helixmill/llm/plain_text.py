@@ -2,8 +2,8 @@
 
 Widths and ligatures become ordinary letters, zero-width characters go, blanks become ordinary spaces, accents are composed.
 Then the *resolved script set* of each word (run of letters, digits and accents) is the intersection of the script sets of its
-letters, digits and accents belonging to every script. A word with an empty set is of mixed scripts; if it holds Latin letters,
-its Cyrillic and Greek letters that look like Latin ones take the Latin spelling. A word wholly in Cyrillic or Greek that could be
+letters, digits and accents belonging to every script, and letters that are written together (such as kana and Chinese ones) to a common set. A word
+with an empty set is of mixed scripts; if it holds Latin letters, its Cyrillic and Greek letters that look like Latin ones take the Latin spelling. A word wholly in Cyrillic or Greek that could be
 spelled with look-alikes alone is a whole-script confusable; it is counted, but stays as it is.
 """
 
@@ -13,6 +13,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,13 @@ LOOK_ALIKE = CYRILLIC | GREEK
 _LATIN = "A-Za-zªºÀ-ÖØ-öø-ʯᴀ-ᵿḀ-ỿⱠ-ⱿꜢ-ꟊ"
 _OTHER = "Ͱ-ͽΆ-ϿЀ-ԯἀ-῾ᲀ-᲏"
 _MARKS = "̀-ͯ"
-#: A Latin letter and one of the other scripts in one word, with only digits and accents between.
-_MIXED = re.compile(f"[{_LATIN}][0-9{_MARKS}]*[{_OTHER}]|[{_OTHER}][0-9{_MARKS}]*[{_LATIN}]")
-_WORD = re.compile(f"(?:[^\\W_]|[{_MARKS}])+")
+_LETTER = f"(?:[^\\W_]|[{_MARKS}])"
+#: Whole words with a Latin letter and one of the two other scripts, whatever stands between; each word is read once.
+_MIXED = re.compile(
+    f"(?<![^\\W_])(?<![{_MARKS}])(?:[^\\W_{_LATIN}{_OTHER}]|[{_MARKS}])*+"
+    f"(?:[{_LATIN}](?:[^\\W_{_OTHER}]|[{_MARKS}])*+[{_OTHER}]|[{_OTHER}](?:[^\\W_{_LATIN}]|[{_MARKS}])*+[{_LATIN}]){_LETTER}*+"
+)
+_WORD = re.compile(f"{_LETTER}+")
 _HAS_LATIN = re.compile(f"[{_LATIN}]")
 _FOREIGN = re.compile(f"[{_OTHER}]+")
 _TO_LATIN = str.maketrans(LOOK_ALIKE)
@@ -70,15 +75,31 @@ def _ordinary(text: str) -> str:
     return unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: m.group().translate(_FORMS), text))
 
 
+# Scripts that are written together have a common set.
+_TOGETHER = {"Hiragana": {"Hiragana", "Japanese"}, "Katakana": {"Katakana", "Japanese"}, "Cjk": {"Cjk", "Japanese", "Korean", "Bopomofo"}, "Hangul": {"Hangul", "Korean"}, "Bopomofo": {"Bopomofo"}}
+
+
+@lru_cache(maxsize=1 << 16)
+def _scripts(c: str) -> frozenset[str] | None:
+    """The scripts of a letter, from its Unicode name; None for digits, accents and letters of all scripts."""
+    if _HAS_LATIN.match(c):
+        return frozenset(("Latin",))
+    if _FOREIGN.match(c):
+        return frozenset(("Cyrillic",) if "Ѐ" <= c <= "ԯ" or "ᲀ" <= c <= "᲏" else ("Greek",))
+    if not c.isalpha():
+        return None
+    name = unicodedata.name(c, "").split(" ")[0].title()
+    return frozenset(_TOGETHER.get(name, {name}))
+
+
 def script_set(word: str) -> frozenset[str]:
-    """The scripts in which every letter of the word is at home; digits, accents and other scripts limit nothing."""
-    found = frozenset(("Latin", "Cyrillic", "Greek"))
+    """The scripts in which every letter of the word is at home; all three of the look-alikes if nothing limits them."""
+    found = None
     for c in word:
-        if _HAS_LATIN.match(c):
-            found &= {"Latin"}
-        elif _FOREIGN.match(c):
-            found &= {"Cyrillic"} if "Ѐ" <= c <= "ԯ" or "ᲀ" <= c <= "᲏" else {"Greek"}
-    return found
+        own = _scripts(c)
+        if own is not None:
+            found = own if found is None else found & own
+    return frozenset(("Latin", "Cyrillic", "Greek")) if found is None else found
 
 
 def _settle(match: re.Match[str]) -> str:
@@ -91,8 +112,10 @@ def _settle(match: re.Match[str]) -> str:
 def plain_text(text: str) -> str:
     """The one form of a text; see above. Idempotent."""
     text = _ordinary(text)
-    if not text.isascii() and _FOREIGN.search(text) and _MIXED.search(text):
-        text = unicodedata.normalize("NFC", _WORD.sub(_settle, text))
+    if not text.isascii() and _FOREIGN.search(text):
+        settled = _MIXED.sub(_settle, text)
+        if settled != text:
+            text = unicodedata.normalize("NFC", settled)
     return text
 
 
@@ -141,10 +164,14 @@ def same_looking(docs: DataFrame) -> DataFrame:
     """
     forms = materialise(_filled(docs), "p8-forms")
     varied = forms.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
-    kept = forms.join(varied, "form", "left_semi")
-    a = kept.select("form", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("x"))
-    b = kept.select("form", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("y"))
-    return a.join(b, "form").where("doc_id_a < doc_id_b and x <> y").select("doc_id_a", "doc_id_b")
+    kept = materialise(forms.join(varied, "form", "left_semi").distinct(), "p8-varied")
+    spellings = kept.select("form", "spelling").distinct()
+    x, y = spellings.withColumnRenamed("spelling", "x"), spellings.withColumnRenamed("spelling", "y")
+    differing = x.join(y, "form").where("x < y")
+    a = kept.select("form", F.col("spelling").alias("x"), F.col("doc_id").alias("a"))
+    b = kept.select("form", F.col("spelling").alias("y"), F.col("doc_id").alias("b"))
+    pairs = differing.join(a, ["form", "x"]).join(b, ["form", "y"])
+    return pairs.where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
 
 
 def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:

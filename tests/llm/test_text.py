@@ -1,6 +1,7 @@
 """Problems 6, 7 and 8: token ids, leaked passages, one form of text."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -66,6 +67,9 @@ def test_merges_of_long_words_are_those_of_short_ones(ranks, text):
         ("Case É", "Case É"),
         ("line\nend", "line\nend"),
         ("résumé рlan", "résumé plan"),
+        ("aԱс", "aԱc"),
+        ("ZאА", "ZאA"),
+        ("с1ֆx_оса", "c1ֆx_оса"),
         ("", ""),
     ],
 )
@@ -74,6 +78,21 @@ def test_plain_text(text, plain):
     assert plain_text.plain_text(plain) == plain
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="acсοА1Աא_ ́б", max_size=20))
+def test_every_word_with_latin_letters_takes_the_latin_spelling(text):
+    text = plain_text._ordinary(text)
+    want = plain_text._WORD.sub(lambda m: m.group().translate(plain_text._TO_LATIN) if plain_text._HAS_LATIN.search(m.group()) else m.group(), text)
+    assert plain_text.plain_text(text) == plain_text._ordinary(want)
+
+
+def test_long_words_take_one_pass():
+    began = time.time()
+    assert plain_text.plain_text("x" * 300_000 + " б") == "x" * 300_000 + " б"
+    assert plain_text.plain_text("б" * 300_000 + " x") == "б" * 300_000 + " x"
+    assert time.time() - began < 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aеοо xｆ​́\xa0é1-ﬁヒﾞ\n", max_size=30))
 def test_plain_text_is_idempotent(text):
@@ -84,7 +103,8 @@ def test_plain_text_is_idempotent(text):
 def test_script_sets_and_confusable_words():
     assert plain_text.script_set("abc1") == {"Latin"}
     assert plain_text.script_set("12") == {"Latin", "Cyrillic", "Greek"}
-    assert not plain_text.script_set("aб")
+    assert not plain_text.script_set("aб") and not plain_text.script_set("aԱ")
+    assert plain_text.script_set("漢字かな") == {"Japanese"} and plain_text.script_set("ԱԲ") == {"Armenian"}
     assert plain_text.confusable_words("pаge оса мир page") == (1, 1)
 
 
