@@ -3,10 +3,12 @@
 Texts become words of their plain text, and words of the held-out items become numbers; all others are 0. A passage is a run of ten
 words; its TF-IDF vector counts the held-out vocabulary, weighted over all documents. A randomised SVD of the documents'
 passages gives the latent space: each task multiplies its passages with a random matrix and back, Spark sums the products by
-word, and the driver keeps matrices of vocabulary times ``RANK``, bounded by the fixed set of held-out items. A window of ten document
+word, and the driver keeps matrices of vocabulary times ``RANK``, bounded by the held-out words searched at a time. A window of ten document
 words is a candidate for a held-out window if the signs of their latent vectors on random planes agree and their cosine is
-high. Latent word vectors are whole numbers, so that windows of equal words have exactly equal vectors, and none is lost.
-Candidates are then checked word by word.
+high. Each word has its direction in the latent space, whatever its frequency, and a length by its document frequency. These vectors are whole
+numbers, so that windows of equal words have exactly equal vectors, and none is lost. Candidates are then checked word by word.
+
+Held-out items are searched in blocks of a bounded number of words; what tasks need of a block is broadcast once.
 
 Paraphrases have no equal vectors, and signs on planes lose most pairs of a cosine near the bound, so they are searched without
 signs: every window of a document is counted against the words of every item, and only windows that share too few words with
@@ -16,7 +18,8 @@ an item for the common subsequence wanted are dropped. All others are compared b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,12 @@ RANK, ROUNDS, SEED = 16, 2, 7
 PLANES, COSINE = 24, 0.98
 #: Documents whose word rows a task works on at a time.
 AT_ONCE = 1000
-#: Held-out items are a fixed set that goes to every task; a larger set than this is refused rather than sent.
-MOST_ITEM_WORDS = 4_000_000
-PARAPHRASE_WIDTH, PARAPHRASE_COSINE, PARAPHRASE_SHARE = 20, 0.9, 0.6
+#: Words of held-out items that are searched at a time; more items make more blocks.
+ITEM_WORDS_AT_ONCE = 1_000_000
+#: Whole units of a latent vector's length.
+UNITS = 1 << 20
+#: Words in a window for paraphrases; items with fewer than the first are searched by windows of the second.
+PARAPHRASE_WIDTH, SHORT_WIDTH, PARAPHRASE_COSINE, PARAPHRASE_SHARE = 20, 10, 0.9, 0.6
 #: Document windows and items that are counted at a time, and pairs of windows that are compared at a time.
 WINDOWS_AT_ONCE, ITEMS_AT_ONCE, PAIRS_AT_ONCE = 8192, 512, 100_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -44,22 +50,18 @@ def words_of(text: str | None) -> list[str]:
 
 
 class HeldOut:
-    """The words of the held-out items, numbered from 1."""
-
-    def __init__(self, items: DataFrame):
-        rows = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text")).toLocalIterator()
-        self.ids, texts = [], []
-        total = 0
-        for row in rows:
-            self.ids.append(row["item_id"])
-            texts.append(words_of(row["text"]))
-            total += len(texts[-1])
-            if total > MOST_ITEM_WORDS:
-                raise ValueError("the held-out items are too many words to send to every task")
+    """The words of some held-out items, numbered from 1."""
+
+    def __init__(self, ids: list[int], texts: list[list[str]]):
+        self.ids = ids
         self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.words = [np.array([self.number[w] for w in t], np.int32) for t in texts]
         self.size = len(self.number) + 1
 
+    def items(self, least: int, most: int) -> list[int]:
+        """Places of the items with ``least`` to ``most`` words."""
+        return [i for i, w in enumerate(self.words) if least <= len(w) <= most]
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """All runs of ``width`` words of the items, and each one's item (its place in ``ids``)."""
         runs = [np.lib.stride_tricks.sliding_window_view(w, width) for w in self.words if len(w) >= width]
@@ -67,12 +69,26 @@ class HeldOut:
         return (np.concatenate(runs), np.concatenate(of)) if runs else (np.zeros((0, width), np.int32), np.zeros(0, np.int64))
 
 
+def blocks(items: DataFrame) -> Iterator[HeldOut]:
+    """The items (item_id, text), each id once, in blocks; a block of no items where there are none."""
+    ids, texts, total, some = [], [], 0, False
+    for row in items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text")).toLocalIterator():
+        ids.append(row["item_id"])
+        texts.append(words_of(row["text"]))
+        total += len(texts[-1])
+        if total >= ITEM_WORDS_AT_ONCE:
+            yield HeldOut(ids, texts)
+            ids, texts, total, some = [], [], 0, True
+    if ids or not some:
+        yield HeldOut(ids, texts)
+
+
 def numbered(docs: DataFrame, held: HeldOut) -> DataFrame:
     """(doc_id, words) with the number of every word of every document; null texts have no words."""
-    number = held.number
+    number = docs.sparkSession.sparkContext.broadcast(held.number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
+        get = number.value.get
         for batch in batches:
             lists = [[get(w, 0) for w in words_of(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "words"])
@@ -156,9 +172,12 @@ def latent_words(numbers: DataFrame, weight: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         product = _product(numbers, basis, weight)
         basis, _ = np.linalg.qr(product + 1e-9 * np.random.default_rng(SEED).standard_normal(product.shape))
-    vectors = basis * weight[:, None]
+    length = np.linalg.norm(basis, axis=1, keepdims=True)
+    stray = np.random.default_rng(SEED + 2).standard_normal(basis.shape)  # words of no weight in the space still have a direction
+    direction = np.where(length > 1e-12, basis / np.maximum(length, 1e-12), stray / np.linalg.norm(stray, axis=1, keepdims=True))
+    vectors = direction * (weight / max(weight.max(), 1e-12))[:, None]
     vectors[0] = 0
-    return np.rint(vectors / max(np.abs(vectors).max(), 1e-12) * (1 << 24)).astype(np.int64)
+    return np.rint(vectors * UNITS).astype(np.int64)
 
 
 def _signs(latent: np.ndarray, planes: np.ndarray) -> np.ndarray:
@@ -175,7 +194,7 @@ def _candidates(latent: np.ndarray, code: np.ndarray, order: np.ndarray, codes:
     n = hi - lo
     window = np.repeat(np.arange(len(code)), n)
     place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    near = (_unit(latent)[window] * units[place]).sum(axis=1) >= cosine
+    near = ((_unit(latent)[window] * units[place]).sum(axis=1) >= cosine) | ~units[place].any(axis=1)  # vectors may cancel out
     return window[near], place[near]
 
 
@@ -189,9 +208,10 @@ def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
     latent = vectors[runs].sum(axis=1)
     codes = _signs(latent, planes)
     order = np.argsort(codes, kind="stable")
-    codes, units, items = codes[order], _unit(latent), np.array(held.ids, np.int64)
+    block = numbers.sparkSession.sparkContext.broadcast((runs, of, order, codes[order], _unit(latent), np.array(held.ids, np.int64), vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, of, order, codes, units, items, vectors = block.value
         for batch in _pieces(batches):
             ids, words, rows = _flat(batch)
             n = len(words) - WIDTH + 1
@@ -255,18 +275,25 @@ def _sharing(words: np.ndarray, rows: np.ndarray, items: list[np.ndarray], width
 def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
     """(doc_id, item_id, common_words, item_words, answer): documents with a passage close to one of an item.
 
-    Close: of any twenty words of the document and any twenty of the item, the latent vectors have a cosine of at least 0.9, and the
+    Close: of any twenty words of the document and any twenty of the item (ten of either, for items of ten to nineteen words), the latent vectors have a cosine of at least 0.9, and the
     longest common subsequence is at least 0.6 of the words. ``common_words`` is the longest of all close passages. ``answer``: the
     item's last three words stand in the document.
     """
-    width, least = PARAPHRASE_WIDTH, PARAPHRASE_SHARE * PARAPHRASE_WIDTH
-    runs, of = held.windows(width)
-    units = _unit(vectors[runs].sum(axis=1))
-    ids_of, item_words = held.ids, held.words
-    count = np.bincount(of, minlength=len(item_words))
-    first = np.cumsum(count) - count
-
-    def close(words: np.ndarray, own: np.ndarray, at: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    long = _paraphrased(numbers, held, vectors, PARAPHRASE_WIDTH, held.items(PARAPHRASE_WIDTH, 1 << 60))
+    short = held.items(SHORT_WIDTH, PARAPHRASE_WIDTH - 1)
+    return long.unionByName(_paraphrased(numbers, held, vectors, SHORT_WIDTH, short)) if short else long
+
+
+def _paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray, width: int, places: list[int]) -> DataFrame:
+    """The same for the items at ``places``, by windows of ``width`` words."""
+    least = PARAPHRASE_SHARE * width
+    some = HeldOut([], [])
+    some.ids, some.words = [held.ids[i] for i in places], [held.words[i] for i in places]
+    runs, of = some.windows(width)
+    count = np.bincount(of, minlength=len(places)).astype(np.int64)
+    block = numbers.sparkSession.sparkContext.broadcast((runs, _unit(vectors[runs].sum(axis=1)), some.ids, some.words, count, np.cumsum(count) - count, vectors))
+
+    def close(runs: np.ndarray, units: np.ndarray, count: np.ndarray, first: np.ndarray, words: np.ndarray, own: np.ndarray, at: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, item, common words) of the close ones among all windows of each item; ``own``: the units of windows ``at``."""
         parts = np.cumsum(count[item]) // PAIRS_AT_ONCE
         for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(parts)) + 1):
@@ -284,6 +311,7 @@ def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataF
                 yield window[m[enough][good]], item[m[enough][good]], common[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, units, ids_of, item_words, count, first, vectors = block.value
         for batch in _pieces(batches):
             ids, words, rows = _flat(batch)
             if len(words) < width or not len(runs):
@@ -293,7 +321,7 @@ def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataF
             best: dict[tuple[int, int], int] = {}
             for window, item in _sharing(words, rows, item_words, width, least):
                 at = np.unique(window)
-                for w, i, common in close(words, _unit(sums[at + width] - sums[at]), at, window, item):
+                for w, i, common in close(runs, units, count, first, words, _unit(sums[at + width] - sums[at]), at, window, item):
                     for key in zip(rows[w].tolist(), i.tolist(), common.tolist()):
                         if best.get(key[:2], 0) < key[2]:
                             best[key[:2]] = key[2]
@@ -308,22 +336,28 @@ def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataF
     return numbers.mapInArrow(run, "doc_id long, item_id long, common_words int, item_words int, answer boolean")
 
 
-def _space(spark: SparkSession, data_dir: str) -> tuple[DataFrame, HeldOut, np.ndarray]:
-    held = HeldOut(table(spark, data_dir, "heldout_items").select("item_id", "text"))
-    numbers = materialise(numbered(table(spark, data_dir, "documents"), held), "p7-words")
-    return numbers, held, latent_words(numbers, document_weights(numbers, held.size))
+Search = Callable[[DataFrame, HeldOut, np.ndarray], DataFrame]
+
+
+def _searched(spark: SparkSession, data_dir: str, search: Search) -> DataFrame:
+    """The rows of ``search`` in the space of each block of held-out items; every item is in one block."""
+    out = []
+    for held in blocks(table(spark, data_dir, "heldout_items").select("item_id", "text")):
+        numbers = materialise(numbered(table(spark, data_dir, "documents"), held), "p7-words")
+        out.append(search(numbers, held, latent_words(numbers, document_weights(numbers, held.size))))
+    return reduce(DataFrame.unionByName, out)
 
 
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    return leaked(*_space(spark, data_dir))
+    return _searched(spark, data_dir, leaked)
 
 
 def p7_paraphrases(spark: SparkSession, data_dir: str) -> DataFrame:
-    return paraphrased(*_space(spark, data_dir))
+    return _searched(spark, data_dir, paraphrased)
 
 
 def p7_items(spark: SparkSession, data_dir: str) -> DataFrame:
     """Leaked items with their suite and split, and the number of documents that hold them."""
     items = table(spark, data_dir, "heldout_items").select("item_id", "suite", "split")
-    counts = leaked(*_space(spark, data_dir)).groupBy("item_id").agg(F.count("*").alias("documents"))
+    counts = p7_found(spark, data_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
     return items.join(counts, "item_id").select("item_id", "suite", "split", "documents")

@@ -117,7 +117,7 @@ def test_same_looking_pairs(spark):
 
 
 def _leaks(spark, docs, items):
-    held = leaks.HeldOut(spark.createDataFrame(items, "item_id long, text string"))
+    (held,) = leaks.blocks(spark.createDataFrame(items, "item_id long, text string"))
     numbers = leaks.numbered(spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, words string"), held)
     vectors = leaks.latent_words(numbers, leaks.document_weights(numbers, held.size))
     return numbers, held, vectors
@@ -148,6 +148,40 @@ def test_leaks_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_rare_items_are_found_however_large_the_corpus(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(common) for _ in range(25))) for i in range(5)] + [(50 + i, " ".join(f"r{i}x{j}" for j in range(10))) for i in range(3)]
+    docs = [(i, t) for i, t in items]
+    product = leaks._product
+
+    def enlarged(numbers, matrix, weight):
+        out = product(numbers, matrix, weight)
+        out[1 : 1 + len(common)] *= 1e9  # as if the frequent passages stood there a billion times
+        return out
+
+    monkeypatch.setattr(leaks, "_product", enlarged)
+    numbers, held, vectors = _leaks(spark, docs, items)
+    assert (np.abs(vectors[1:]).max(axis=1) > 1000).all()
+    assert {(i, i) for i, _ in items} <= set(map(tuple, leaks.leaked(numbers, held, vectors).collect()))
+
+
+def test_items_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_WORDS_AT_ONCE", 15)
+    texts = [" ".join(f"{c}{j}" for j in range(12)) for c in "abcde"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    assert [len(h.ids) for h in leaks.blocks(items)] == [2, 2, 1] and len(list(leaks.blocks(items.where("false")))) == 1
+
+
+def test_paraphrases_of_short_items(spark):
+    words = [f"v{i}" for i in range(12)]
+    moved = words[:3] + ["other"] + words[3:]
+    numbers, held, vectors = _leaks(spark, [(1, " ".join(moved)), (2, "nothing like it")], [(5, " ".join(words)), (6, " ".join(words[:9]))])
+    assert [(r["doc_id"], r["item_id"]) for r in leaks.paraphrased(numbers, held, vectors).collect()] == [(1, 5)]
+
+
 def test_leaks_in_disguise_and_empty_inputs(spark):
     text = "one two three four five six seven eight nine ten eleven"
     docs = [(1, "x ｏne twο\xa0three fo​ur, FIVE six [[seven]] eight nine ten"), (2, "one two three four five six seven eight nine"), (3, "word")]
@@ -156,7 +190,7 @@ def test_leaks_in_disguise_and_empty_inputs(spark):
     numbers, held, vectors = _leaks(spark, docs, [(8, None)])
     assert leaks.leaked(numbers, held, vectors).count() == 0 and leaks.paraphrased(numbers, held, vectors).count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
-    held = leaks.HeldOut(spark.createDataFrame([(7, text)], "item_id long, text string"))
+    (held,) = leaks.blocks(spark.createDataFrame([(7, text)], "item_id long, text string"))
     numbers = leaks.numbered(empty, held)
     assert leaks.leaked(numbers, held, leaks.latent_words(numbers, leaks.document_weights(numbers, held.size))).count() == 0
 
@@ -188,16 +222,19 @@ def test_paraphrases_match_brute_force(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     numbers, held, vectors = _leaks(spark, docs, items)
     want, close, unit = {}, 0, lambda v: v / max(np.linalg.norm(v), 1e-12)
-    runs, of = held.windows(20)
-    theirs = np.array([unit(vectors[r].sum(axis=0)) for r in runs])
-    for d, text in docs:
-        w = np.array([held.number.get(x, 0) for x in text.split()])
-        for k in range(len(w) - 19):
-            for place in np.flatnonzero(theirs @ unit(vectors[w[k : k + 20]].sum(axis=0)) >= 0.9):
-                common = leaks.longest_common(w[k : k + 20], runs[place])
-                if common >= 12:
-                    close, key = close + 1, (d, held.ids[of[place]])
-                    want[key] = max(want.get(key, 0), int(common))
+    for width in (20, 10):
+        runs, of = held.windows(width)
+        inside = [i for i, p in enumerate(of) if (len(held.words[p]) >= 20) == (width == 20)]
+        runs, of = runs[inside], of[inside]
+        theirs = np.array([unit(vectors[r].sum(axis=0)) for r in runs])
+        for d, text in docs:
+            w = np.array([held.number.get(x, 0) for x in text.split()])
+            for k in range(len(w) - width + 1):
+                for place in np.flatnonzero(theirs @ unit(vectors[w[k : k + width]].sum(axis=0)) >= 0.9):
+                    common = leaks.longest_common(w[k : k + width], runs[place])
+                    if common >= 0.6 * width:
+                        close, key = close + 1, (d, held.ids[of[place]])
+                        want[key] = max(want.get(key, 0), int(common))
     got = [(r["doc_id"], r["item_id"], r["common_words"]) for r in leaks.paraphrased(numbers, held, vectors).collect()]
     assert sorted(got) == sorted((*k, c) for k, c in want.items()) and len(want) > 60 and close > 500
 
