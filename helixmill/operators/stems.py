@@ -1,13 +1,14 @@
 """Reverse-complement stems of a sequence, and the feature row built on them.
 
 A stem is a stretch of four letters or more whose reverse complement follows it after a loop of three or more. ``stem_burden``
-counts them by anti-diagonals of the pairing matrix, in numpy, for many sequences of one length at a time; ``stem_burden_join`` says the same as a
+counts them from the stretches of paired places along each diagonal, in numpy, for many sequences of one length at a time; ``stem_burden_join`` says the same as a
 join of four-letter words with those of the other strand, extended letter by letter, which SQL can say too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +23,43 @@ STEM, LOOP = 4, 3
 _OUT = "pairs int, weighted int, longest int, least_loop int"
 
 
+@lru_cache(maxsize=64)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (x, y) that may pair in a text of n letters, outermost first along each diagonal x + y, diagonals apart by a pair (n, n)."""
+    x, y = [np.full(1, n)], [np.full(1, n)]
+    for total in range(LOOP + 1, 2 * n - 1):
+        inner = np.arange(max(0, total - n + 1), (total - LOOP - 1) // 2 + 1)
+        x += [inner, np.full(1, n)]
+        y += [total - inner, np.full(1, n)]
+    return np.concatenate(x), np.concatenate(y)
+
+
 def stems_of(texts: list[str]) -> np.ndarray:
-    """(stems, letters in them, longest, least loop or -1) of each text over A, C, G and T; all of one length."""
+    """(stems, letters in them, longest, least loop or -1) of each text over A, C, G and T; all of one length.
+
+    A stem is any part of at least ``STEM`` pairs of a stretch of paired places along a diagonal. With k = L - STEM + 1, a stretch of L pairs has
+    k (k + 1) / 2 of them, which hold (STEM - 1) k (k + 1) / 2 + k (k + 1) (k + 2) / 6 letters; its last pair leaves the least loop.
+    """
     n = len(texts[0])
     out = np.zeros((len(texts), 4), np.int64)
     out[:, 3] = -1
     if n < 2 * STEM + LOOP:
         return out
-    base = np.frombuffer("".join(texts).encode(), np.uint8).reshape(-1, n)
-    other = np.zeros(256, np.uint8)
+    base = np.pad(np.frombuffer("".join(texts).encode(), np.uint8).reshape(-1, n), ((0, 0), (0, 1)))
+    other = np.ones(256, np.uint8)  # no letter pairs with the pad
     other[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
-    back, end = other[base], np.arange(n)
-    run = np.zeros((len(texts), n + 1), np.int16)  # run[:, q + 1]: paired letters from i up and from q down
-    loop = np.full(len(texts), n, np.int64)
-    for i in range(n - 1, -1, -1):
-        run[:, 1:] = np.where(base[:, i : i + 1] == back, run[:, :-1] + 1, 0)
-        run[:, 0] = 0
-        far = i + 2 * STEM + LOOP - 1
-        if far >= n or not (run[:, far + 1 :] >= STEM).any():
-            continue
-        most = np.minimum(run[:, far + 1 :], (end[far:] - i - LOOP + 1) // 2).astype(np.int64)
-        good = most >= STEM
-        count = np.where(good, most - STEM + 1, 0)
-        out[:, 0] += count.sum(axis=1)
-        out[:, 1] += ((STEM + most) * count // 2).sum(axis=1)
-        out[:, 2] = np.maximum(out[:, 2], np.where(good, most, 0).max(axis=1))
-        loop = np.minimum(loop, np.where(good, end[far:] - i - 2 * most + 1, n).min(axis=1))
+    x, y = _pairs(n)
+    paired = (base[:, x] == other[base[:, y]]).ravel()
+    edge = np.flatnonzero(np.diff(paired.view(np.int8), prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    long = end - begin >= STEM
+    row, last, k = begin[long] // len(x), (end[long] - 1) % len(x), (end - begin)[long] - STEM + 1
+    sums = lambda v: np.bincount(row, v, len(texts)).astype(np.int64)
+    out[:, 0] = sums(k * (k + 1) // 2)
+    out[:, 1] = sums((STEM - 1) * k * (k + 1) // 2 + k * (k + 1) * (k + 2) // 6)
+    np.maximum.at(out[:, 2], row, k + STEM - 1)
+    loop = np.full(len(texts), n)
+    np.minimum.at(loop, row, y[last] - x[last] - 1)
     out[:, 3] = np.where(out[:, 0] > 0, loop, -1)
     return out
 

@@ -15,6 +15,10 @@ _DIGEST = "nullif(trim(regexp_replace(lower(trim({}, " + _BLANKS + ")), '^(sha25
 _SEQ = "replace(upper(regexp_replace({}, '[^A-Za-z]', '', 'g')), 'U', 'T')"
 
 
+def digest_sql(column: str) -> str:
+    return _DIGEST.format(column)
+
+
 def _once(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Each record once, with the columns asked for; only those are read and shuffled, since a delivery repeats its row in full."""
     return (rows.select("record_id", *[c for c in columns if c != "record_id"]) if columns else rows).distinct()

@@ -15,7 +15,7 @@ from helixmill.functions.names import reverse_complement
 from helixmill.operators import codec, edits, stems
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
-from helixmill.sources import shared_folder, spread
+from helixmill.sources import materialise, shared_folder, spread
 from helixmill.streaming import decode_stream
 
 _DNA_SQL = f"WITH {T.EMITTED}, dna AS (SELECT * FROM emitted WHERE {T.DNA})"
@@ -178,18 +178,23 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @register("codec_encode")
 def codec_encode(spark: SparkSession, d: str) -> DataFrame:
-    """The best-scored member of each sample's fiber: payload, 2 ** bits candidates, and the choice that scores highest."""
+    """The best-scored member of each sample's fiber: payload, 2 ** bits candidates, and the choice that scores highest.
+
+    Payloads beyond the domain have the status ``beyond`` and no word. The score is the closeness of the GC count to half; ``codec_encode_context`` takes
+    the full context.
+    """
     rows = T.generated(spark, d, "payload_rank", "bits").where("payload_rank is not null and bits is not null").select("record_id", "payload_rank", "bits")
     members = codec.candidates(spread(rows), Language(), "helixmill-language")
-    key = S.score_key(-F.abs(S.count_of("seq", "GC") - 54) / 108)
+    key = F.when(F.col("seq").isNotNull(), S.score_key(-F.abs(S.count_of("seq", "GC") - 54) / 108))
     best = F.max_by(F.struct("choice", "seq", key.alias("key")), F.struct(key, -F.col("choice")))
-    return members.where("seq is not null").groupBy("record_id", "bits").agg(best.alias("b"), F.count("*").alias("candidates")).select("record_id", "bits", "candidates", "b.choice", "b.seq", "b.key")
+    out = members.groupBy("record_id", "bits").agg(F.when(F.count("seq") > 0, best).alias("b"), F.count("*").alias("candidates"))
+    return out.select("record_id", "bits", "candidates", F.when(F.col("b").isNull(), "beyond").otherwise("encoded").alias("status"), "b.choice", "b.seq", "b.key")
 
 
 @register("codec_encode_decode")
 def codec_encode_decode(spark: SparkSession, d: str) -> DataFrame:
     """Emitted words decoded again: per selector width, the payloads and choices that come back."""
-    sent = codec_encode(spark, d).withColumnRenamed("choice", "sent")
+    sent = codec_encode(spark, d).where("status = 'encoded'").withColumnRenamed("choice", "sent")
     rows = T.generated(spark, d, "payload_rank").select("record_id", F.col("payload_rank").alias("payload_sent"))
     back = codec.decode(sent.select("record_id", "seq", "bits", "sent"), Language(), "helixmill-language").join(rows, "record_id")
     same = (F.col("payload") == F.col("payload_sent")) & (F.col("choice") == F.col("sent"))
@@ -212,11 +217,20 @@ def single_edit_enumeration(spark: SparkSession, d: str) -> DataFrame:
 
 @register("edit_decode_status")
 def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
-    """Decoder's view of accepted substitutions: within or beyond the payload domain, with or without a valid CRC."""
-    words = T.eligible_emitted(spark, d, "bits").select("pool", "bits", "seq").distinct()
-    near = edits.single_edits(words, "seq", kinds=("substitution",)).where(S.eligible("edited"))
-    status = codec.decode(spread(near.select("pool", F.col("edited").alias("seq"), "bits")), Language(), "helixmill-language")
-    return status.groupBy("pool", "bits", "status").agg(F.count("*").alias("edits"))
+    """What the decoder says of every single edit of every codeword in the payload domain.
+
+    Outcomes: ``rejected_length``, ``rejected_constraint_or_alphabet``, ``rejected_outside_power_of_two_domain``, ``accepted_same_payload`` and
+    ``accepted_wrong_payload``, counted per pool, selector width and kind of edit.
+    """
+    words = T.eligible_emitted(spark, d, "bits").where("bits is not null").select("pool", "bits", "seq").distinct()
+    sent = codec.decode(spread(words.withColumn("word", F.col("seq"))), Language(), "helixmill-language").where("status = 'decoded'").select("pool", "bits", F.col("word").alias("seq"), F.col("payload").alias("sent"))
+    edited = edits.single_edits(materialise(sent, "edit-words"), "seq").select("pool", "bits", "kind", "sent", "edited")
+    word = S.eligible("edited")
+    back = codec.decode(spread(edited.where(word).withColumnRenamed("edited", "seq")), Language(), "helixmill-language")
+    status = F.when(F.col("status") == "beyond", "rejected_outside_power_of_two_domain").when(F.col("payload") == F.col("sent"), "accepted_same_payload").otherwise("accepted_wrong_payload")
+    other = F.when(F.length("edited") == S.LENGTH, "rejected_constraint_or_alphabet").otherwise("rejected_length")
+    no_word = edited.where(~word).select("pool", "bits", "kind", other.alias("outcome"))
+    return back.select("pool", "bits", "kind", status.alias("outcome")).unionByName(no_word).groupBy("pool", "bits", "kind", "outcome").agg(F.count("*").alias("edits"))
 
 
 @register(
@@ -232,19 +246,20 @@ def linear_score(spark: SparkSession, d: str) -> DataFrame:
 
 @register("affine_permutation")
 def affine_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Samples whose payload, spread over the language and gathered again, is itself, and the ranks met twice."""
+    """Payloads that are themselves after being spread over the language and gathered again, distinct ranks, and payloads beyond the domain, which have none."""
     lang = Language()
     way = Dispersal(lang.size, "helixmill-language")
 
     def run(batches):
         for batch in batches:
-            out = [str(way.spread(int(p) % (1 << way.bits))) for p in batch.column(0).to_pylist()]
-            back = [way.gather(int(x)) == int(p) % (1 << way.bits) for x, p in zip(out, batch.column(0).to_pylist())]
+            payloads = [int(p) for p in batch.column(0).to_pylist()]
+            out = [str(way.spread(p)) if 0 <= p < 1 << way.bits else None for p in payloads]
+            back = [x is not None and way.gather(int(x)) == p for x, p in zip(out, payloads)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string()), pa.array(back, pa.bool_())], ["bits", "physical", "back"])
 
     rows = T.generated(spark, d, "payload_rank", "bits").where("payload_rank is not null").select("payload_rank", "bits").distinct()
     spread = rows.mapInArrow(run, "bits int, physical string, back boolean")
-    return spread.groupBy("bits").agg(F.count("*").alias("payloads"), F.count_if("back").alias("back"), F.countDistinct("physical").alias("ranks"))
+    return spread.groupBy("bits").agg(F.count("*").alias("payloads"), F.count_if("back").alias("back"), F.countDistinct("physical").alias("ranks"), F.count_if(F.col("physical").isNull()).alias("beyond"))
 
 
 @register("stream_decode")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
-from helixmill.functions.names import name_key, reverse_complement
+from helixmill.functions.names import digest_key, name_key, reverse_complement
+from helixmill.operators import fibers as B
 from helixmill.operators.expect import expect
 from helixmill.plans import frames as T
+from helixmill.plans.fiber_queries import measured
 from helixmill.plans.registry import register
 
 _ONE = f"""{T.EMITTED}, {T.GENERATED}, e AS (SELECT digest, min(record_id) AS emitted_id FROM emitted WHERE digest IS NOT NULL GROUP BY digest),
@@ -69,17 +71,55 @@ def revcomp_intersection(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumn("rc", reverse_complement("seq")).join(all_, "rc", "left_semi").select("record_id")
 
 
-@register("lookup_join", f"WITH {T.GENERATED} SELECT record_id, physical_rank = rerank AS rank_fits, decoded_payload = payload_rank AS payload_fits FROM generated")
-def lookup_join(spark: SparkSession, d: str) -> DataFrame:
+@register("rerank_check", f"WITH {T.GENERATED} SELECT record_id, physical_rank = rerank AS rank_fits, decoded_payload = payload_rank AS payload_fits FROM generated")
+def rerank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Do a sample's rank and payload come back as they were sent?"""
     return T.generated(spark, d, "physical_rank", "rerank", "decoded_payload", "payload_rank").select("record_id", (F.col("physical_rank") == F.col("rerank")).alias("rank_fits"), (F.col("decoded_payload") == F.col("payload_rank")).alias("payload_fits"))
 
 
-@register("dedupe_first", "SELECT record_id, min(ingested_at) = max(ingested_at) AS once, count(*) AS deliveries FROM emitted_crc16_codewords GROUP BY record_id")
-def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+@register(
+    "lookup_join",
+    f"""WITH {T.EMITTED}, {T.GENERATED}, look AS (SELECT digest, min(record_id) AS codeword, count(*) AS codewords, max(bits) AS widest FROM emitted WHERE digest IS NOT NULL GROUP BY digest)
+SELECT record_id, codeword, codewords, widest FROM generated LEFT JOIN look USING (digest)""",
+)
+def lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample with what a lookup table by digest says of it: three columns, null where the table has no such digest."""
+    look = T.emitted(spark, d, "digest", "bits").where("digest is not null").groupBy("digest")
+    look = look.agg(F.min("record_id").alias("codeword"), F.count("*").alias("codewords"), F.max("bits").alias("widest"))
+    return T.generated(spark, d, "digest").join(look, "digest", "left").select("record_id", "codeword", "codewords", "widest")
+
+
+@register(
+    "rank_lookup",
+    f"""WITH {T.MEASURED}, book AS (SELECT direction, digest, row_number() OVER (PARTITION BY direction ORDER BY sha256('library|' || digest), digest, record_id) - 1 AS place FROM measured),
+first_ AS (SELECT direction, digest, min(place) AS again FROM book GROUP BY ALL)
+SELECT direction, count(*) AS places, count(*) FILTER (place = again) AS same FROM book JOIN first_ USING (direction, digest) GROUP BY direction""",
+)
+def rank_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """From each place of a direction's codebook to its sequence, and from the sequence to its first place."""
+    book = B.codebook(measured(spark, d), ["direction"], "digest", "library", "record_id").select("direction", "digest", F.col("base_rank").alias("place"))
+    first = book.groupBy("direction", "digest").agg(F.min("place").alias("again"))
+    return book.join(first, ["direction", "digest"]).groupBy("direction").agg(F.count("*").alias("places"), F.count_if(F.col("place") == F.col("again")).alias("same"))
+
+
+@register("deliveries", "SELECT record_id, min(ingested_at) = max(ingested_at) AS once, count(*) AS deliveries FROM emitted_crc16_codewords GROUP BY record_id")
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
     t = T.table(spark, d, "emitted_crc16_codewords")
     return t.groupBy("record_id").agg((F.min("ingested_at") == F.max("ingested_at")).alias("once"), F.count("*").alias("deliveries"))
 
 
+@register(
+    "dedupe_first",
+    f"""WITH d AS (SELECT {T.digest_sql("sequence_sha256")} AS digest, record_id, library_id, batch_no, ingested_at FROM emitted_crc16_codewords)
+SELECT digest, record_id, library_id, batch_no FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY ingested_at, record_id) AS p FROM d WHERE digest IS NOT NULL) WHERE p = 1""",
+)
+def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    """The row that first came in with each digest, the smaller record id on ties; all later ones are dropped."""
+    t = T.table(spark, d, "emitted_crc16_codewords").select(digest_key("sequence_sha256").alias("digest"), "ingested_at", "record_id", "library_id", "batch_no")
+    first = F.min_by(F.struct("record_id", "library_id", "batch_no"), F.struct("ingested_at", "record_id"))
+    return t.where("digest is not null").groupBy("digest").agg(first.alias("f")).select("digest", "f.*")
+
+
 @register("duplicate_keys", f"WITH {T.EMITTED} SELECT pool, count(*) AS rows_, count(DISTINCT digest) AS digests, count(*) - count(DISTINCT digest) AS repeats FROM emitted WHERE digest IS NOT NULL GROUP BY pool")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     n = F.countDistinct("digest")
