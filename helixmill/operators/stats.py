@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.operators.positions import average_ranks, running_totals
+from helixmill.sources import spread
+
+GROUPS_AT_ONCE = 64
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -65,14 +72,66 @@ def draw(seed: str, replicate: Column, index: Column, n: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long") % n
 
 
-def bootstrap_means(df: DataFrame, group: list[str], place: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """(group..., replicate, mean) of ``replicates`` resamples of each group; ``place`` numbers its rows from 0."""
-    n = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    draws = df.select(*group, place).join(n, group).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select(*group, "replicate", draw(seed, F.col("replicate"), F.col(place), F.col("_n")).alias(place))
-    times = draws.groupBy(*group, place, "replicate").agg(F.count("*").alias("_times"))  # multiplicities first, then one join
-    drawn = times.join(df.select(*group, place, value), [*group, place])
-    return drawn.groupBy(*group, "replicate").agg((F.sum(F.col(value) * F.col("_times")) / F.sum("_times")).alias("mean"))
+def poisson_weights(bits: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts, from 0 to 8, of 16-bit uniform numbers: how often a row stands in a bootstrap resample."""
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    return np.searchsorted(np.floor(below * 65536), bits, side="right")
+
+
+def _digests(seed: str, key: str, blocks: int) -> bytes:
+    return b"".join(sha256(f"{seed}|{block}|{key}".encode()).digest() for block in range(blocks))
+
+
+def _summed(df: DataFrame, group: str, columns: list[str], names: list[str], replicates: int, of_row: Callable[[tuple], np.ndarray]) -> DataFrame:
+    """(group, replicate, names...): sums over rows of ``of_row`` (names x replicates), added up inside tasks before the shuffle.
+
+    A task holds the sums of at most ``GROUPS_AT_ONCE`` groups at a time.
+    """
+
+    def rows_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * replicates), pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(t) for t in total)], [group, "replicate", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if name not in sums:
+                    if len(sums) >= GROUPS_AT_ONCE:
+                        yield from rows_of(sums)
+                        sums = {}
+                    sums[name] = np.zeros((len(names), replicates))
+                sums[name] += of_row(tuple(row))
+        yield from rows_of(sums)
+
+    parts = spread(df.select(group, *columns)).mapInArrow(run, f"{group} string, replicate int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy(group, "replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def bootstrap_means(df: DataFrame, group: str, key: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, mean) of Poisson resamples: each row counts by a hash of seed, replicate and its ``key`` (unique in the table).
+
+    One SHA-256 serves 16 replicates. A replicate that draws no row has a null mean.
+    """
+
+    def of_row(row: tuple) -> np.ndarray:
+        weights = poisson_weights(np.frombuffer(_digests(seed, row[0], -(-replicates // 16)), ">u2")[:replicates])
+        return np.stack([weights, weights * row[1]])
+
+    sums = _summed(df.withColumn(key, F.col(key).cast("string")), group, [key, value], ["w", "s"], replicates, of_row)
+    return sums.select(group, "replicate", F.try_divide(F.col("s"), F.col("w")).alias("mean"))
+
+
+def random_choices(df: DataFrame, group: str, key: str, outcomes: str, replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, mean): the mean over rows of one of the four ``outcomes`` of each, drawn by a hash; one SHA-256 serves 64 replicates."""
+
+    def of_row(row: tuple) -> np.ndarray:
+        raw = np.frombuffer(_digests(seed, row[0], -(-replicates // 64)), np.uint8)
+        slots = np.stack([raw >> 4 & 3, raw & 3], axis=1).ravel()[:replicates]
+        return np.stack([np.ones(replicates), np.array(row[1])[slots]])
+
+    sums = _summed(df.withColumn(key, F.col(key).cast("string")), group, [key, outcomes], ["n", "s"], replicates, of_row)
+    return sums.select(group, "replicate", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def bca(estimate: float, replicates: list[float], jackknife_skew: float, level: float = 0.95) -> tuple[float, float]:

@@ -140,25 +140,25 @@ def feature_overlap(spark: SparkSession, d: str) -> DataFrame:
     return out.select("direction", "least", "most", F.round("m0", 6).alias("source_mean"), F.round("m1", 6).alias("target_mean"), F.round(F.try_divide(F.col("m1") - F.col("m0"), F.col("sd")), 6).alias("smd"), "inside")
 
 
-_REPLICATES = 50
-#: The reference's count, where no SQL twin fixes a smaller one.
-_FULL_REPLICATES = 2000
+_REPLICATES, _CHOICES, _SHUFFLES = 2000, 100_000, 500
 _GAIN = f"{T.FIBERS}, g AS (SELECT direction, fiber, outcome - fiber_mean AS gain FROM best WHERE first_ = 1)"
 
 
 def _gains(spark: SparkSession, d: str) -> DataFrame:
-    return B.gains(whole(spark, d), ["direction"], "prediction", "outcome").select("direction", "fiber", "gain")
+    gains = B.gains(whole(spark, d), ["direction"], "prediction", "outcome").select("direction", "fiber", "gain")
+    return materialise(gains.withColumn("name", F.concat("direction", F.lit("|"), F.col("fiber").cast("string"))), "gains")
 
 
-_BOOT = f"""{_GAIN}, n AS (SELECT direction, count(*) AS n FROM g GROUP BY direction),
-draws AS (SELECT direction, replicate, CAST('0x' || substr(sha256('boot|' || replicate || '|' || fiber), 1, 15) AS BIGINT) % n AS fiber FROM g JOIN n USING (direction), (SELECT unnest(range({_REPLICATES})) AS replicate)),
-boot AS (SELECT direction, replicate, avg(gain) AS mean FROM draws JOIN g USING (direction, fiber) GROUP BY ALL)"""
+_WEIGHT = "(" + " + ".join(f"CASE WHEN u >= {int(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))} THEN 1 ELSE 0 END" for k in range(8)) + ")"
+_BOOT = f"""{_GAIN}, h AS (SELECT direction, gain, block, sha256('boot|' || block || '|' || direction || '|' || fiber) AS h FROM g, (SELECT unnest(range({_REPLICATES // 16})) AS block)),
+u AS (SELECT direction, gain, block * 16 + lane AS replicate, CAST('0x' || substr(h, CAST(lane * 4 + 1 AS INTEGER), 4) AS INTEGER) AS u FROM h, (SELECT unnest(range(16)) AS lane)),
+boot AS (SELECT direction, replicate, sum({_WEIGHT} * gain) / nullif(sum({_WEIGHT}), 0) AS mean FROM u GROUP BY ALL)"""
 
 
 @register("boot_mean_hash", f"WITH {_BOOT} SELECT direction, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(avg(mean), 9) AS middle FROM boot GROUP BY direction")
 def boot_mean_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile interval of the mean gain; fibers number themselves from 0, so they are the places to draw."""
-    boot = stats.bootstrap_means(_gains(spark, d), ["direction"], "fiber", "gain", _REPLICATES, "boot")
+    """Percentile interval of the mean gain over resamples of the fibers, all replicates in one pass over the rows."""
+    boot = stats.bootstrap_means(_gains(spark, d), "direction", "name", "gain", _REPLICATES, "boot")
     q = F.percentile("mean", [0.025, 0.975])
     return boot.groupBy("direction").agg(F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("high"), F.round(F.avg("mean"), 9).alias("middle"))
 
@@ -168,7 +168,7 @@ def bca_interval(spark: SparkSession, d: str) -> DataFrame:
     """BCa interval of the mean gain per direction, the acceleration from the third moment of the gains."""
     g = _gains(spark, d)
     own = g.groupBy("direction").agg(F.avg("gain").alias("mean"), F.count("*").alias("n"), F.coalesce(F.skewness("gain"), F.lit(0.0)).alias("skew"))
-    boot = stats.bootstrap_means(g, ["direction"], "fiber", "gain", _FULL_REPLICATES, "boot").groupBy("direction").agg(F.collect_list("mean").alias("b"))  # one entry a replicate
+    boot = stats.bootstrap_means(g, "direction", "name", "gain", _REPLICATES, "boot").groupBy("direction").agg(F.collect_list("mean").alias("b"))  # one entry a replicate
     rows = boot.join(own, "direction").where("n > 1").collect()  # one row a direction
     out = [(r["direction"], r["mean"], *stats.bca(r["mean"], r["b"], r["skew"] / (6 * r["n"] ** 0.5))) for r in rows]
     return spark.createDataFrame(out, "direction string, mean double, low double, high double")
@@ -176,43 +176,98 @@ def bca_interval(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "random_choice_hash",
-    f"""WITH {_GAIN}, lib AS (SELECT direction, fiber, slot, outcome - fiber_mean AS gain FROM best), r AS (SELECT unnest(range({_REPLICATES})) AS replicate),
-picks AS (SELECT direction, fiber, replicate, CAST(CAST('0x' || substr(sha256('pick|' || replicate || '|' || direction || fiber), 1, 15) AS BIGINT) % 4 AS INTEGER) AS slot FROM g, r),
-b AS (SELECT direction, replicate, avg(gain) AS gain FROM picks JOIN lib USING (direction, fiber, slot) GROUP BY ALL), o AS (SELECT direction, avg(gain) AS seen FROM g GROUP BY direction)
-SELECT direction, count(*) FILTER (b.gain >= seen) AS beaten, round((count(*) FILTER (b.gain >= seen) + 1) / (count(*) + 1), 6) AS p FROM b JOIN o USING (direction) GROUP BY direction""",
+    f"""WITH {_GAIN}, lib AS (SELECT direction, fiber, list(outcome - fiber_mean ORDER BY slot) AS gains FROM best GROUP BY ALL),
+h AS (SELECT direction, gains, block, sha256('pick|' || block || '|' || direction || '|' || fiber) AS h FROM lib, (SELECT unnest(range({-(-_CHOICES // 64)})) AS block)),
+b AS (SELECT direction, block * 64 + lane AS replicate, avg(gains[1 + (strpos('0123456789abcdef', substr(h, CAST(lane + 1 AS INTEGER), 1)) - 1) % 4]) AS gain FROM h, (SELECT unnest(range(64)) AS lane) WHERE block * 64 + lane < {_CHOICES} GROUP BY ALL),
+o AS (SELECT direction, round(avg(gain), 10) AS seen FROM g GROUP BY direction)
+SELECT direction, count(*) FILTER (round(b.gain, 10) >= seen) AS beaten, round((count(*) FILTER (round(b.gain, 10) >= seen) + 1) / (count(*) + 1), 6) AS p,
+round((count(*) FILTER (abs(round(b.gain, 10)) >= abs(seen)) + 1) / (count(*) + 1), 6) AS p_two_sided FROM b JOIN o USING (direction) GROUP BY direction""",
 )
 def random_choice_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Is the choice better than random ones? One-sided p over choices drawn by hash."""
+    """Is the choice better than random ones? One- and two-sided p over choices drawn by hash."""
     rows = whole(spark, d)
-    seen = B.gains(rows, ["direction"], "prediction", "outcome").groupBy("direction").agg(F.avg("gain").alias("seen"))
+    seen = B.gains(rows, ["direction"], "prediction", "outcome").groupBy("direction").agg(F.round(F.avg("gain"), 10).alias("seen"))
     members = rows.groupBy("direction", "fiber").agg(F.array_sort(F.collect_list(F.struct("choice", "outcome"))).alias("m"), F.avg("outcome").alias("mean"))  # four to a fiber
-    wide = members.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(_REPLICATES - 1))))
-    slot = stats.draw("pick", F.col("replicate"), F.concat("direction", F.col("fiber").cast("string")), F.lit(4)).cast("int")
-    drawn = wide.select("direction", "replicate", (F.col("m")[slot]["outcome"] - F.col("mean")).alias("gain")).groupBy("direction", "replicate").agg(F.avg("gain").alias("gain"))
-    beaten = F.count_if(F.col("gain") >= F.col("seen"))
-    return drawn.join(seen, "direction").groupBy("direction").agg(beaten.alias("beaten"), F.round((beaten + 1) / (F.count("*") + 1), 6).alias("p"))
+    members = members.select("direction", F.concat("direction", F.lit("|"), F.col("fiber").cast("string")).alias("name"), F.transform("m", lambda x: x["outcome"] - F.col("mean")).alias("gains"))
+    drawn = stats.random_choices(members, "direction", "name", "gains", _CHOICES, "pick").withColumn("gain", F.round("mean", 10))
+    beaten, either = F.count_if(F.col("gain") >= F.col("seen")), F.count_if(F.abs("gain") >= F.abs("seen"))
+    p = lambda n: F.round((n + 1) / (F.count("*") + 1), 6)
+    return drawn.join(seen, "direction").groupBy("direction").agg(beaten.alias("beaten"), p(beaten).alias("p"), p(either).alias("p_two_sided"))
 
 
 @register("paired_diff_boot", f"WITH {_BOOT}, o AS (SELECT direction, avg(gain) AS gain FROM g GROUP BY direction) SELECT direction, round(any_value(gain), 9) AS gain, round(stddev_samp(mean), 9) AS error, count(*) FILTER (mean > 0) AS above FROM boot JOIN o USING (direction) GROUP BY direction")
 def paired_diff_boot(spark: SparkSession, d: str) -> DataFrame:
     g = _gains(spark, d)
-    boot = stats.bootstrap_means(g, ["direction"], "fiber", "gain", _REPLICATES, "boot").groupBy("direction").agg(F.round(F.stddev_samp("mean"), 9).alias("error"), F.count_if(F.col("mean") > 0).alias("above"))
+    boot = stats.bootstrap_means(g, "direction", "name", "gain", _REPLICATES, "boot").groupBy("direction").agg(F.round(F.stddev_samp("mean"), 9).alias("error"), F.count_if(F.col("mean") > 0).alias("above"))
     return g.groupBy("direction").agg(F.round(F.avg("gain"), 9).alias("gain")).join(boot, "direction").select("direction", "gain", "error", "above")
 
 
-@register("perm_envelope_hash")
+_ASSOCIATED, _OUTCOMES = _FEATURES, ("score", "cross", "high", "wide")
+
+
+def _associated(spark: SparkSession, d: str) -> DataFrame:
+    """Average ranks of features and outcomes per pool; ``high`` and ``wide`` are labels: a cross score of 1 or more, four choices or more."""
+    rows = _scored(spark, d).na.drop(subset=_FEATURES).where("choice is not null").select("record_id", "pool", *_FEATURES, "score", "cross", (F.col("cross") >= 1).cast("int").alias("high"), (F.col("choice") >= 4).cast("int").alias("wide"))
+    for c in (*_FEATURES, "score", "cross"):
+        rows = average_ranks(rows, ["pool"], c, f"r_{c}").drop(c)
+    return materialise(rows, "associated")
+
+
+def _association(feature: str, outcome: str) -> Column:
+    """Rank correlation with a measured outcome; area under the curve of a label."""
+    x = F.col(f"r_{feature}")
+    if outcome in ("score", "cross"):
+        y = F.col(f"r_{outcome}")
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    p, n = F.count_if(F.col(outcome) == 1), F.count_if(F.col(outcome) == 0)
+    return F.try_divide(F.sum(F.when(F.col(outcome) == 1, x)) - p * (p + 1) / 2, p * n)
+
+
+def _association_sql(feature: str, outcome: str) -> str:
+    if outcome in ("score", "cross"):
+        return f"CASE WHEN stddev_pop(r_{feature}) > 0 AND stddev_pop(r_{outcome}) > 0 THEN corr(r_{feature}, r_{outcome}) END"
+    return f"(sum(r_{feature}) FILTER ({outcome} = 1) - count(*) FILTER ({outcome} = 1) * (count(*) FILTER ({outcome} = 1) + 1) / 2) / nullif(count(*) FILTER ({outcome} = 1) * count(*) FILTER ({outcome} = 0), 0)"
+
+
+_PAIRS = [(f, o) for f in _ASSOCIATED for o in _OUTCOMES]
+_RANKED_SQL = ", ".join(f"CAST({_RANK.format(g='pool', v=v)} AS DOUBLE) AS r_{n}" for n, v in [*((f, f) for f in _FEATURES), ("score", "score"), ("cross", "cross_")])
+_SIDE_Y = ("r_score", "r_cross", "high", "wide")
+
+
+@register(
+    "perm_envelope_hash",
+    f"""WITH {_SCORED}, k AS (SELECT * FROM ok WHERE {" AND ".join(f"{f} IS NOT NULL" for f in _FEATURES)} AND choice IS NOT NULL),
+r AS (SELECT record_id, pool, CAST(cross_ >= 1 AS INTEGER) AS high, CAST(choice >= 4 AS INTEGER) AS wide, {_RANKED_SQL}, row_number() OVER (PARTITION BY pool ORDER BY record_id) AS place FROM k),
+h AS (SELECT record_id, pool, {", ".join(_SIDE_Y)}, block, sha256('perm|' || block || '|' || record_id) AS h FROM r, (SELECT unnest(range({_SHUFFLES // 4})) AS block)),
+l AS (SELECT *, block * 4 + lane AS replicate, substr(h, CAST(lane * 16 + 1 AS INTEGER), 16) AS lock FROM h, (SELECT unnest(range(4)) AS lane)),
+s AS (SELECT pool, replicate, {", ".join(_SIDE_Y)}, row_number() OVER (PARTITION BY pool, replicate ORDER BY lock, record_id) AS place FROM l),
+n AS (SELECT pool, replicate, {", ".join(f"{_association_sql(f, o)} AS {f}_{o}" for f, o in _PAIRS)} FROM s JOIN (SELECT pool, place, {", ".join(f"r_{f}" for f in _FEATURES)} FROM r) USING (pool, place) GROUP BY ALL),
+o AS (SELECT pool, {", ".join(f"{_association_sql(f, o)} AS {f}_{o}" for f, o in _PAIRS)} FROM r GROUP BY pool)
+"""
+    + " UNION ALL ".join(
+        f"SELECT n.pool, '{f}' AS feature, '{o}' AS outcome, round(any_value(o.{f}_{o}), 6) AS association, round(quantile_cont(n.{f}_{o}, 0.025), 6) AS low, round(quantile_cont(n.{f}_{o}, 0.975), 6) AS high FROM n JOIN o ON n.pool = o.pool GROUP BY n.pool"
+        for f, o in _PAIRS
+    ),
+)
 def perm_envelope_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Spearman correlation against those of twenty hash-ordered shuffles of one side, per pool."""
-    rows = average_ranks(average_ranks(_scored(spark, d).select("record_id", "pool", "score", "cross"), ["pool"], "score", "x"), ["pool"], "cross", "y")
-    seen = rows.groupBy("pool").agg(F.round(F.corr("x", "y"), 6).alias("spearman"))
-    wide = rows.select("record_id", "pool", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("replicate"))
-    lock = lambda side: F.sha2(F.concat(F.lit(f"{side}|"), F.col("replicate"), F.lit("|"), F.col("record_id")), 256)
-    group = ["pool", "replicate"]
-    a = positions(wide.select(*group, "x", "record_id", lock("a").alias("lock")), group, ["lock", "record_id"], "place").select(*group, "place", "x")
-    b = positions(wide.select(*group, "y", "record_id", lock("b").alias("lock")), group, ["lock", "record_id"], "place").select(*group, "place", "y")
-    null = a.join(b, [*group, "place"]).groupBy(*group).agg(F.corr("x", "y").alias("r")).groupBy("pool").agg(F.percentile("r", [0.025, 0.975]).alias("q"))
-    return seen.join(null, "pool").select("pool", "spearman", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    """Association of four features with four outcomes per pool, against the envelope of 500 shuffles of the outcomes.
 
+    A shuffle sorts the records by a lock from a hash, one SHA-256 for four shuffles, and gives the outcomes to the places of the unshuffled ones.
+    """
+    rows = _associated(spark, d)
+    named = [_association(f, o).alias(f"{f}_{o}") for f, o in _PAIRS]
+    long = lambda df: df.select("pool", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(o).alias("outcome"), F.col(f"{f}_{o}").alias("a")) for f, o in _PAIRS])))
+    fixed = positions(rows.select("record_id", "pool", *[f"r_{f}" for f in _FEATURES]), ["pool"], ["record_id"], "place").drop("record_id")
+    blocks = rows.select("record_id", "pool", *_SIDE_Y, F.explode(F.sequence(F.lit(0), F.lit(_SHUFFLES // 4 - 1))).alias("block"))
+    digest = F.sha2(F.concat(F.lit("perm|"), F.col("block").cast("string"), F.lit("|"), F.col("record_id").cast("string")), 256)
+    lanes = F.array(*[F.struct((F.col("block") * 4 + i).alias("replicate"), F.substring("h", 16 * i + 1, 16).alias("lock")) for i in range(4)])
+    shuffled = blocks.withColumn("h", digest).select("record_id", "pool", *_SIDE_Y, F.inline(lanes))
+    placed = positions(shuffled, ["pool", "replicate"], ["lock", "record_id"], "place").drop("lock", "record_id")
+    null = long(placed.join(fixed, ["pool", "place"]).groupBy("pool", "replicate").agg(*named))
+    q = F.percentile("a", [0.025, 0.975])
+    ends = null.groupBy("pool", "feature", "outcome").agg(F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"))
+    seen = long(rows.groupBy("pool").agg(*named)).withColumn("association", F.round("a", 6)).drop("a")
+    return seen.join(ends, ["pool", "feature", "outcome"]).select("pool", "feature", "outcome", "association", "low", "high")
 
 
 @register(
