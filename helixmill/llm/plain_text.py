@@ -13,7 +13,6 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +78,6 @@ def _ordinary(text: str) -> str:
 _TOGETHER = {"Hiragana": {"Hiragana", "Japanese"}, "Katakana": {"Katakana", "Japanese"}, "Cjk": {"Cjk", "Japanese", "Korean", "Bopomofo"}, "Hangul": {"Hangul", "Korean"}, "Bopomofo": {"Bopomofo"}}
 
 
-@lru_cache(maxsize=1 << 16)
 def _scripts(c: str) -> frozenset[str] | None:
     """The scripts of a letter, from its Unicode name; None for digits, accents and letters of all scripts."""
     if _HAS_LATIN.match(c):

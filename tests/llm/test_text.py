@@ -1,11 +1,14 @@
 """Problems 6, 7 and 8: token ids, leaked passages, one form of text."""
 
 import random
+import subprocess
+import sys
 import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from helixmill.llm import byte_bpe, leaks, plain_text
 
@@ -100,6 +103,12 @@ def test_plain_text_is_idempotent(text):
     assert plain_text.plain_text(once) == once
 
 
+def test_functions_carry_their_code(tmp_path):
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(plain_text.plain_text))
+    out = subprocess.run([sys.executable, "-c", "import pickle; print(pickle.load(open('f', 'rb'))('p\u0430ge'))"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "page"
+
+
 def test_script_sets_and_confusable_words():
     assert plain_text.script_set("abc1") == {"Latin"}
     assert plain_text.script_set("12") == {"Latin", "Cyrillic", "Greek"}
