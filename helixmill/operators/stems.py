@@ -8,7 +8,6 @@ join of four-letter words with those of the other strand, extended letter by let
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +19,33 @@ from helixmill.functions.names import reverse_complement
 from helixmill.sources import spread
 
 STEM, LOOP = 4, 3
+#: Places of a text that are looked at together, and lengths whose places are kept.
+PLACES_AT_ONCE, SHORT = 1 << 18, 300
 _OUT = "pairs int, weighted int, longest int, least_loop int"
 
 
-@lru_cache(maxsize=64)
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places (x, y) that may pair in a text of n letters, outermost first along each diagonal x + y, diagonals apart by a pair (n, n)."""
-    x, y = [np.full(1, n)], [np.full(1, n)]
+def _blocks(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (x, y) that may pair in a text of n letters, in blocks of whole diagonals x + y.
+
+    Along a diagonal the outermost places come first, and a pair (n, n) follows it.
+    """
+    x, y, size = [np.full(1, n)], [np.full(1, n)], 0
     for total in range(LOOP + 1, 2 * n - 1):
-        inner = np.arange(max(0, total - n + 1), (total - LOOP - 1) // 2 + 1)
-        x += [inner, np.full(1, n)]
-        y += [total - inner, np.full(1, n)]
-    return np.concatenate(x), np.concatenate(y)
+        left = np.arange(max(0, total - n + 1), (total - LOOP - 1) // 2 + 1)
+        x += [left, np.full(1, n)]
+        y += [total - left, np.full(1, n)]
+        size += len(left)
+        if size > PLACES_AT_ONCE or total == 2 * n - 2:
+            yield np.concatenate(x), np.concatenate(y)
+            x, y, size = [np.full(1, n)], [np.full(1, n)], 0
 
 
-def stems_of(texts: list[str]) -> np.ndarray:
+def stems_of(texts: list[str], places: dict[int, list[tuple[np.ndarray, np.ndarray]]] | None = None) -> np.ndarray:
     """(stems, letters in them, longest, least loop or -1) of each text over A, C, G and T; all of one length.
 
     A stem is any part of at least ``STEM`` pairs of a stretch of paired places along a diagonal. With k = L - STEM + 1, a stretch of L pairs has
-    k (k + 1) / 2 of them, which hold (STEM - 1) k (k + 1) / 2 + k (k + 1) (k + 2) / 6 letters; its last pair leaves the least loop.
+    k (k + 1) / 2 of them, which hold (STEM - 1) k (k + 1) / 2 + k (k + 1) (k + 2) / 6 letters; its last pair leaves the least loop. ``places`` keeps
+    the places of short lengths met before.
     """
     n = len(texts[0])
     out = np.zeros((len(texts), 4), np.int64)
@@ -48,32 +55,37 @@ def stems_of(texts: list[str]) -> np.ndarray:
     base = np.pad(np.frombuffer("".join(texts).encode(), np.uint8).reshape(-1, n), ((0, 0), (0, 1)))
     other = np.ones(256, np.uint8)  # no letter pairs with the pad
     other[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
-    x, y = _pairs(n)
-    paired = (base[:, x] == other[base[:, y]]).ravel()
-    edge = np.flatnonzero(np.diff(paired.view(np.int8), prepend=0, append=0))
-    begin, end = edge[::2], edge[1::2]
-    long = end - begin >= STEM
-    row, last, k = begin[long] // len(x), (end[long] - 1) % len(x), (end - begin)[long] - STEM + 1
-    sums = lambda v: np.bincount(row, v, len(texts)).astype(np.int64)
-    out[:, 0] = sums(k * (k + 1) // 2)
-    out[:, 1] = sums((STEM - 1) * k * (k + 1) // 2 + k * (k + 1) * (k + 2) // 6)
-    np.maximum.at(out[:, 2], row, k + STEM - 1)
+    blocks = _blocks(n)
+    if places is not None and n <= SHORT:
+        blocks = places.setdefault(n, [])
+        if not blocks:
+            blocks.extend(_blocks(n))
     loop = np.full(len(texts), n)
-    np.minimum.at(loop, row, y[last] - x[last] - 1)
+    for x, y in blocks:
+        paired = (base[:, x] == other[base[:, y]]).ravel()
+        edge = np.flatnonzero(np.diff(paired.view(np.int8), prepend=0, append=0))
+        begin, end = edge[::2], edge[1::2]
+        long = end - begin >= STEM
+        row, last, k = begin[long] // len(x), (end[long] - 1) % len(x), (end - begin)[long] - STEM + 1
+        out[:, 0] += np.bincount(row, k * (k + 1) // 2, len(texts)).astype(np.int64)
+        out[:, 1] += np.bincount(row, (STEM - 1) * k * (k + 1) // 2 + k * (k + 1) * (k + 2) // 6, len(texts)).astype(np.int64)
+        np.maximum.at(out[:, 2], row, k + STEM - 1)
+        np.minimum.at(loop, row, y[last] - x[last] - 1)
     out[:, 3] = np.where(out[:, 0] > 0, loop, -1)
     return out
 
 
 def _stems(texts: list[str | None]) -> list[list[int | None]]:
+    places: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     out: list[list[int | None]] = [[None] * 4 for _ in texts]
     order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts[i]))
     begin = 0
     while begin < len(order):
         n = len(texts[order[begin]])
         stop = begin
-        while stop < len(order) and stop - begin < 512 and len(texts[order[stop]]) == n:
+        while stop < len(order) and stop - begin < max(1, min(512, (1 << 22) // max(1, min(n * n // 4, PLACES_AT_ONCE)))) and len(texts[order[stop]]) == n:
             stop += 1
-        for i, row in zip(order[begin:stop], stems_of([texts[i] for i in order[begin:stop]]).tolist()):
+        for i, row in zip(order[begin:stop], stems_of([texts[i] for i in order[begin:stop]], places).tolist()):
             out[i] = row
         begin = stop
     return out

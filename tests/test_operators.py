@@ -58,6 +58,33 @@ def burden(s):
     return (len(found), sum(n for n, _ in found), max((n for n, _ in found), default=0), min((x for _, x in found), default=-1))
 
 
+def test_stem_counts_in_blocks_of_diagonals(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ACGT"), 120)) for _ in range(5)]
+    whole = stems.stems_of(texts)
+    monkeypatch.setattr(stems, "PLACES_AT_ONCE", 200)
+    assert (stems.stems_of(texts) == whole).all() and whole[:, 0].all()
+
+
+def test_stem_functions_carry_their_code(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(stems._stems))
+    out = subprocess.run([sys.executable, "-c", "import pickle; print(pickle.load(open('f', 'rb'))(['AAAACCCTTTT', None]))"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "[[1, 4, 4, 3], [None, None, None, None]]"
+
+
+def test_context_folds_keep_copies_together(spark):
+    from helixmill.plans.context_queries import fold_of
+
+    rows = spark.createDataFrame([(i, f"ACGT{i % 30:05d}") for i in range(300)], "id int, seq string").withColumn("fold", fold_of("seq"))
+    folds = rows.groupBy("seq").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0]
+    assert folds == 1 and rows.select("fold").distinct().count() == 5
+
+
 def test_stems_match_the_definition(spark):
     rng = random.Random(3)
     seqs = ["".join(rng.choice("ACGT") for _ in range(rng.choice((5, 11, 30, 60)))) for _ in range(60)] + ["ACGT" * 12, "A" * 30 + "T" * 30, "GGGGCCCC", "GGGGAAACCCC"]
