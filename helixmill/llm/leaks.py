@@ -258,18 +258,26 @@ def _window_sums(x: np.ndarray, width: int) -> np.ndarray:
 def _sharing(words: np.ndarray, rows: np.ndarray, items: list[np.ndarray], width: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window, item), in parts: windows of one document of which at least ``least`` words are words of the item."""
     n = len(words) - width + 1
+    known = np.r_[0, np.cumsum(words > 0)]
+    good = np.zeros(len(words), bool)  # windows with enough held-out words at all; others share them with no item
+    good[:n] = (known[width:] - known[:n] >= least) & (rows[:n] == rows[width - 1 :])
+    covered = np.zeros(len(words) + 1, np.int64)
+    covered[:-1] += good
+    covered[width:] -= good[: len(words) + 1 - width]
+    place = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+    n = len(place) - width + 1
     for low in range(0, n, WINDOWS_AT_ONCE):
         high = min(n, low + WINDOWS_AT_ONCE)
-        local, own = np.unique(words[low : high + width - 1], return_inverse=True)
-        whole = rows[low:high] == rows[low + width - 1 : high + width - 1]
+        local, own = np.unique(words[place[low : high + width - 1]], return_inverse=True)
+        whole = good[place[low:high]]
         for begin in range(0, len(items), ITEMS_AT_ONCE):
             some = items[begin : begin + ITEMS_AT_ONCE]
             member = np.zeros((len(local), len(some)), np.uint8)
             for i, item in enumerate(some):
-                place = np.minimum(np.searchsorted(local, item), len(local) - 1)
-                member[place[local[place] == item], i] = 1
+                spot = np.minimum(np.searchsorted(local, item), len(local) - 1)
+                member[spot[local[spot] == item], i] = 1
             at = np.flatnonzero((_window_sums(member[own], width) >= least) & whole[:, None])
-            yield low + at // len(some), begin + at % len(some)
+            yield place[low + at // len(some)], begin + at % len(some)
 
 
 def paraphrased(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
