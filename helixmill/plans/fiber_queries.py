@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from helixmill.functions import sequence as S
 from helixmill.operators import fibers as B
 from helixmill.operators.positions import positions
+from helixmill.operators.quantiles import with_quantiles
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
+from helixmill.sources import materialise
 
 _G = ["direction"]
 
@@ -71,14 +73,16 @@ def fiber_gain_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = whole(spark, d)
     w = Window.partitionBy("direction", "fiber")
     wide = rows.withColumns({"fiber_mean": F.avg("outcome").over(w), "variance": F.var_pop("outcome").over(w)})
-    picked = B.ranked_choices(wide, _G, "prediction")
+    picked = B.ranked_choices(wide, _G, "prediction").select("direction", "place", "outcome", "fiber_mean", "event", "variance")
+    picked = materialise(picked, "gain-summary")  # read for the sums and for the median
     first, g = F.col("place") == 1, F.col("outcome") - F.col("fiber_mean")
     one = lambda x: F.avg(F.when(first, x))
-    return picked.groupBy("direction").agg(
+    out = picked.groupBy("direction").agg(
         F.count_if(first).alias("fibers"), F.round(F.avg("outcome"), 9).alias("library_mean"), F.round(one(F.col("outcome")), 9).alias("selected_mean"), F.round(one(g), 9).alias("gain"),
         F.round(one(g) / F.stddev_pop("outcome"), 6).alias("standardised_gain"), F.round(one(F.col("event")) - F.avg("event"), 6).alias("event_change"),
-        F.round(one(F.col("variance")), 12).alias("fiber_variance"), F.round(one((g < 0).cast("double")), 6).alias("negative"), F.round(F.percentile(F.when(first, g), 0.5), 9).alias("median_gain"),
+        F.round(one(F.col("variance")), 12).alias("fiber_variance"), F.round(one((g < 0).cast("double")), 6).alias("negative"),
     )
+    return with_quantiles(out, picked.where(first).select("direction", g.alias("g")), _G, "g", {"median_gain": 0.5}, 9)
 
 
 @register(
@@ -96,9 +100,9 @@ def choice_stability(spark: SparkSession, d: str) -> DataFrame:
     per = rows.groupBy("direction", "fiber").agg(
         (at(1, "place", "choice") != at(1, "raw", "choice")).alias("changed"), (at(1, "place", "key") == at(2, "place", "key")).alias("tied"), (at(1, "raw", "prediction") - at(2, "raw", "prediction")).alias("gap")
     )
-    return per.groupBy("direction").agg(
-        F.count("*").alias("fibers"), F.count_if("changed").alias("changed"), F.count_if("tied").alias("tied"), F.min("gap").alias("least_gap"), F.round(F.percentile("gap", 0.5), 12).alias("median_gap")
-    )
+    per = materialise(per, "stability")  # read for the counts and for the median
+    out = per.groupBy("direction").agg(F.count("*").alias("fibers"), F.count_if("changed").alias("changed"), F.count_if("tied").alias("tied"), F.min("gap").alias("least_gap"))
+    return with_quantiles(out, per, _G, "gap", {"median_gap": 0.5}, 12)
 
 
 @register(
@@ -120,7 +124,7 @@ def rejection_baseline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SEEDS = 8
+_SEEDS = 32
 
 
 @register(
@@ -133,7 +137,7 @@ s AS (SELECT direction, seed, avg(outcome - m) AS gain FROM best WHERE first_ =
 SELECT direction, count(*) AS mappings, round(min(gain), 9) AS least, round(quantile_cont(gain, 0.5), 9) AS median, round(max(gain), 9) AS most, round(avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM s GROUP BY direction""",
 )
 def mapping_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """The mean gain under eight orders of the codebook."""
+    """The mean gain under 32 orders of the codebook."""
     rows = measured(spark, d).select("record_id", "direction", "digest", "outcome", "prediction", F.explode(F.sequence(F.lit(0), F.lit(_SEEDS - 1))).alias("seed"))
     group = ["direction", "seed"]
     locked = rows.withColumn("lock", F.sha2(F.concat(F.lit("map"), F.col("seed"), F.lit("|"), F.col("digest")), 256))
@@ -163,8 +167,9 @@ def abstention(spark: SparkSession, d: str) -> DataFrame:
     """Mean gain when fibers of small score margins are left out; ties at the threshold stay."""
     rows = whole(spark, d)
     per = B.gains(rows, _G, "prediction", "outcome").select("direction", "fiber", "gain").join(B.margins(rows, _G, "prediction"), ["direction", "fiber"])
-    edges = per.groupBy("direction").agg(F.percentile("margin", [round(1 - q, 10) for q in _SHARES]).alias("t"))
-    shares = F.array(*[F.struct(F.lit(q).alias("share"), F.col("t")[i].alias("t")) for i, q in enumerate(_SHARES)])
+    per = materialise(per, "abstention")  # read for the thresholds and for the fibers they keep
+    edges = with_quantiles(per.select("direction").distinct(), per, _G, "margin", {f"t{i}": round(1 - q, 10) for i, q in enumerate(_SHARES)})
+    shares = F.array(*[F.struct(F.lit(q).alias("share"), F.col(f"t{i}").alias("t")) for i, q in enumerate(_SHARES)])
     wide = per.join(edges, "direction").select("direction", "gain", "margin", F.inline(shares))
     return wide.where(F.col("margin") >= F.col("t")).groupBy("direction", "share").agg(F.count("*").alias("kept"), F.round(F.avg("gain"), 9).alias("gain"))
 

@@ -9,6 +9,7 @@ from helixmill.functions import sequence as S
 from helixmill.functions.names import digest_key, name_key, reverse_complement
 from helixmill.operators import fibers as B
 from helixmill.operators.expect import expect
+from helixmill.operators.quantiles import with_quantiles
 from helixmill.plans import frames as T
 from helixmill.plans.fiber_queries import measured
 from helixmill.plans.registry import register
@@ -179,10 +180,12 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 )
 def gain_groups(spark: SparkSession, d: str) -> DataFrame:
     """Minimum, median and maximum of gains per setting, the share above zero, and the determinism sums."""
-    return _runs(spark, d).where(S.finite("gain")).groupBy("pool", "model", "bits").agg(
-        F.count("*").alias("n"), F.min("gain").alias("least"), F.round(F.percentile("gain", 0.5), 12).alias("median"), F.max("gain").alias("most"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
+    rows, group = _runs(spark, d).where(S.finite("gain")), ["pool", "model", "bits"]
+    out = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.min("gain").alias("least"), F.max("gain").alias("most"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
         F.sum("changed").alias("changed"), F.sum("ties").alias("ties"), F.min("gap").alias("gap"),
     )
+    return with_quantiles(out, rows, group, "gain", {"median": 0.5}, 12)
 
 
 @register(
@@ -256,9 +259,10 @@ def smd_pooled(spark: SparkSession, d: str) -> DataFrame:
 def binned_median(spark: SparkSession, d: str) -> DataFrame:
     """Median of one score over nine quantile bins of another; equal edges make one."""
     ok = T.generated(spark, d, "pool", "score", "cross").where(F.col("pool").isNotNull() & S.finite("score") & S.finite("cross"))
-    edges = ok.groupBy("pool").agg(F.percentile("score", [round(i / 9, 12) for i in range(1, 9)]).alias("edges"))
-    bins = ok.join(edges, "pool").withColumn("bin", F.size(F.filter(F.array_distinct("edges"), lambda e: e < F.col("score"))).cast("long"))
-    return bins.groupBy("pool", "bin").agg(F.count("*").alias("n"), F.round(F.percentile("cross", 0.5), 9).alias("median"))
+    at = {f"e{i}": round(i / 9, 12) for i in range(1, 9)}
+    edges = with_quantiles(ok.select("pool").distinct(), ok, ["pool"], "score", at).select("pool", F.array_distinct(F.array(*at)).alias("edges"))
+    bins = ok.join(edges, "pool").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("score"))).cast("long")).select("pool", "bin", "cross")
+    return with_quantiles(bins.groupBy("pool", "bin").agg(F.count("*").alias("n")), bins, ["pool", "bin"], "cross", {"median": 0.5}, 9)
 
 
 @register(
@@ -266,9 +270,9 @@ def binned_median(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {T.EMITTED} SELECT pool, count(*) AS n, min(score) AS least, round(quantile_cont(score, 0.01), 9) AS q01, round(quantile_cont(score, 0.25), 9) AS q25, round(quantile_cont(score, 0.5), 9) AS q50, round(quantile_cont(score, 0.75), 9) AS q75, round(quantile_cont(score, 0.99), 9) AS q99, max(score) AS most FROM emitted WHERE pool IS NOT NULL AND isfinite(score) GROUP BY pool",
 )
 def quantile_table(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("score", [0.01, 0.25, 0.5, 0.75, 0.99])
-    cols = [F.round(q[i], 9).alias(n) for i, n in enumerate(("q01", "q25", "q50", "q75", "q99"))]
-    return T.emitted(spark, d, "pool", "score").where(F.col("pool").isNotNull() & S.finite("score")).groupBy("pool").agg(F.count("*").alias("n"), F.min("score").alias("least"), *cols, F.max("score").alias("most"))
+    rows = T.emitted(spark, d, "pool", "score").where(F.col("pool").isNotNull() & S.finite("score"))
+    out = rows.groupBy("pool").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+    return with_quantiles(out, rows, ["pool"], "score", {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}, 9)
 
 
 @register(
