@@ -1,75 +1,141 @@
 """Hamming separation of equally long sequences: pairs within a distance, and nearest neighbours of a query set.
 
 ``pairs_within`` never compares all pairs: by the pigeonhole principle two words within ``d`` substitutions agree on one of
-``d + 1`` pieces, so an equi-join on piece and place finds every pair. ``nearest`` compares a stated query set with all rows, in
-blocks: queries are packed into bit planes, each task takes a block of queries and streams the rows it is given.
+``d + 1`` pieces, so an equi-join on piece and place finds every pair. A piece that many words share is cut again over the rest of
+the word, and what is hot even then is compared in blocks. ``nearest`` compares a stated query set with all rows, in blocks.
+Words travel as numbers of two bits a letter, and the distance is a few XORs and bit counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.sources import partitions
+from helixmill.sources import materialise, partitions
 
 BLOCK = 4096
+HOT = 64
+_LOW_BITS = 0x5555555555555555
+_LETTERS = 31
 
 
-def pairs_within(df: DataFrame, id_: str, seq: str, length: int, most: int) -> DataFrame:
-    """(id_a, id_b, distance), id_a < id_b, of rows of distinct sequences of ``length`` letters within ``most`` substitutions."""
-    edges = [round(i * length / (most + 1)) for i in range(most + 2)]
-    pieces = F.array(*[F.struct(F.lit(i).alias("piece"), F.substring(seq, a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    rows = df.select(F.col(id_).alias("id"), F.col(seq).alias("seq"), F.inline(pieces))
-    a = rows.select("piece", "part", F.col("id").alias("id_a"), F.col("seq").alias("x"))
-    b = rows.select("piece", "part", F.col("id").alias("id_b"), F.col("seq").alias("y"))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(length)), F.lit(0), lambda n, i: n + F.when(F.substring(F.col("x"), i, F.lit(1)) != F.substring(F.col("y"), i, F.lit(1)), 1).otherwise(0))
-    found = a.join(b, ["piece", "part"]).where("id_a < id_b").select("id_a", "id_b", "x", "y").distinct()
-    return found.select("id_a", "id_b", same.alias("distance")).where(F.col("distance") <= most)
+def packed(seq: str, length: int) -> dict[str, Column]:
+    """Columns ``c0``, ``c1``...: 31 letters over A, C, G and T each, two bits a letter."""
+    digits = F.translate(seq, "ACGT", "0123")
+    return {f"c{i}": F.conv(F.substring(digits, i * _LETTERS + 1, _LETTERS), 4, 10).cast("long") for i in range(-(-length // _LETTERS))}
 
 
-def planes(texts: list[str], length: int) -> np.ndarray:
-    """Two bit planes per text over A, C, G and T, as 64-bit words."""
-    raw = np.frombuffer("".join(texts).encode(), np.uint8).reshape(len(texts), length)
-    code = np.zeros(256, np.uint8)
-    code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
-    number = code[raw]
-    pad = -length % 64
-    bits = np.stack([np.pad(number & 1, ((0, 0), (0, pad))), np.pad(number >> 1, ((0, 0), (0, pad)))], axis=1)
-    return np.packbits(bits, axis=2).view(np.uint64).reshape(len(texts), 2, -1)
+def _distance(words: int) -> Column:
+    out = F.lit(0)
+    for i in range(words):
+        x = F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW_BITS)))
+    return out
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_: str, seq: str, length: int) -> DataFrame:
-    """(query, distance, neighbour): the nearest other row of each query, the least id on ties.
+def _pieces(seq: Column, length: Column, number: int, at: str, part: str) -> Column:
+    edges = [F.floor(length * i / number).cast("int") for i in range(number + 1)]
+    return F.array(*[F.struct(F.lit(i).alias(at), F.substring(seq, a + 1, b - a).alias(part)) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of shared keys only, with ``n``, how many share the key; written, since cold and hot rows go different ways."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(rows.join(sizes, keys), "pieces")
+
+
+def _joined(rows: DataFrame, keys: list[str], words: int, most: int) -> DataFrame:
+    a = rows.select(*keys, F.col("id").alias("id_a"), *[F.col(f"c{i}").alias(f"x{i}") for i in range(words)])
+    b = rows.select(*keys, F.col("id").alias("id_b"), *[F.col(f"c{i}").alias(f"y{i}") for i in range(words)])
+    return a.join(b, keys).where("id_a < id_b").select("id_a", "id_b", _distance(words).alias("distance")).where(F.col("distance") <= most)
+
+
+def _codes(t: pa.Table, words: int) -> np.ndarray:
+    return np.stack([t.column(f"c{i}").to_numpy().view(np.uint64) for i in range(words)], axis=1)
+
+
+def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    x = many ^ one
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW_BITS)).sum(axis=1).astype(np.int64)
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], words: int, most: int, block: int) -> DataFrame:
+    """Pairs under hot keys: a key's rows are dealt into blocks, and each pair of blocks is a task's group of its own."""
+    m = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), m).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
+    dealt = dealt.select(*keys, "id", *[f"c{i}" for i in range(words)], "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, ids, codes = t.column("own").to_numpy(), t.column("id").to_numpy(), _codes(t, words)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = [np.zeros((0, 3), np.int64)]
+        for k in a:
+            distance = _distances(codes[k], codes[b])
+            near = np.flatnonzero((distance <= most) & ((ids[b] > ids[k]) if i == j else (ids[b] != ids[k])))
+            low, high = np.minimum(ids[k], ids[b][near]), np.maximum(ids[k], ids[b][near])
+            out.append(np.stack([low, high, distance[near]], axis=1))
+        found = np.concatenate(out)
+        return pa.table({"id_a": found[:, 0], "id_b": found[:, 1], "distance": found[:, 2].astype(np.int32)})
+
+    spread = dealt.repartition(partitions(rows.sparkSession), *keys, "i", "j")
+    return spread.groupBy(*keys, "i", "j").applyInArrow(compare, "id_a long, id_b long, distance int")
+
+
+def pairs_within(df: DataFrame, id_: str, seq: str, length: int, most: int, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b, distance), id_a < id_b, of rows of distinct sequences of ``length`` letters over A, C, G, T within ``most`` substitutions.
+
+    A piece that more than ``hot`` words share does not join by itself: what is left of those words is cut into ``most + 1`` pieces
+    too, one of which a pair within the distance must share; keys of two pieces that are hot still are compared in blocks. No pair is lost.
+    """
+    words = -(-length // _LETTERS)
+    codes = [f"c{i}" for i in range(words)]
+    rows = df.select(F.col(id_).alias("id"), F.col(seq).alias("seq")).withColumns(packed("seq", length))
+    first = _counted(rows.select("id", "seq", *codes, F.inline(_pieces(F.col("seq"), F.lit(length), most + 1, "piece", "part"))), ["piece", "part"])
+    found = _joined(first.where(F.col("n") <= hot), ["piece", "part"], words, most)
+    at = F.floor(F.col("piece") * length / (most + 1)).cast("int")
+    rest = F.concat(F.substring("seq", F.lit(1), at), F.substring("seq", at + F.length("part") + 1, F.lit(length)))  # the word without this piece
+    again = first.where(F.col("n") > hot).select("id", *codes, "piece", "part", F.inline(_pieces(rest, F.length(rest), most + 1, "sub", "subpart")))
+    keys = ["piece", "part", "sub", "subpart"]
+    second = _counted(again, keys)
+    found = found.unionByName(_joined(second.where(F.col("n") <= hot), keys, words, most))
+    return found.unionByName(_in_blocks(second.where(F.col("n") > hot), keys, words, most, block)).distinct()
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_: str, seq: str, length: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group..., query, distance, neighbour): the nearest other row of each query in its group, the least id on ties.
 
     Queries and rows, (id long, sequence of ``length`` letters over A, C, G and T), are each cut into blocks of about ``BLOCK`` by
     the hash of their id, and every pair of blocks is compared in a task of its own, whose best per query is all it gives out.
     """
+    words = -(-length // _LETTERS)
+    codes, by = [f"c{i}" for i in range(words)], list(group)
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
     n, m = blocks(queries), blocks(rows)
-    cut = lambda df, k: df.select(F.col(id_).alias("id"), F.col(seq).alias("seq"), F.pmod(F.xxhash64(id_), F.lit(k)).cast("int").alias("own"))
-    asked = cut(queries, n).select(F.lit(True).alias("query"), "id", "seq", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    given = cut(rows, m).select(F.lit(False).alias("query"), "id", "seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("own").alias("j"))
+    cut = lambda df, k: df.select(*by, F.col(id_).alias("id"), F.col(seq).alias("seq")).withColumns(packed("seq", length)).select(*by, "id", *codes, F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("own"))
+    asked = cut(queries, n).select(*by, F.lit(True).alias("asked"), "id", *codes, F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    given = cut(rows, m).select(*by, F.lit(False).alias("asked"), "id", *codes, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("own").alias("j"))
 
     def best(t: pa.Table) -> pa.Table:
-        q, ids = t.column("query").to_numpy(), t.column("id").to_numpy()
-        texts = t.column("seq").to_pylist()
-        a, b = np.flatnonzero(q), np.flatnonzero(~q)
+        asks, ids, coded = t.column("asked").to_numpy(), t.column("id").to_numpy(), _codes(t, words)
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
         if len(a) and len(b):
             b = b[np.argsort(ids[b])]
-            left, right = planes([texts[i] for i in a], length), planes([texts[i] for i in b], length)
-            for i, x in zip(ids[a], left):
-                distance = np.bitwise_count((right[:, 0] ^ x[0]) | (right[:, 1] ^ x[1])).sum(axis=1).astype(np.int64)
-                distance[ids[b] == i] = length + 1
-                k = int(np.argmin(distance))
-                if distance[k] <= length:
-                    out.append((int(i), int(distance[k]), int(ids[b[k]])))
+            for k in a:
+                distance = _distances(coded[k], coded[b])
+                distance[ids[b] == ids[k]] = length + 1
+                at = int(np.argmin(distance))
+                if distance[at] <= length:
+                    out.append((int(ids[k]), int(distance[at]), int(ids[b[at]])))
         cols = list(zip(*out)) if out else [[], [], []]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query", "distance", "neighbour"), cols)})
+        named = {g: pa.array([t.column(g)[0].as_py()] * len(out), t.schema.field(g).type) for g in by}
+        return pa.table(named | {c: pa.array(v, pa.int64()) for c, v in zip(("query", "distance", "neighbour"), cols)})
 
-    both = asked.unionByName(given).repartition(partitions(queries.sparkSession), "i", "j")  # a number of its own: the blocks cost more than their bytes
-    found = both.groupBy("i", "j").applyInArrow(best, "query long, distance long, neighbour long")
-    top = found.groupBy("query").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
-    return top.select("query", "m.distance", "m.neighbour")
+    both = asked.unionByName(given).repartition(partitions(queries.sparkSession), *by, "i", "j")  # a number of its own: the blocks cost more than their bytes
+    head = "".join(f"{g} {queries.schema[g].dataType.simpleString()}, " for g in by)
+    found = both.groupBy(*by, "i", "j").applyInArrow(best, head + "query long, distance long, neighbour long")
+    top = found.groupBy(*by, "query").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
+    return top.select(*by, "query", "m.distance", "m.neighbour")

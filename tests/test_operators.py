@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions.language import Language
-from helixmill.operators import codec, edits, fibers, positions, ridge, separation, stats, stems
+from helixmill.operators import codec, edits, fibers, positions, quantiles, ridge, separation, stats, stems
 from helixmill.operators.expect import ExpectationError, expect
 
 
@@ -196,10 +196,36 @@ def test_hamming_separation(spark, monkeypatch):
     far = lambda x, y: sum(a != b for a, b in zip(x, y))
     want = {(i, j, far(x, y)) for (i, x), (j, y) in itertools.combinations(enumerate(seqs), 2) if far(x, y) <= 8}
     assert {tuple(r) for r in separation.pairs_within(df, "id", "seq", 108, 8).collect()} == want
+    assert {tuple(r) for r in separation.pairs_within(df, "id", "seq", 108, 8, hot=2, block=7).collect()} == want  # a second cut, then blocks
     asked = df.where("id % 20 = 0")
     got = {r["query"]: (r["distance"], r["neighbour"]) for r in separation.nearest(asked, df, "id", "seq", 108).collect()}
     assert got == {i: min((far(seqs[i], y), j) for j, y in enumerate(seqs) if j != i) for i in range(0, len(seqs), 20)}
     assert separation.nearest(asked.where("false"), df, "id", "seq", 108).count() == 0
+    two = df.withColumn("g", F.col("id") % 2)
+    got = {(r["g"], r["query"]): (r["distance"], r["neighbour"]) for r in separation.nearest(two.where("id % 20 = 1"), two, "id", "seq", 108, ("g",)).collect()}
+    assert got == {(1, i): min((far(seqs[i], seqs[j]), j) for j in range(1, len(seqs), 2) if j != i) for i in range(1, len(seqs), 20)}
+
+
+def test_pairs_under_a_hot_piece(spark):
+    rng = random.Random(8)
+    seqs = list(dict.fromkeys("ACGT" * 3 + "".join(rng.choice("ACGT") if rng.random() < 0.05 else c for c in "GATC" * 24) for _ in range(150)))
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    far = lambda x, y: sum(a != b for a, b in zip(x, y))
+    want = {(i, j, far(x, y)) for (i, x), (j, y) in itertools.combinations(enumerate(seqs), 2) if far(x, y) <= 8}
+    got = [tuple(r) for r in separation.pairs_within(df, "id", "seq", 108, 8).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    assert separation.pairs_within(df.where("false"), "id", "seq", 108, 8).count() == 0
+
+
+def test_quantiles_interpolate(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else rng.choice("ab"), None if i % 11 == 0 else float(rng.randint(-3, 3))) for i in range(700)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    out = quantiles.with_quantiles(df.groupBy("g").agg(F.count("*").alias("n")), df, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0})
+    got = {r["g"]: (r["low"], r["mid"], r["top"]) for r in out.collect()}
+    for g in (None, "hot", "a", "b", "one"):
+        assert got[g] == pytest.approx(tuple(np.quantile([v for h, v in rows if h == g and v is not None], [0.1, 0.5, 1.0])))
+    assert got["none"] == (None, None, None) and len(got) == 6
 
 
 def test_expectations(spark):
