@@ -78,7 +78,7 @@ def poisson_weights(bits: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.floor(below * 65536), bits, side="right")
 
 
-def _digests(seed: str, key: str, blocks: int) -> bytes:
+def digests(seed: str, key: str, blocks: int) -> bytes:
     return b"".join(sha256(f"{seed}|{block}|{key}".encode()).digest() for block in range(blocks))
 
 
@@ -115,7 +115,7 @@ def bootstrap_means(df: DataFrame, group: str, key: str, value: str, replicates:
     """
 
     def of_row(row: tuple) -> np.ndarray:
-        weights = poisson_weights(np.frombuffer(_digests(seed, row[0], -(-replicates // 16)), ">u2")[:replicates])
+        weights = poisson_weights(np.frombuffer(digests(seed, row[0], -(-replicates // 16)), ">u2")[:replicates])
         return np.stack([weights, weights * row[1]])
 
     sums = _summed(df.withColumn(key, F.col(key).cast("string")), group, [key, value], ["w", "s"], replicates, of_row)
@@ -126,7 +126,7 @@ def random_choices(df: DataFrame, group: str, key: str, outcomes: str, replicate
     """(group, replicate, mean): the mean over rows of one of the four ``outcomes`` of each, drawn by a hash; one SHA-256 serves 64 replicates."""
 
     def of_row(row: tuple) -> np.ndarray:
-        raw = np.frombuffer(_digests(seed, row[0], -(-replicates // 64)), np.uint8)
+        raw = np.frombuffer(digests(seed, row[0], -(-replicates // 64)), np.uint8)
         slots = np.stack([raw >> 4 & 3, raw & 3], axis=1).ravel()[:replicates]
         return np.stack([np.ones(replicates), np.array(row[1])[slots]])
 

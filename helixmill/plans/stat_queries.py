@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
 from helixmill.operators import fibers as B
-from helixmill.operators import logistic, ridge, separation, stats
+from helixmill.operators import logistic, ridge, separation, stats, twostage
 from helixmill.operators.positions import average_ranks, positions
 from helixmill.plans import frames as T
 from helixmill.plans.fiber_queries import measured, whole
@@ -284,8 +284,8 @@ def ridge_one_feature(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ridge_cv")
 def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge on four features per pool: five hash folds choose the penalty, all rows fit the coefficients."""
-    rows = _scored(spark, d).na.drop(subset=_FEATURES).withColumn("fold", F.pmod(F.xxhash64("record_id"), F.lit(5)))
+    """Ridge on four features per pool: five folds by the SHA-256 of the sequence's digest, copies together, choose the penalty, all rows fit the coefficients."""
+    rows = _scored(spark, d).na.drop(subset=_FEATURES).where("digest is not null").withColumn("fold", F.conv(F.substring(F.sha2(F.concat(F.lit("fold|"), F.col("digest")), 256), 1, 8), 16, 10).cast("long") % 5)
     parts: dict[str, list] = {}
     for r in ridge.moments(rows, ["pool", "fold"], _FEATURES, "score").collect():  # five rows a pool
         parts.setdefault(r["pool"], []).append((r["fold"], ridge.gram(r.asDict(), _FEATURES, "score")))
@@ -336,45 +336,27 @@ def logistic_transfer(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("fitted", "tried").agg(F.count("*").alias("n"), F.sum(F.col("event").cast("long")).alias("events"), F.round(F.avg((p - F.col("event")) ** 2), 9).alias("brier"))
 
 
-_RESAMPLES = 20
-
-
-def _poisson(unit: Column) -> Column:
-    """A Poisson(1) count from a uniform number: the weight of a row in a bootstrap resample."""
-    out, below = F.lit(6), [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(6)]
-    for k in reversed(range(6)):
-        out = F.when(unit < below[k], F.lit(k)).otherwise(out)
-    return out
-
-
 @register("two_stage_bootstrap")
 def two_stage_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Both stages resampled: the source pool's ridge model is refitted, then the target pool's fibers are drawn again.
+    """Both stages resampled: the source pool's ridge model is refitted with a penalty of its own choice, the target pool's fibers are drawn again.
 
-    Weights come from hashes of replicate and record, so any partitioning gives the same replicates. Each pass over the samples
-    handles all replicates; the driver solves one small system for each source pool and replicate.
+    Per direction the mean, interval and median of the gain over 2,000 replicates, the share above zero, and how often each penalty
+    was chosen, as JSON. Weights come from hashes of replicate and record, so any partitioning gives the same replicates.
     """
     rows = materialise(_scored(spark, d).na.drop(subset=_FEATURES).where("digest is not null").select("record_id", "pool", "digest", *_FEATURES, "score", "cross"), "two-stage")
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(_RESAMPLES - 1))).alias("replicate")
-    unit = F.pmod(F.xxhash64(F.lit("source"), "replicate", "record_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.select("*", replicate).withColumn("w", F.sqrt(_poisson(unit).cast("double"))).where("w > 0")
-    names = ["one", *_FEATURES, "score"]
-    cols = {"one": F.col("w")} | {c: F.col("w") * F.col(c) for c in names[1:]}
-    sums = [F.sum(cols[a] * cols[b]).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]]
-    models = []
-    for r in drawn.groupBy("pool", "replicate").agg(*sums).collect():  # one row a pool and replicate
-        _, beta = ridge.solve(ridge.gram(r.asDict(), _FEATURES, "score"), 1.0)
-        models.append((r["pool"], r["replicate"], *map(float, beta)))
-    fitted = spark.createDataFrame(models, "source string, replicate int, " + ", ".join(f"b_{f} double" for f in _FEATURES))
     ways = T.table(spark, d, "public_fiber_results").select("direction", F.lower(F.trim("source_pool")).alias("source"), F.lower(F.trim("target_pool")).alias("pool")).distinct()
+    folds = F.conv(F.substring(F.sha2(F.concat(F.lit("fold|"), F.col("digest")), 256), 1, 8), 16, 10).cast("long") % 5
+    models = materialise(twostage.refits(rows.withColumn("fold", folds.cast("int")), "pool", "fold", "record_id", _FEATURES, "score", _REPLICATES, "source"), "two-stage-models")
     cut = B.whole_fibers(B.fibers(B.codebook(rows, ["pool"], "digest", "two-stage", "record_id"), 4), ["pool"], 4)
-    line = sum((F.col(f"b_{f}") * F.col(f) for f in _FEATURES[1:]), F.col(f"b_{_FEATURES[0]}") * F.col(_FEATURES[0]))
-    tried = cut.join(ways, "pool").join(fitted, "source").withColumn("predicted", line)
-    picked = B.gains(tried, ["direction", "replicate"], "predicted", "cross")
-    unit = F.pmod(F.xxhash64(F.lit("fiber"), "replicate", "direction", "fiber"), F.lit(1 << 30)) / (1 << 30)
-    per = picked.withColumn("w", _poisson(unit)).groupBy("direction", "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("gain")), F.sum("w")).alias("gain"))
-    q = F.percentile("gain", [0.025, 0.5, 0.975])
+    packs = cut.groupBy("pool", "fiber").agg(F.array_sort(F.collect_list(F.struct("choice", "cross", *[F.col(f).cast("double").alias(f) for f in _FEATURES]))).alias("m"))  # four to a fiber
+    flat = [F.col(f"m.{c}").alias(c) for c in ("cross", *_FEATURES)]
+    tried = packs.join(ways, "pool").select("direction", "source", F.concat("direction", F.lit("|"), F.col("fiber").cast("string")).alias("name"), *flat)
+    gains = twostage.replicate_gains(tried, models.withColumnRenamed("pool", "source"), "source", "direction", "name", _FEATURES, "cross", _REPLICATES, "fiber")
+    per = materialise(gains.join(models.select(F.col("pool").alias("source"), "replicate", "alpha"), ["source", "replicate"]), "two-stage-gains")
+    chosen = per.groupBy("direction", "alpha").agg(F.count("*").alias("n")).groupBy("direction")
+    chosen = chosen.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("alpha", "n"))))).alias("alphas"))  # one entry a penalty
+    q = F.percentile("gain", [0.025, 0.5, 0.975])  # one value a replicate
     return per.groupBy("direction").agg(
         F.count("*").alias("replicates"), F.round(F.avg("gain"), 9).alias("mean"), F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("median"), F.round(q[2], 9).alias("high"),
         F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("positive"),
-    )
+    ).join(chosen, "direction")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions.language import Language
-from helixmill.operators import codec, edits, fibers, positions, quantiles, ridge, separation, stats, stems
+from helixmill.operators import codec, edits, fibers, positions, quantiles, ridge, separation, stats, stems, twostage
 from helixmill.operators.expect import ExpectationError, expect
 
 
@@ -217,6 +217,35 @@ def test_pairs_under_a_hot_piece(spark):
     assert separation.pairs_within(df.where("false"), "id", "seq", 108, 8).count() == 0
 
 
+def test_two_stage_resampling(spark, monkeypatch):
+    monkeypatch.setattr(twostage, "FIBERS", 10)
+    rng = np.random.default_rng(3)
+    n, reps, names = 200, 20, ["a", "b"]
+    x, fold, keys = rng.normal(size=(n, 2)).round(3), rng.integers(0, 4, n), [f"k{i}" for i in range(n)]
+    y = x @ [2.0, -1.0] + rng.normal(size=n).round(3)
+    df = spark.createDataFrame([("p", int(f), k, *map(float, r), float(t)) for f, k, r, t in zip(fold, keys, x, y)], "pool string, fold int, key string, a double, b double, y double").repartition(5)
+    fitted = twostage.refits(df, "pool", "fold", "key", names, "y", reps, "s")
+    got = {r["replicate"]: r for r in fitted.collect()}
+    w, beta = twostage._weights("s", keys, reps), []
+    full = np.column_stack([np.ones(n), x, y])
+    for r in range(reps):
+        grams = [(full[fold == f] * w[fold == f, r, None]).T @ full[fold == f] for f in range(4)]
+        alpha = ridge.best_alpha(grams)
+        beta.append(ridge.solve(sum(grams), alpha)[1])
+        assert got[r]["alpha"] == alpha and (got[r]["b_a"], got[r]["b_b"]) == pytest.approx(tuple(beta[-1]))
+    members, outcome = rng.normal(size=(50, 4, 2)).round(3), rng.normal(size=(50, 4)).round(3)
+    made = [("p", "p_to_q", f"f{i}", m[:, 0].tolist(), m[:, 1].tolist(), o.tolist()) for i, (m, o) in enumerate(zip(members, outcome))]
+    fib = spark.createDataFrame(made, "source string, direction string, name string, a array<double>, b array<double>, y array<double>")
+    args = ("source", "direction", "name", names, "y", reps, "t")
+    gains = {r["replicate"]: r["gain"] for r in twostage.replicate_gains(fib, fitted.withColumnRenamed("pool", "source"), *args).collect()}
+    w = twostage._weights("t", [f"f{i}" for i in range(50)], reps)
+    for r in range(reps):
+        best = (members @ beta[r]).argmax(axis=1)
+        g = outcome[np.arange(50), best] - outcome.mean(axis=1)
+        assert gains[r] == pytest.approx((w[:, r] * g).sum() / w[:, r].sum())
+    assert twostage.replicate_gains(fib.where("false"), fitted.withColumnRenamed("pool", "source"), *args).count() == 0
+
+
 def test_quantiles_interpolate(spark):
     rng = random.Random(9)
     rows = [(None if i % 5 == 0 else "hot" if i % 3 else rng.choice("ab"), None if i % 11 == 0 else float(rng.randint(-3, 3))) for i in range(700)] + [("one", 2.0), ("none", None)]
