@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +37,23 @@ def _featured(spark: SparkSession, d: str) -> DataFrame:
     return materialise(rows.join(stems.features(rows.select("seq").distinct()), "seq"), "context-features")
 
 
-def _grams(rows: DataFrame, features: list[str], outcome: str) -> dict[str, list]:
-    """The moments of each pool and fold, five small rows a pool."""
+def _grams(rows: DataFrame) -> dict[str, list]:
+    """The moments of all features and the score in each pool and fold, five small rows a pool: one pass serves every model."""
     out: dict[str, list] = {}
-    for r in ridge.moments(rows.withColumn("fold", fold_of("seq")), ["pool", "fold"], features, outcome).orderBy("pool", "fold").collect():
-        out.setdefault(r["pool"], []).append(ridge.gram(r.asDict(), features, outcome))
-    return {pool: grams for pool, grams in out.items() if len(grams) > 1}
+    for r in ridge.moments(rows.withColumn("fold", fold_of("seq")), ["pool", "fold"], FEATURES, "score").orderBy("pool", "fold").collect():
+        out.setdefault(r["pool"], []).append(ridge.gram(r.asDict(), FEATURES, "score"))
+    return {pool: grams for pool, grams in sorted(out.items()) if len(grams) > 1}
+
+
+def _of_model(grams: list[np.ndarray], features: list[str]) -> list[np.ndarray]:
+    at = [0, *(FEATURES.index(f) + 1 for f in features), len(FEATURES) + 1]
+    return [g[np.ix_(at, at)] for g in grams]
 
 
 def context_models(spark: SparkSession, d: str) -> DataFrame:
     """(pool, alpha, intercept, b_feature...) of each pool's full context model of the delivered score, one row a pool."""
     out = []
-    for pool, grams in sorted(_grams(_featured(spark, d), FEATURES, "score").items()):
+    for pool, grams in _grams(_featured(spark, d)).items():
         alpha = ridge.best_alpha(grams)
         intercept, beta = ridge.solve(sum(grams), alpha)
         out.append((pool, alpha, intercept, *map(float, beta)))
@@ -59,12 +65,12 @@ def linear(prefix: str = "") -> Column:
     return reduce(lambda a, f: a + F.col(f"{prefix}b_{f}") * F.col(f), FEATURES, F.col(f"{prefix}intercept"))
 
 
-def scored_members(spark: SparkSession, d: str) -> DataFrame:
+def scored_members(spark: SparkSession, d: str, models: DataFrame | None = None, namespace: str = NAMESPACE) -> DataFrame:
     """(record_id, pool, bits, choice, seq, score, features...): every member of every sample's fiber; null words and scores beyond the domain."""
     rows = T.generated(spark, d, "pool", "payload_rank", "bits").where("pool is not null and payload_rank is not null and bits is not null")
-    members = materialise(codec.candidates(spread(rows.select("record_id", "payload_rank", "bits")), Language(), NAMESPACE), "context-members")
+    members = materialise(codec.candidates(spread(rows.select("record_id", "payload_rank", "bits")), Language(), namespace), "context-members")
     wide = members.join(stems.features(members.where("seq is not null").select("seq").distinct()), "seq", "left").join(rows.select("record_id", "pool"), "record_id")
-    return wide.join(context_models(spark, d), "pool", "left").withColumn("score", linear())
+    return wide.join(context_models(spark, d) if models is None else models, "pool", "left").withColumn("score", linear())
 
 
 @register("codec_encode_context")
@@ -102,16 +108,58 @@ def generated_fiber_gains(spark: SparkSession, d: str) -> DataFrame:
     return gains.groupBy("pool", "cross_pool", "bits").agg(*out)
 
 
+_NAMESPACES = 8
+
+
+@register("generated_namespaces")
+def generated_namespaces(spark: SparkSession, d: str) -> DataFrame:
+    """How much the mean gain of a pool and width depends on the namespace that spreads its payloads: least, median and most of eight.
+
+    Each namespace sends the payloads to other words, so every one expands, features and scores all fibers anew under the same models.
+    """
+    models, per = materialise(context_models(spark, d), "namespace-models"), None
+    for i in range(_NAMESPACES):
+        members = scored_members(spark, d, models, f"{NAMESPACE}-{i}").where("score is not null")
+        best = F.max_by("score", F.struct(S.score_key("score"), -F.col("choice")))
+        fibers = members.groupBy("record_id", "pool", "bits").agg((best - F.avg("score")).alias("gain"))
+        one = fibers.groupBy("pool", "bits").agg(F.avg("gain").alias("gain"), F.count("*").alias("fibers")).withColumn("namespace", F.lit(i))
+        per = one if per is None else per.unionByName(one)
+    return per.groupBy("pool", "bits").agg(
+        F.count("*").alias("namespaces"), F.sum("fibers").alias("fibers"), F.round(F.min("gain"), 12).alias("least"), F.round(F.percentile("gain", 0.5), 12).alias("median"), F.round(F.max("gain"), 12).alias("most"),
+        F.count_if(F.col("gain") > 0).alias("positive"),
+    )
+
+
+@register("coefficient_summary")
+def coefficient_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per model and feature, over the fits of all pools with one fold left out: median, quartiles and signs of the standardised coefficient."""
+    every, out = _grams(_featured(spark, d)), []
+    for name, features in MODELS.items():
+        for pool, all_ in every.items():
+            grams = _of_model(all_, features)
+            for held in grams:
+                g = sum(grams) - held
+                sd = np.sqrt(np.maximum(np.diag(g)[1:-1] / g[0, 0] - (g[0, 1:-1] / g[0, 0]) ** 2, 0))
+                _, beta = ridge.solve(g, ridge.best_alpha([h for h in grams if h is not held] if len(grams) > 2 else grams))
+                out += [(name, pool, f, float(b)) for f, b in zip(features, beta * sd)]
+    fits = spark.createDataFrame(out, "model string, pool string, feature string, b double")  # one row a model, pool, fold and feature
+    q = F.percentile("b", [0.25, 0.5, 0.75])
+    return fits.groupBy("model", "feature").agg(
+        F.count("*").alias("fits"), *[F.round(q[i], 12).alias(n) for i, n in enumerate(("q25", "median", "q75"))],
+        F.count_if(F.col("b") > 0).alias("positive"), F.count_if(F.col("b") < 0).alias("negative"), F.count_if(F.col("b") == 0).alias("zero"),
+    )
+
+
 @register("ridge_nested_cv")
 def ridge_nested_cv(spark: SparkSession, d: str) -> DataFrame:
     """Nested cross-validation of every set of features: per pool and model the held-out rows, penalties chosen, and R squared.
 
     Each fold is held out once; the others choose the penalty among themselves and fit. All from the moments of each pool and fold.
     """
-    rows = _featured(spark, d)
-    out = []
+    every, out = _grams(_featured(spark, d)), []
     for name, features in MODELS.items():
-        for pool, grams in sorted(_grams(rows, features, "score").items()):
+        for pool, all_ in every.items():
+            grams = _of_model(all_, features)
             if len(grams) < 3:
                 continue
             error, alphas, whole = 0.0, [], sum(grams)
@@ -128,9 +176,10 @@ def ridge_nested_cv(spark: SparkSession, d: str) -> DataFrame:
 def ridge_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Every model fitted on one pool and tried on every other: rows, rank correlation with the other pool's score, mean squared error."""
     rows = _featured(spark, d)
-    fitted = []
+    every, fitted = _grams(rows), []
     for name, features in MODELS.items():
-        for pool, grams in sorted(_grams(rows, features, "score").items()):
+        for pool, all_ in every.items():
+            grams = _of_model(all_, features)
             intercept, beta = ridge.solve(sum(grams), ridge.best_alpha(grams))
             own = dict(zip(features, map(float, beta)))
             fitted.append((pool, name, intercept, *[own.get(f, 0.0) for f in FEATURES]))

@@ -154,7 +154,9 @@ def test_two_sample_distances(spark):
     assert [r["g"] for r in got] == ["g"]
     assert got[0]["ks"] == pytest.approx(max(gap), abs=1e-6)
     assert got[0]["wasserstein"] == pytest.approx(sum(g * (t - s) for g, s, t in zip(gap, grid, grid[1:])), abs=1e-8)
-    assert 0 <= stats.ks_p_value(0.5, 40, 50) < 0.001 and stats.ks_p_value(0.01, 5, 5) == 1.0
+    p = [r["p"] for r in spark.createDataFrame([(0.5, 40.0, 50.0), (0.01, 5.0, 5.0)], "ks double, n double, m double").select(stats.ks_p(F.col("ks"), F.col("n"), F.col("m")).alias("p")).collect()]
+    t = 0.5 * math.sqrt(2000 / 90)
+    assert p == pytest.approx([2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)), 1.0]) and p[0] < 0.001
 
 
 def test_bootstrap_and_interval(spark):
