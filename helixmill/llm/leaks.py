@@ -32,15 +32,15 @@ from helixmill.sources import materialise, table
 WIDTH = 10
 RANK, ROUNDS, SEED = 16, 2, 7
 PLANES, COSINE = 24, 0.98
-#: Documents whose word rows a task works on at a time.
-AT_ONCE = 1000
+#: Documents whose word rows a task works on at a time, and words of them.
+AT_ONCE, WORDS_AT_ONCE = 1000, 250_000
 #: Words of held-out items that are searched at a time; more items make more blocks.
 ITEM_WORDS_AT_ONCE = 1_000_000
 #: Whole units of a latent vector's length.
 UNITS = 1 << 20
 #: Words in a window for paraphrases; items with fewer than the first are searched by windows of the second.
 PARAPHRASE_WIDTH, SHORT_WIDTH, PARAPHRASE_COSINE, PARAPHRASE_SHARE = 20, 10, 0.9, 0.6
-#: Document windows and items that are counted at a time, and pairs of windows that are compared at a time.
+#: Document windows and items that are counted at a time, and pairs of windows that are compared at a time (in both searches).
 WINDOWS_AT_ONCE, ITEMS_AT_ONCE, PAIRS_AT_ONCE = 8192, 512, 100_000
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -98,8 +98,13 @@ def numbered(docs: DataFrame, held: HeldOut) -> DataFrame:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(at, AT_ONCE)
+        upto = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS_AT_ONCE, "right"))
+            stop = max(at + 1, min(at + AT_ONCE, fits))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,14 +193,20 @@ def _unit(latent: np.ndarray) -> np.ndarray:
     return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
 
-def _candidates(latent: np.ndarray, code: np.ndarray, order: np.ndarray, codes: np.ndarray, units: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(window, held-out window) with equal codes and a cosine of at least ``cosine``."""
-    lo, hi = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
-    n = hi - lo
-    window = np.repeat(np.arange(len(code)), n)
-    place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    near = ((_unit(latent)[window] * units[place]).sum(axis=1) >= cosine) | ~units[place].any(axis=1)  # vectors may cancel out
-    return window[near], place[near]
+def _candidates(latent: np.ndarray, code: np.ndarray, order: np.ndarray, codes: np.ndarray, units: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, held-out window) with equal codes and a cosine of at least ``cosine``, in parts of ``PAIRS_AT_ONCE`` pairs of equal codes.
+
+    Common words point the same way, so hundreds of held-out windows may share a code, and a code's pairs have no bound.
+    """
+    lo = np.searchsorted(codes, code, "left")
+    upto = np.cumsum(np.searchsorted(codes, code, "right") - lo)
+    own, cancelled = _unit(latent), ~units.any(axis=1)
+    for low in range(0, int(upto[-1]) if len(upto) else 0, PAIRS_AT_ONCE):
+        pair = np.arange(low, min(low + PAIRS_AT_ONCE, upto[-1]))
+        window = np.searchsorted(upto, pair, "right")
+        place = order[pair - np.r_[0, upto[:-1]][window] + lo[window]]
+        near = (np.einsum("ij,ij->i", own[window], units[place]) >= cosine) | cancelled[place]  # vectors may cancel out
+        yield window[near], place[near]
 
 
 def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
@@ -222,13 +233,13 @@ def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
             sums = np.zeros((len(words) + 1, vectors.shape[1]), np.int64)
             np.cumsum(vectors[words], axis=0, out=sums[1:])
             doc, item = [], []
-            for part in np.array_split(at, len(at) // 200_000 + 1):
+            for part in np.array_split(at, len(at) // 50_000 + 1):
                 own = sums[part + WIDTH] - sums[part]
-                window, place = _candidates(own, _signs(own, planes), order, codes, units, COSINE)
-                same = (words[part[window][:, None] + np.arange(WIDTH)] == runs[place]).all(axis=1)
-                doc.append(ids[rows[part[window[same]]]])
-                item.append(items[of[place[same]]])
-            found = np.unique(np.stack([np.concatenate(doc), np.concatenate(item)], axis=1), axis=0)
+                for window, place in _candidates(own, _signs(own, planes), order, codes, units, COSINE):
+                    same = (words[part[window][:, None] + np.arange(WIDTH)] == runs[place]).all(axis=1)
+                    doc.append(ids[rows[part[window[same]]]])
+                    item.append(items[of[place[same]]])
+            found = np.unique(np.stack([np.concatenate(doc), np.concatenate(item)], axis=1), axis=0) if doc else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "item_id"])
 
     return numbers.mapInArrow(run, "doc_id long, item_id long").distinct()

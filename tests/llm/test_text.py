@@ -5,6 +5,8 @@ import subprocess
 import sys
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -191,6 +193,26 @@ def test_paraphrases_of_short_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in leaks.paraphrased(numbers, held, vectors).collect()] == [(1, 5)]
 
 
+def test_leak_candidates_come_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    theirs, own = rng.integers(-3, 4, (60, 4)), rng.integers(-3, 4, (50, 4))
+    planes = rng.standard_normal((4, 2))  # few codes, so each has many held-out windows
+    codes, code, units = leaks._signs(theirs, planes), leaks._signs(own, planes), leaks._unit(theirs)
+    order = np.argsort(codes, kind="stable")
+    want = {(i, j) for i in range(50) for j in range(60) if code[i] == codes[j] and (leaks._unit(own)[i] @ units[j] >= 0.5 or not units[j].any())}
+    monkeypatch.setattr(leaks, "PAIRS_AT_ONCE", 7)
+    parts = list(leaks._candidates(own, code, order, codes[order], units, 0.5))
+    assert max(len(w) for w, _ in parts) <= 7 and len(want) > 70
+    assert sorted((int(i), int(j)) for w, p in parts for i, j in zip(w, p)) == sorted(want)
+
+
+def test_pieces_hold_whole_documents_and_few_words(monkeypatch):
+    monkeypatch.setattr(leaks, "WORDS_AT_ONCE", 10)
+    lists = [[1] * n for n in (4, 6, 1, 0, 25, 3)] + [None, [2] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "words"])
+    assert [p.column(0).to_pylist() for p in leaks._pieces([batch])] == [[0, 1], [2, 3], [4], [5, 6], [7]]
+
+
 def test_leaks_in_disguise_and_empty_inputs(spark):
     text = "one two three four five six seven eight nine ten eleven"
     docs = [(1, "x ｏne twο\xa0three fo​ur, FIVE six [[seven]] eight nine ten"), (2, "one two three four five six seven eight nine"), (3, "word")]
