@@ -2,7 +2,7 @@
 
 A stem is a stretch of four letters or more whose reverse complement follows it after a loop of three or more. ``stem_burden``
 counts them from the stretches of paired places along each diagonal, in numpy, for many sequences of one length at a time; ``stem_burden_join`` says the same as a
-join of four-letter words with those of the other strand, extended letter by letter, which SQL can say too.
+join of four-letter words with those of the other strand, extended letter by letter, which SQL can say too; a task joins the words of its own texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
-from helixmill.functions.names import reverse_complement
 from helixmill.sources import spread
 
 STEM, LOOP = 4, 3
@@ -103,19 +102,73 @@ def stem_burden(df: DataFrame, seq: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + _OUT)
 
 
+def _joined(texts: list[str | None]) -> np.ndarray:
+    """The same four numbers of each text, by joining its words with those of its other strand; null has no stems."""
+    out = np.zeros((len(texts), 4), np.int64)
+    loop = np.full(len(texts), np.iinfo(np.int64).max)
+    coded = [(t or "").encode() for t in texts]
+    n = np.array([len(t) for t in coded], np.int64)
+    base = np.frombuffer(b"".join(coded) + bytes(STEM), np.uint8)
+    back = np.arange(256, dtype=np.uint8)  # letters that do not pair stay as they are
+    back[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
+    other = back[base]
+    counts = np.maximum(n - STEM + 1, 0)
+    row = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), counts)
+    word, end = row.astype(np.uint64), row.astype(np.uint64)
+    for k in range(STEM):
+        word = word << np.uint64(8) | base[at + k]
+        end = end << np.uint64(8) | other[at + STEM - 1 - k]
+    order = np.argsort(end, kind="stable")  # by row and word, then by place
+    key = end[order]
+    first = np.searchsorted(key, word)
+    upto = np.cumsum(np.searchsorted(key, word, "right") - first)
+    before = np.r_[0, upto[:-1]]
+    for low in range(0, int(upto[-1]) if len(upto) else 0, PLACES_AT_ONCE):
+        pair = np.arange(low, min(low + PLACES_AT_ONCE, upto[-1]))
+        one = np.searchsorted(upto, pair, "right")
+        i, q = at[one], at[order[pair - before[one] + first[one]]] + STEM - 1
+        far = q - i >= 2 * STEM + LOOP - 1
+        i, q, of = i[far], q[far], row[one[far]]
+        size, alive = np.full(len(i), STEM), np.flatnonzero((q - i - LOOP + 1) // 2 > STEM)
+        while len(alive):
+            alive = alive[base[i[alive] + size[alive]] == other[q[alive] - size[alive]]]
+            size[alive] += 1
+            alive = alive[(q[alive] - i[alive] - LOOP + 1) // 2 > size[alive]]
+        k = size - STEM + 1
+        np.add.at(out[:, 0], of, k)
+        np.add.at(out[:, 1], of, (STEM + size) * k // 2)
+        np.maximum.at(out[:, 2], of, size)
+        np.minimum.at(loop, of, q - i - 2 * size + 1)
+    out[:, 3] = np.where(out[:, 0] > 0, loop, -1)
+    return out
+
+
+def _some(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts of together about ``PLACES_AT_ONCE`` letters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= PLACES_AT_ONCE:
+            yield texts[begin : i + 1]
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def stem_burden_join(df: DataFrame, seq: str) -> DataFrame:
-    """The same for distinct sequences, as a join on words; low-complexity texts make it quadratic."""
-    words = df.select(seq, F.explode(F.sequence(F.lit(1), F.greatest(F.length(seq) - STEM + 1, F.lit(1)))).alias("i")).withColumn("w", F.substring(seq, F.col("i"), F.lit(STEM)))
-    words = words.where(F.length("w") == STEM)
-    ends = words.select(seq, (F.col("i") + STEM - 1).alias("q"), reverse_complement("w").alias("w"))
-    seeds = words.join(ends, [seq, "w"]).where(F.col("q") >= F.col("i") + 2 * STEM + LOOP - 1)
-    stems = seeds.withColumn("stem", F.explode(F.sequence(F.lit(STEM), F.floor((F.col("q") - F.col("i") - LOOP + 1) / 2).cast("int"))))
-    far = reverse_complement(F.substring(F.col(seq), F.col("q") - F.col("stem") + 1, F.col("stem")))
-    stems = stems.where(F.substring(F.col(seq), F.col("i"), F.col("stem")) == far)
-    loop = F.col("q") - F.col("i") - 2 * F.col("stem") + 1
-    found = stems.groupBy(seq).agg(F.count("*").cast("int").alias("p"), F.sum("stem").cast("int").alias("s"), F.max("stem").alias("m"), F.min(loop).cast("int").alias("l"))
-    zero = lambda c, v: F.coalesce(c, F.lit(v))
-    return df.join(found, seq, "left").select(*df.columns, zero("p", 0).alias("pairs"), zero("s", 0).alias("weighted"), zero("m", 0).alias("longest"), zero("l", -1).alias("least_loop"))
+    """The same, as a join on words; low-complexity texts make it quadratic.
+
+    Both sides are words of one text, so the join is made where the text is: words and pairs never leave the task, which holds ``PLACES_AT_ONCE`` at a time.
+    """
+    at, names = df.columns.index(seq), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.concatenate([np.zeros((0, 4), np.int64), *map(_joined, _some(batch.column(at).to_pylist()))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i], pa.int32()) for i in range(4))], [*names, "pairs", "weighted", "longest", "least_loop"])
+
+    return spread(df).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + _OUT)
 
 
 def features(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -66,6 +66,19 @@ def test_stem_counts_in_blocks_of_diagonals(monkeypatch):
     assert (stems.stems_of(texts) == whole).all() and whole[:, 0].all()
 
 
+def test_stem_join_stays_in_its_task_and_in_bounded_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 3, 4, 11, 40, 108, 300)] + ["AT" * 60, "A" * 40 + "T" * 40, None]
+    want = [(0, 0, 0, -1) if t is None else tuple(stems.stems_of([t])[0]) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "seq string")
+    plan = stems.stem_burden_join(df, "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {r["seq"]: tuple(r)[1:] for r in stems.stem_burden_join(df, "seq").collect()}
+    assert got == dict(zip(texts, want))
+    monkeypatch.setattr(stems, "PLACES_AT_ONCE", 100)
+    assert [tuple(r) for part in stems._some(texts) for r in stems._joined(part)] == want
+
+
 def test_stem_functions_carry_their_code(tmp_path):
     import subprocess
     import sys
