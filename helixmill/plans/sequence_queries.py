@@ -15,7 +15,7 @@ from helixmill.functions.names import reverse_complement
 from helixmill.operators import codec, edits, stems
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
-from helixmill.sources import materialise, shared_folder, spread
+from helixmill.sources import shared_folder, spread
 from helixmill.streaming import decode_stream
 
 _DNA_SQL = f"WITH {T.EMITTED}, dna AS (SELECT * FROM emitted WHERE {T.DNA})"
@@ -215,6 +215,18 @@ def single_edit_enumeration(spark: SparkSession, d: str) -> DataFrame:
     return edits.outcomes(edits.single_edits(words, "seq"), ["pool", "kind"], "edited")
 
 
+def edit_outcomes(words: DataFrame, language: Language, namespace: str) -> DataFrame:
+    """(pool, bits, kind, outcome, edits) of ``words`` (pool, bits, seq), all of the language."""
+    told = edits.decoded_substitutions(spread(words), language, namespace)
+    counts = told.groupBy("pool", "bits").agg(F.count("*").alias("words"), *[F.sum(c).alias(c) for c in ("no_word", "beyond", "same", "wrong")])
+    outcomes = [("substitution", "rejected_constraint_or_alphabet", F.col("no_word")), ("substitution", "rejected_outside_power_of_two_domain", F.col("beyond"))]
+    outcomes += [("substitution", "accepted_same_payload", F.col("same")), ("substitution", "accepted_wrong_payload", F.col("wrong"))]
+    # an insertion or deletion changes the length, whatever it puts in or takes out
+    outcomes += [("insertion", "rejected_length", F.col("words") * (4 * (language.length + 1))), ("deletion", "rejected_length", F.col("words") * language.length)]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(o).alias("outcome"), n.alias("edits")) for k, o, n in outcomes])
+    return counts.select("pool", "bits", F.inline(each)).where("edits > 0")
+
+
 @register("edit_decode_status")
 def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
     """What the decoder says of every single edit of every codeword in the payload domain.
@@ -223,14 +235,7 @@ def edit_decode_status(spark: SparkSession, d: str) -> DataFrame:
     ``accepted_wrong_payload``, counted per pool, selector width and kind of edit.
     """
     words = T.eligible_emitted(spark, d, "bits").where("bits is not null").select("pool", "bits", "seq").distinct()
-    sent = codec.decode(spread(words.withColumn("word", F.col("seq"))), Language(), "helixmill-language").where("status = 'decoded'").select("pool", "bits", F.col("word").alias("seq"), F.col("payload").alias("sent"))
-    edited = edits.single_edits(materialise(sent, "edit-words"), "seq").select("pool", "bits", "kind", "sent", "edited")
-    word = S.eligible("edited")
-    back = codec.decode(spread(edited.where(word).withColumnRenamed("edited", "seq")), Language(), "helixmill-language")
-    status = F.when(F.col("status") == "beyond", "rejected_outside_power_of_two_domain").when(F.col("payload") == F.col("sent"), "accepted_same_payload").otherwise("accepted_wrong_payload")
-    other = F.when(F.length("edited") == S.LENGTH, "rejected_constraint_or_alphabet").otherwise("rejected_length")
-    no_word = edited.where(~word).select("pool", "bits", "kind", other.alias("outcome"))
-    return back.select("pool", "bits", "kind", status.alias("outcome")).unionByName(no_word).groupBy("pool", "bits", "kind", "outcome").agg(F.count("*").alias("edits"))
+    return edit_outcomes(words, Language(), "helixmill-language")
 
 
 @register(

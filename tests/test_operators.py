@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.language import Language
 from helixmill.operators import codec, edits, fibers, positions, quantiles, ridge, separation, stats, stems, twostage
 from helixmill.operators.expect import ExpectationError, expect
+from helixmill.plans import sequence_queries
 
 
 def test_positions_and_ranks_under_skew(spark):
@@ -137,6 +138,42 @@ def test_single_edits(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_substitutions_are_told_as_the_decoder_tells_them(monkeypatch):
+    for shape, step in (((10, 4, 6, 2), 97), ((9, 2, 6, 3), 1301)):
+        lang = Language(*shape)
+        decoder = edits.Substitutions(lang, "n")
+        words = [lang.unrank(i) for i in range(0, lang.size, step)]
+        widths = [(0, 1, 3, 8, -1)[i % 5] for i in range(len(words))]
+
+        def told(word, width):
+            sent, counts = decoder.way.gather(lang.rank(word)), [0] * 4
+            for i, b in itertools.product(range(lang.length), "ACGT"):
+                if word[i] != b:
+                    rank = lang.rank(word[:i] + b + word[i + 1 :])
+                    logical = None if rank is None else decoder.way.gather(rank)
+                    counts[0 if rank is None else 1 if logical is None else 2 if sent is not None and logical >> width == sent >> width else 3] += 1
+            return sent is not None and width >= 0, counts
+
+        for slack in (lang.length + 2, 1 << 60):  # the second leaves most words to the full decoder
+            monkeypatch.setattr(decoder, "slack", slack)
+            decoded, counts = decoder.outcomes(words, widths)
+            want = [told(w, max(0, r)) if r >= 0 else (False, None) for w, r in zip(words, widths)]
+            assert decoded.tolist() == [d for d, _ in want] and 0 < decoded.sum() < len(words)
+            assert [c for c, d in zip(counts.tolist(), decoded) if d] == [c for d, c in want if d]
+
+
+def test_edit_outcomes_match_decoding_every_edit(spark):
+    lang, rng = Language(), random.Random(5)
+    words = [("p", r, lang.unrank(rng.randrange(lang.size))) for r in (0, 4, 8) for _ in range(12)]
+    df = spark.createDataFrame(words, "pool string, bits int, seq string")
+    got = {(r["pool"], r["bits"], r["kind"], r["outcome"]): r["edits"] for r in sequence_queries.edit_outcomes(df, lang, "n").collect()}
+    sent = codec.decode(df.withColumn("word", F.col("seq")), lang, "n").where("status = 'decoded'").select("pool", "bits", F.col("word").alias("seq"), F.col("payload").alias("sent"))
+    all_ = codec.decode(edits.single_edits(sent, "seq").select("pool", "bits", "sent", "kind", F.col("edited").alias("seq"), F.length("edited").alias("n")), lang, "n")
+    status = F.when(F.col("n") != 108, "rejected_length").when(F.col("status") == "no word", "rejected_constraint_or_alphabet").when(F.col("status") == "beyond", "rejected_outside_power_of_two_domain")
+    status = status.when(F.col("payload") == F.col("sent"), "accepted_same_payload").otherwise("accepted_wrong_payload")
+    assert got == {tuple(r)[:4]: r["count"] for r in all_.groupBy("pool", "bits", "kind", status.alias("outcome")).count().collect()} and len(got) > 9
+
+
 def test_rank_statistics(spark):
     rng = np.random.default_rng(5)
     x, y = rng.integers(0, 20, 400), rng.normal(size=400)
