@@ -17,6 +17,9 @@ from helixmill.sources import materialise, partitions
 
 BLOCK = 4096
 HOT = 64
+#: Queries and rows of the largest blocks of ``nearest``, and those compared at a time.
+ASKED, GIVEN = 1 << 17, 1 << 16
+NEAREST_QUERIES, NEAREST_ROWS = 8, 4096
 _LOW_BITS = 0x5555555555555555
 _LETTERS = 31
 
@@ -104,16 +107,64 @@ def pairs_within(df: DataFrame, id_: str, seq: str, length: int, most: int, hot:
     return found.unionByName(_in_blocks(second.where(F.col("n") > hot), keys, words, most, block)).distinct()
 
 
+def _planes(codes: np.ndarray) -> np.ndarray:
+    """Two rows for every two words of ``codes``: the lower and the higher bits of their letters, 62 to a word."""
+    low = np.uint64(_LOW_BITS)
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    planes = [c & low | (d & low) << np.uint64(1) for x, y in zip(codes.T[::2], codes.T[1::2]) for c, d in ((x, y), (x >> np.uint64(1), y >> np.uint64(1)))]
+    return np.ascontiguousarray(planes).reshape(codes.shape[1], len(codes))
+
+
+def _nearest(asked: np.ndarray, given: np.ndarray, same: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, place) of the first of the nearest of ``given`` for each of ``asked``, both by planes; place ``same`` is the query itself, and -1 none.
+
+    A distance over ``length`` means that there is no other. Some queries and rows at a time, so that what is compared stays in the cache.
+    """
+    kind = np.uint8 if length < 255 else np.uint16
+    distance, place = np.full(asked.shape[1], length + 1, kind), np.zeros(asked.shape[1], np.int64)
+    many, few = min(NEAREST_ROWS, given.shape[1]), min(NEAREST_QUERIES, asked.shape[1])
+    x, y, d = np.empty((few, many), np.uint64), np.empty((few, many), np.uint64), np.empty((few, many), kind)
+    part = np.empty((few, many), np.uint8)
+    for low in range(0, given.shape[1], NEAREST_ROWS):
+        rows = given[:, low : low + NEAREST_ROWS]
+        n = rows.shape[1]
+        for first in range(0, asked.shape[1], NEAREST_QUERIES):
+            own = asked[:, first : first + NEAREST_QUERIES, None]
+            q = own.shape[1]
+            u, v, e, f = x[:q, :n], y[:q, :n], d[:q, :n], part[:q, :n]
+            for i in range(0, len(rows), 2):
+                np.bitwise_xor(own[i], rows[i], out=u)
+                np.bitwise_xor(own[i + 1], rows[i + 1], out=v)
+                np.bitwise_or(u, v, out=u)
+                if i:
+                    np.bitwise_count(u, out=f)
+                    np.add(e, f, out=e)
+                else:
+                    np.bitwise_count(u, out=f)
+                    e[...] = f
+            here = same[first : first + q] - low
+            itself = np.flatnonzero((here >= 0) & (here < n))
+            e[itself, here[itself]] = length + 1
+            at = e.argmin(axis=1)
+            least = e[np.arange(q), at]
+            better = least < distance[first : first + q]
+            distance[first : first + q][better] = least[better]
+            place[first : first + q][better] = low + at[better]
+    return distance.astype(np.int64), place
+
+
 def nearest(queries: DataFrame, rows: DataFrame, id_: str, seq: str, length: int, group: tuple[str, ...] = ()) -> DataFrame:
     """(group..., query, distance, neighbour): the nearest other row of each query in its group, the least id on ties.
 
-    Queries and rows, (id long, sequence of ``length`` letters over A, C, G and T), are each cut into blocks of about ``BLOCK`` by
-    the hash of their id, and every pair of blocks is compared in a task of its own, whose best per query is all it gives out.
+    Queries and rows, (id long, sequence of ``length`` letters over A, C, G and T), are each cut into blocks of at most some ``ASKED`` and ``GIVEN`` by
+    the hash of their id, and every pair of blocks is compared in a task of its own, whose best per query is all it gives out. Every row is
+    shuffled once a block of queries, so those are large; blocks of rows are smaller where the cluster can work on more of them.
     """
     words = -(-length // _LETTERS)
     codes, by = [f"c{i}" for i in range(words)], list(group)
-    blocks = lambda df: max(1, -(-df.count() // BLOCK))
-    n, m = blocks(queries), blocks(rows)
+    tasks = partitions(queries.sparkSession)
+    n, size = max(1, -(-queries.count() // ASKED)), rows.count()
+    m = max(1, -(-size // GIVEN), min(-(-size // BLOCK), -(-4 * tasks // n)))
     cut = lambda df, k: df.select(*by, F.col(id_).alias("id"), F.col(seq).alias("seq")).withColumns(packed("seq", length)).select(*by, "id", *codes, F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("own"))
     asked = cut(queries, n).select(*by, F.lit(True).alias("asked"), "id", *codes, F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     given = cut(rows, m).select(*by, F.lit(False).alias("asked"), "id", *codes, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("own").alias("j"))
@@ -121,20 +172,16 @@ def nearest(queries: DataFrame, rows: DataFrame, id_: str, seq: str, length: int
     def best(t: pa.Table) -> pa.Table:
         asks, ids, coded = t.column("asked").to_numpy(), t.column("id").to_numpy(), _codes(t, words)
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = []
+        out = np.zeros((0, 3), np.int64)
         if len(a) and len(b):
             b = b[np.argsort(ids[b])]
-            for k in a:
-                distance = _distances(coded[k], coded[b])
-                distance[ids[b] == ids[k]] = length + 1
-                at = int(np.argmin(distance))
-                if distance[at] <= length:
-                    out.append((int(ids[k]), int(distance[at]), int(ids[b[at]])))
-        cols = list(zip(*out)) if out else [[], [], []]
+            spot = np.minimum(np.searchsorted(ids[b], ids[a]), len(b) - 1)
+            distance, at = _nearest(_planes(coded[a]), _planes(coded[b]), np.where(ids[b[spot]] == ids[a], spot, -1), length)
+            out = np.stack([ids[a], distance, ids[b[at]]], axis=1)[distance <= length]
         named = {g: pa.array([t.column(g)[0].as_py()] * len(out), t.schema.field(g).type) for g in by}
-        return pa.table(named | {c: pa.array(v, pa.int64()) for c, v in zip(("query", "distance", "neighbour"), cols)})
+        return pa.table(named | {c: pa.array(out[:, i]) for i, c in enumerate(("query", "distance", "neighbour"))})
 
-    both = asked.unionByName(given).repartition(partitions(queries.sparkSession), *by, "i", "j")  # a number of its own: the blocks cost more than their bytes
+    both = asked.unionByName(given).repartition(min(n * m, 64 * tasks), *by, "i", "j")  # a number of its own: the blocks cost more than their bytes
     head = "".join(f"{g} {queries.schema[g].dataType.simpleString()}, " for g in by)
     found = both.groupBy(*by, "i", "j").applyInArrow(best, head + "query long, distance long, neighbour long")
     top = found.groupBy(*by, "query").agg(F.min(F.struct("distance", "neighbour")).alias("m"))

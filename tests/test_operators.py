@@ -258,6 +258,30 @@ def test_hamming_separation(spark, monkeypatch):
     assert got == {(1, i): min((far(seqs[i], seqs[j]), j) for j in range(1, len(seqs), 2) if j != i) for i in range(1, len(seqs), 20)}
 
 
+def test_nearest_in_parts_takes_the_first_of_ties(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    for length in (3, 31, 62, 108, 300):
+        letters = rng.integers(0, 4, (60, length))
+        letters[30:] = letters[:30]  # copies, so ties
+        letters[30:, :2] = rng.integers(0, 4, (30, 2))
+        seqs = ["".join("ACGT"[x] for x in row) for row in letters]
+        df = spark.createDataFrame([(s,) for s in seqs], "seq string").select(*[c.alias(n) for n, c in separation.packed("seq", length).items()])
+        planes = separation._planes(np.array(df.collect(), np.int64).view(np.uint64))
+        monkeypatch.setattr(separation, "NEAREST_ROWS", 7)
+        monkeypatch.setattr(separation, "NEAREST_QUERIES", 3)
+        far = (letters[:, None] != letters[None]).sum(axis=2)
+        distance, place = separation._nearest(planes[:, :20], planes, np.arange(20), length)
+        assert [*zip(distance, place)] == [min((far[i, j], j) for j in range(60) if j != i) for i in range(20)]
+        assert (separation._nearest(planes[:, :1], planes[:, :1], np.zeros(1, int), length)[0] > length).all()
+    seqs = ["".join(rng.choice(list("ACGT"), 20)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    far = lambda x, y: sum(a != b for a, b in zip(x, y))
+    for name, value in (("ASKED", 5), ("GIVEN", 40), ("BLOCK", 16)):
+        monkeypatch.setattr(separation, name, value)
+    got = {r["query"]: (r["distance"], r["neighbour"]) for r in separation.nearest(df.where("id % 20 = 0"), df, "id", "seq", 20).collect()}
+    assert got == {i: min((far(seqs[i], y), j) for j, y in enumerate(seqs) if j != i) for i in range(0, 300, 20)}
+
+
 def test_pairs_under_a_hot_piece(spark):
     rng = random.Random(8)
     seqs = list(dict.fromkeys("ACGT" * 3 + "".join(rng.choice("ACGT") if rng.random() < 0.05 else c for c in "GATC" * 24) for _ in range(150)))
