@@ -60,11 +60,14 @@ def complement_words(boundary: Column, adapter: str, k: int = COMPLEMENT_K) -> C
 
 
 def longest_common_with(boundary: Column, target: str) -> Column:
-    """Length of the longest substring of the fixed ``target`` that occurs in ``boundary``."""
-    cases = F.when(boundary.rlike(target), F.lit(len(target)))
-    for k in range(len(target) - 1, 0, -1):
-        cases = cases.when(boundary.rlike("|".join(words(target, k))), F.lit(k))
-    return F.when(boundary.isNotNull(), cases.otherwise(F.lit(0)))
+    """Length of the longest substring of the fixed ``target`` that occurs in ``boundary``.
+
+    Lengths are tried from one on, up to the first that does not occur: most tracts are short.
+    """
+    cases = F
+    for k in range(1, len(target) + 1):
+        cases = cases.when(~boundary.rlike("|".join(words(target, k))), F.lit(k - 1))
+    return F.when(boundary.isNotNull(), cases.otherwise(F.lit(len(target))))
 
 
 def left_boundary(seq: Column | str) -> Column:

@@ -67,12 +67,12 @@ def roundtrip(df: DataFrame, language: Language, seq: str = "seq") -> DataFrame:
 
 
 def candidates(df: DataFrame, language: Language, namespace: str) -> DataFrame:
-    """(record_id, bits, choice, seq): the 2 ** bits members of each payload's fiber, expanded by Spark, one word each.
+    """(record_id, bits, choice, seq, more...): the 2 ** bits members of each payload's fiber, expanded by Spark, one word each.
 
-    ``df``: (record_id, payload_rank decimal string, bits). Payloads beyond the domain have null words.
+    ``df``: (record_id, payload_rank decimal string, bits, more...). Payloads beyond the domain have null words.
     """
-    shape = _shape(language)
-    wide = df.select("record_id", "payload_rank", "bits", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits)") - 1)).alias("choice"))
+    shape, more = _shape(language), [c for c in df.columns if c not in ("record_id", "payload_rank", "bits")]
+    wide = df.select("record_id", "payload_rank", "bits", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits)") - 1)).alias("choice"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = Language(*shape)
@@ -82,6 +82,7 @@ def candidates(df: DataFrame, language: Language, namespace: str) -> DataFrame:
             for payload, r, choice in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 logical = (int(payload) << r) | choice
                 out.append(lang.unrank(way.spread(logical)) if logical < 1 << way.bits else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.string())], ["record_id", "bits", "choice", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.string()), *batch.columns[4:]], ["record_id", "bits", "choice", "seq", *more])
 
-    return wide.mapInArrow(run, "record_id long, bits int, choice int, seq string")
+    kinds = ", ".join(["record_id long, bits int, choice int, seq string", *(f"{c} {df.schema[c].dataType.simpleString()}" for c in more)])
+    return wide.mapInArrow(run, kinds)

@@ -18,73 +18,75 @@ from helixmill.functions import sequence as S
 from helixmill.sources import spread
 
 STEM, LOOP = 4, 3
-#: Places of a text that are looked at together, and lengths whose places are kept.
-PLACES_AT_ONCE, SHORT = 1 << 18, 300
+#: Places of texts that are looked at together.
+PLACES_AT_ONCE = 1 << 18
 _OUT = "pairs int, weighted int, longest int, least_loop int"
 
 
-def _blocks(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The places (x, y) that may pair in a text of n letters, in blocks of whole diagonals x + y.
-
-    Along a diagonal the outermost places come first, and a pair (n, n) follows it.
-    """
-    x, y, size = [np.full(1, n)], [np.full(1, n)], 0
-    for total in range(LOOP + 1, 2 * n - 1):
-        left = np.arange(max(0, total - n + 1), (total - LOOP - 1) // 2 + 1)
-        x += [left, np.full(1, n)]
-        y += [total - left, np.full(1, n)]
-        size += len(left)
-        if size > PLACES_AT_ONCE or total == 2 * n - 2:
-            yield np.concatenate(x), np.concatenate(y)
-            x, y, size = [np.full(1, n)], [np.full(1, n)], 0
-
-
-def stems_of(texts: list[str], places: dict[int, list[tuple[np.ndarray, np.ndarray]]] | None = None) -> np.ndarray:
+def stems_of(texts: list[str]) -> np.ndarray:
     """(stems, letters in them, longest, least loop or -1) of each text over A, C, G and T; all of one length.
 
-    A stem is any part of at least ``STEM`` pairs of a stretch of paired places along a diagonal. With k = L - STEM + 1, a stretch of L pairs has
-    k (k + 1) / 2 of them, which hold (STEM - 1) k (k + 1) / 2 + k (k + 1) (k + 2) / 6 letters; its last pair leaves the least loop. ``places`` keeps
-    the places of short lengths met before.
+    A stem is any part of at least ``STEM`` pairs of a stretch of paired places along a diagonal x + y. With k = L - STEM + 1, a stretch of L pairs has
+    k (k + 1) / 2 of them, which hold (STEM - 1) k (k + 1) / 2 + k (k + 1) (k + 2) / 6 letters; its last pair leaves the least loop. A diagonal of all
+    texts is a slice of their letters beside a slice of the same letters turned round; only starts of ``STEM`` pairs, which are few, are looked at by themselves.
     """
-    n = len(texts[0])
-    out = np.zeros((len(texts), 4), np.int64)
+    n, m = len(texts[0]), len(texts)
+    out = np.zeros((m, 4), np.int64)
     out[:, 3] = -1
     if n < 2 * STEM + LOOP:
         return out
-    base = np.pad(np.frombuffer("".join(texts).encode(), np.uint8).reshape(-1, n), ((0, 0), (0, 1)))
-    other = np.ones(256, np.uint8)  # no letter pairs with the pad
-    other[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
-    blocks = _blocks(n)
-    if places is not None and n <= SHORT:
-        blocks = places.setdefault(n, [])
-        if not blocks:
-            blocks.extend(_blocks(n))
-    loop = np.full(len(texts), n)
-    for x, y in blocks:
-        paired = (base[:, x] == other[base[:, y]]).ravel()
-        edge = np.flatnonzero(np.diff(paired.view(np.int8), prepend=0, append=0))
-        begin, end = edge[::2], edge[1::2]
-        long = end - begin >= STEM
-        row, last, k = begin[long] // len(x), (end[long] - 1) % len(x), (end - begin)[long] - STEM + 1
-        out[:, 0] += np.bincount(row, k * (k + 1) // 2, len(texts)).astype(np.int64)
-        out[:, 1] += np.bincount(row, (STEM - 1) * k * (k + 1) // 2 + k * (k + 1) * (k + 2) // 6, len(texts)).astype(np.int64)
+    number = np.full(256, 9, np.uint8)  # letters that pair come to 3
+    number[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+    base = np.ascontiguousarray(number[np.frombuffer("".join(texts).encode(), np.uint8).reshape(m, n)].T)
+    back = base[::-1].copy()
+    loop = np.full(m, n)
+    keys: list[np.ndarray] = []
+    held = 0
+
+    def count() -> None:
+        key = np.sort(np.concatenate(keys))  # by diagonal, text and place
+        edge = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+        k = np.diff(np.r_[edge, len(key)])
+        last = key[edge] + k - 1
+        total, row, x = last // (m * n), last // n % m, last % n + STEM - 1
+        out[:, 0] += np.bincount(row, k * (k + 1) // 2, m).astype(np.int64)
+        out[:, 1] += np.bincount(row, (STEM - 1) * k * (k + 1) // 2 + k * (k + 1) * (k + 2) // 6, m).astype(np.int64)
         np.maximum.at(out[:, 2], row, k + STEM - 1)
-        np.minimum.at(loop, row, y[last] - x[last] - 1)
+        np.minimum.at(loop, row, total - 2 * x - 1)
+        keys.clear()
+
+    for total in range(2 * STEM + LOOP - 1, 2 * n - 2 * STEM - LOOP):
+        low, high = max(0, total - n + 1), (total - LOOP - 1) // 2 + 1
+        paired = base[low:high] + back[n - 1 - total + low : n - 1 - total + high] == 3
+        size = len(paired) - STEM + 1
+        if size < 1:
+            continue
+        whole = paired[:size]
+        for i in range(1, STEM):
+            whole = whole & paired[i : i + size]
+        x, row = np.divmod(np.flatnonzero(whole), m)
+        if len(x):
+            keys.append((total * m + row) * n + low + x)
+            held += len(x)
+            if held >= PLACES_AT_ONCE:
+                count()
+                held = 0
+    if keys:
+        count()
     out[:, 3] = np.where(out[:, 0] > 0, loop, -1)
     return out
 
 
 def _stems(texts: list[str | None]) -> list[list[int | None]]:
-    places: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     out: list[list[int | None]] = [[None] * 4 for _ in texts]
     order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts[i]))
     begin = 0
     while begin < len(order):
         n = len(texts[order[begin]])
         stop = begin
-        while stop < len(order) and stop - begin < max(1, min(512, (1 << 22) // max(1, min(n * n // 4, PLACES_AT_ONCE)))) and len(texts[order[stop]]) == n:
+        while stop < len(order) and stop - begin < max(1, min(2048, PLACES_AT_ONCE // max(1, n))) and len(texts[order[stop]]) == n:
             stop += 1
-        for i, row in zip(order[begin:stop], stems_of([texts[i] for i in order[begin:stop]], places).tolist()):
+        for i, row in zip(order[begin:stop], stems_of([texts[i] for i in order[begin:stop]]).tolist()):
             out[i] = row
         begin = stop
     return out
@@ -171,9 +173,12 @@ def stem_burden_join(df: DataFrame, seq: str) -> DataFrame:
     return spread(df).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", " + _OUT)
 
 
-def features(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """The feature row of each distinct sequence of 24 letters or more: composition, runs, stems, adapter complementarity."""
-    own = stem_burden(spread(df), seq).withColumnsRenamed({"pairs": "own_pairs", "weighted": "own_weighted", "longest": "own_longest"}).drop("least_loop")
+def features(df: DataFrame, seq: str = "seq", dealt: bool = False) -> DataFrame:
+    """``df`` with the feature row of each sequence of 24 letters or more: composition, runs, stems, adapter complementarity; nulls for a null one.
+
+    Rows that are ``dealt`` over the cluster already are not dealt again.
+    """
+    own = stem_burden(df if dealt else spread(df), seq).withColumnsRenamed({"pairs": "own_pairs", "weighted": "own_weighted", "longest": "own_longest"}).drop("least_loop")
     full = own.withColumn("_full", F.concat(F.lit(S.LEFT_ADAPTER), F.col(seq), F.lit(S.RIGHT_ADAPTER)))
     full = stem_burden(full, "_full").withColumnsRenamed({"pairs": "full_pairs", "weighted": "full_weighted", "longest": "full_longest"}).drop("least_loop", "_full")
     out = {"gc_deviation": F.abs(S.gc_fraction(seq) - 0.5), "longest_run": S.longest_run(seq)}

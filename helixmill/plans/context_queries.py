@@ -68,8 +68,7 @@ def linear(prefix: str = "") -> Column:
 def scored_members(spark: SparkSession, d: str, models: DataFrame | None = None, namespace: str = NAMESPACE) -> DataFrame:
     """(record_id, pool, bits, choice, seq, score, features...): every member of every sample's fiber; null words and scores beyond the domain."""
     rows = T.generated(spark, d, "pool", "payload_rank", "bits").where("pool is not null and payload_rank is not null and bits is not null")
-    members = materialise(codec.candidates(spread(rows.select("record_id", "payload_rank", "bits")), Language(), namespace), "context-members")
-    wide = members.join(stems.features(members.where("seq is not null").select("seq").distinct()), "seq", "left").join(rows.select("record_id", "pool"), "record_id")
+    wide = stems.features(codec.candidates(spread(rows), Language(), namespace), dealt=True)  # each member is featured where it is made
     return wide.join(context_models(spark, d) if models is None else models, "pool", "left").withColumn("score", linear())
 
 

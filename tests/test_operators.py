@@ -80,6 +80,29 @@ def test_stem_join_stays_in_its_task_and_in_bounded_parts(spark, monkeypatch):
     assert [tuple(r) for part in stems._some(texts) for r in stems._joined(part)] == want
 
 
+def test_members_are_featured_where_they_are_made(spark, tmp_path):
+    from helixmill.plans import context_queries as context
+
+    rows = [(1, "Pool A", 2, "5"), (2, "pool a", 0, "6"), (3, None, 1, "7"), (4, "pool b", 1, None), (5, "pool b", 1, str(1 << 300)), (6, "pool b", 1, "7")]
+    wide = ["choice_index", "physical_rank", "gc_count", "max_homopolymer", "variable_candidate_pairs", "variable_weighted_pairs", "source_model_score", "cross_model_score", "rerank", "decoded_payload"]
+    df = spark.createDataFrame([(i, p, b, r) for i, p, b, r in rows], "record_id long, selector_source_pool string, selector_bits int, payload_rank string")
+    df = df.withColumns({c: F.lit(0) for c in wide} | {c: F.lit("x") for c in ("selector_model", "sequence", "sequence_sha256")})
+    df.write.parquet(str(tmp_path / "generated_selected_samples.parquet"))
+    models = spark.createDataFrame([(p, 1.0, 0.5, *[0.25 * i for i in range(len(context.FEATURES))]) for p in ("pool a", "pool b")], "pool string, alpha double, intercept double, " + ", ".join(f"b_{f} double" for f in context.FEATURES))
+    made = context.scored_members(spark, str(tmp_path), models, "n")
+    got = {(r["record_id"], r["choice"]): r for r in made.collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (5, 0), (5, 1), (6, 0), (6, 1)] and len(got) == made.count()
+    words = spark.createDataFrame([(r["seq"],) for r in got.values() if r["seq"]], "seq string").distinct()
+    want = {r["seq"]: r for r in stems.features(words).collect()}
+    for r in got.values():
+        assert (r["score"] is None) == (r["seq"] is None) == (r["record_id"] == 5)
+        if r["seq"]:
+            assert [r[f] for f in context.FEATURES] == [want[r["seq"]][f] for f in context.FEATURES]
+            assert math.isclose(r["score"], 0.5 + sum(0.25 * i * want[r["seq"]][f] for i, f in enumerate(context.FEATURES)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "context-members" not in plan  # with the models only
+
+
 def test_stem_functions_carry_their_code(tmp_path):
     import subprocess
     import sys
