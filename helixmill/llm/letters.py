@@ -37,9 +37,11 @@ def starts(offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the ``k`` bytes from each position on (the last ``k - 1`` positions are left out)."""
     n = max(len(data) - k + 1, 0)
+    one = data.astype(np.uint64) + np.uint64(1)
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = h * _BASE + data[i : i + n].astype(np.uint64) + np.uint64(1)
+        h *= _BASE
+        h += one[i : i + n]
     return h
 
 
@@ -49,26 +51,42 @@ def anchored(data: np.ndarray, offsets: np.ndarray, k: int, w: int, anchor: int)
     Every ``k + w - 1`` letters hold one: the place of their least hashed ``anchor``-letter substring, modulo ``w``. It depends on these letters alone, so
     two texts that share so long a stretch share a word, wherever the stretch stands.
     """
-    rows, at = starts(offsets, k + w - 1)
-    h = mix(rolling(data, anchor))
-    least, place = h[at], np.zeros(len(at), np.int64)
-    for i in range(1, k + w - anchor):
-        now = h[at + i]
-        less = now < least
-        least[less] = now[less]
-        place[less] = i
+    size = k + w - anchor
+    if size >= 64:
+        raise ValueError("places are kept in six bits")
+    n = len(data) - (k + w - 1) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # (hash, place) in one word, so that the least of all places is a few passes over windows of doubled length, and the first of equal ones wins
+    least = mix(rolling(data, anchor)) & ~np.uint64(63)
+    have, rest, done, parts = 1, least, 0, []
+    while True:
+        if size & have:
+            parts.append((done, rest))
+            done += have
+        if 2 * have > size:
+            break
+        rest = np.minimum(rest[:-have], rest[have:] + np.uint64(have))
+        have *= 2
+    out = parts[0][1][:n]
+    for shift, more in parts[1:]:
+        out = np.minimum(out, more[shift : shift + n] + np.uint64(shift))
     taken = np.zeros(len(data), bool)
-    taken[at + place % w] = True
+    _, at = starts(offsets, k + w - 1)
+    place = (out & np.uint64(63)).astype(np.uint8) % np.uint8(w)
+    taken[at + place[at]] = True
     chosen = np.flatnonzero(taken)
-    return np.searchsorted(offsets, chosen, "right") - 1, chosen
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[chosen], chosen
 
 
 def codes6(data: np.ndarray) -> np.ndarray:
     """Exact 30-bit codes of the 6-letter substrings of A to Z from each position on."""
     n = max(len(data) - 5, 0)
+    one = (data & 31).astype(np.int64)
     c = np.zeros(n, np.int64)
     for i in range(6):
-        c = c * 32 + (data[i : i + n].astype(np.int64) & 31)
+        c <<= 5
+        c |= one[i : i + n]
     return c
 
 
@@ -99,6 +117,16 @@ def bit_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(seen, axis=1).view(np.uint64), other
 
 
+def class_sets(data: np.ndarray, offsets: np.ndarray, classes: int) -> np.ndarray:
+    """Bit sets (rows x words) of the classes of the 6-letter substrings of texts over any letters; equal substrings have one class."""
+    rows, at = starts(offsets, 6)
+    spread = (codes6(data).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+    number = ((spread ^ (spread >> np.uint64(15))) * np.uint64(classes)) >> np.uint64(32)
+    seen = np.zeros((len(offsets) - 1, classes), bool)
+    seen.ravel()[rows * classes + number[at].astype(np.int64)] = True
+    return np.packbits(seen, axis=1).view(np.uint64)
+
+
 def may_share(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
     """False only for pairs whose similarity is surely under ``least``: from sets of 1,024 shingle classes instead of shingles.
 
@@ -142,18 +170,29 @@ def jaccard6(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def close_matrix(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
     """For every text of ``left`` against every one of ``right``: is the similarity of their shingle sets ``least`` or more?"""
-    (x, xo), (y, yo) = bit_sets(*flat(left)), bit_sets(*flat(right))
+    (xd, xs), (yd, ys) = flat(left), flat(right)
+    (x, xo), (y, yo) = bit_sets(xd, xs), bit_sets(yd, ys)
     nx, ny = np.bitwise_count(x).sum(axis=1), np.bitwise_count(y).sum(axis=1)
+    # Sets of classes first, of which dissimilar texts differ in more than similar ones may: an eighth of the words.
+    p, q = class_sets(xd, xs, 512), np.ascontiguousarray(class_sets(yd, ys, 512).T)
+    mx, my = np.maximum(np.diff(xs) - 5, 0), np.maximum(np.diff(ys) - 5, 0)
     out = np.zeros((len(left), len(right)), bool)
+    others: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(len(left)):
-        common = np.bitwise_count(x[i] & y).sum(axis=1)
-        out[i] = (common > 0) & (common >= least * (nx[i] + ny - common))
-    for i in np.flatnonzero(xo):
-        common, union = _jaccard6_any(left.take(pa.array(np.full(len(right), i))), right)
-        out[i] = (common > 0) & (common >= least * union)
-    for j in np.flatnonzero(yo):
-        common, union = _jaccard6_any(left, right.take(pa.array(np.full(len(left), j))))
-        out[:, j] = (common > 0) & (common >= least * union)
+        differ = np.zeros(len(right), np.uint16)
+        for w in range(len(q)):
+            differ += np.bitwise_count(p[i, w] ^ q[w])
+        j = np.flatnonzero(differ * (1 + least) <= (1 - least) * (mx[i] + my))
+        other = yo[j] | xo[i]
+        others.append((np.full(other.sum(), i), j[other]))
+        j = j[~other]
+        common = np.bitwise_count(x[i] & y[j]).sum(axis=1)
+        out[i, j] = (common > 0) & (common >= least * (nx[i] + ny[j] - common))
+    i, j = (np.concatenate(c) for c in zip(*others)) if others else (np.zeros(0, np.int64),) * 2
+    for begin in range(0, len(i), 4096):
+        a, b = i[begin : begin + 4096], j[begin : begin + 4096]
+        common, union = _jaccard6_any(left.take(pa.array(a)), right.take(pa.array(b)))
+        out[a, b] = (common > 0) & (common >= least * union)
     return out
 
 

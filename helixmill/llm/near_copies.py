@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from helixmill.functions.names import normal_sequence
 from helixmill.llm import hamming
 from helixmill.llm.letters import anchored, close_matrix, codes6, flat, jaccard6, may_share, mix, rolling, starts
+from helixmill.llm.stretches import stretch_pairs
 from helixmill.sources import materialise, table
 
 SHINGLE = 6
 THRESHOLD = 0.5
-#: First index: the 13-letter words at anchors; every stretch of 15 letters holds one.
-WORD, WINDOW, ANCHOR, CAP = 13, 3, 4, 64
-#: Runs of the first index of up to this many rows are compared exhaustively; rows under longer ones go to the second index.
-MIDDLE = 1024
+#: First index: the 13-letter words at anchors; every stretch of 15 letters holds one, with two neighbours left, one on either side, or two right.
+WORD, WINDOW, ANCHOR = 13, 3, 4
+STRETCHES = (0o7700, 0o0770, 0o0077)
+#: Runs of rows with one stretch are compared exhaustively up to ``MIDDLE`` rows (those of up to ``CAP`` many at a time); rows under longer ones go to the second index.
+CAP, MIDDLE = 64, 1024
 #: Second index, for short sequences and for rows under hot keys: 48 symbols, least hashes of all 6-letter substrings under as many
 #: functions; pairs that agree in 3 of 6 symbols of one of 8 chunks (so all that differ in at most 31).
 FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
@@ -26,7 +28,7 @@ FINE_SYMBOLS, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP = 48, 8, 31, 500
 TAG_SYMBOLS, TAG_DISTANCE = 64, 46
 #: Texts in a block where a run of over ``FINE_CAP`` rows is compared exhaustively.
 BLOCK = 4096
-#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a key of over ``MIDDLE`` rows in the first.
+#: Sequences with fewer 6-letter substrings go to the second index too, as does every row with a stretch of over ``MIDDLE`` rows in the first.
 SHORT = 100
 
 
@@ -52,7 +54,7 @@ def stretch_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
 def same_stretch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Do two rows with an equal word share one of the three stretches of 15 letters around it? True for all that do."""
     differ = x ^ y
-    return (differ & 0o0077 == 0) | (differ & 0o0770 == 0) | (differ & 0o7700 == 0)
+    return np.logical_or.reduce([differ & mask == 0 for mask in STRETCHES])
 
 
 def shingle_signature(texts: pa.Array) -> np.ndarray:
@@ -80,22 +82,18 @@ def similar_pairs(classes: DataFrame) -> DataFrame:
 
     Empty texts and those under 6 letters have no shingles and never pair. An empty table gives an empty result.
     """
-    first = materialise(hamming.run_pairs(hamming.keyed_rows(classes, stretch_keys, CAP, 1), CAP, same_stretch), "p1-first")
-    hot = materialise(classes.join(first.where("b is null").select(F.col("a").alias("id")).distinct(), "id", "left_semi"), "p1-hot")
-    runs = hamming.keyed_rows(hot, stretch_keys, 1 << 40, 1).select("key", "id").distinct()
-    size = runs.groupBy("key").count()
+    first = stretch_pairs(classes, stretch_keys, STRETCHES, MIDDLE, CAP, THRESHOLD)
+    hotter = first.where("b is null").select(F.col("a").alias("id")).distinct()
     close = lambda x, y: close_matrix(x, y, THRESHOLD)
-    middle = hamming.block_pairs(runs.join(size.where(F.col("count") <= MIDDLE), "key").select("key", "id"), hot, MIDDLE, close, CAP)
-    hotter = runs.join(size.where(F.col("count") > MIDDLE), "key").select("id").distinct()
     short = F.length("text") - SHINGLE + 1 < SHORT
-    fine = materialise(classes.where(short).unionByName(hot.where(~short).join(hotter, "id", "left_semi")), "p1-fine")
+    fine = materialise(classes.where(short).unionByName(classes.where(~short).join(hotter, "id", "left_semi")), "p1-fine")
     tagged = hamming.index_rows(fine, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, FINE_CAP, FINE_SYMBOLS, TAG_SYMBOLS // 16)
     again = materialise(hamming.run_pairs(tagged, FINE_CAP, hamming.within_distance(TAG_SYMBOLS, TAG_DISTANCE)), "p1-second")
     left = again.where("b is null").select(F.col("a").alias("id")).distinct()
     long = fine.join(left, "id", "left_semi")
     keys = hamming.index_rows(long, shingle_signature, FINE_CHUNKS, FINE_DISTANCE, 1 << 40, FINE_SYMBOLS).select("key", "id")
     rest = hamming.block_pairs(keys, long, BLOCK, close, FINE_CAP)
-    pairs = first.where("b is not null").unionByName(again.where("b is not null")).unionByName(middle).unionByName(rest).distinct()
+    pairs = first.where("b is not null").unionByName(again.where("b is not null")).unionByName(rest).distinct()
     both = pairs.join(classes.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches):

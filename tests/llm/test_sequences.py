@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from helixmill.llm import hamming, near_copies, overlaps, stable_sample, suffixes
+from helixmill.llm import hamming, letters, near_copies, overlaps, stable_sample, stretches, suffixes
 from helixmill.llm.letters import anchored, close_matrix, jaccard6, may_share
 
 
@@ -120,6 +120,44 @@ def test_a_family_of_near_copies_loses_no_pair(spark):
     assert pairs_of(spark, rows) == want and len(want) > 4000
 
 
+def test_texts_that_share_a_stretch_by_chance_are_no_candidates(spark):
+    rng = random.Random(6)
+    word = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    same = [word(15) for _ in range(5)]
+    texts = [word(46) + same[i % 5] + word(46 + i % 3) for i in range(600)]
+    texts += [changed(rng, t, 3) for t in texts[:100]] + [word(300, "AN"), "A" * 400, word(20), "", "ACG"]
+    rows = list(enumerate(texts, 1))
+    df = spark.createDataFrame(rows, "id long, text string")
+    for middle, hot in ((1024, 0), (64, 500)):  # runs of some 120 rows
+        got = [tuple(r) for r in stretches.stretch_pairs(df, near_copies.stretch_keys, near_copies.STRETCHES, middle, 32, 0.5).distinct().collect()]
+        pairs, want = {p for p in got if p[1] is not None}, {p for p in all_similar(rows) if min(len(texts[i - 1]) for i in p) >= 100}
+        assert want <= pairs and len(want) >= 95 and len(pairs - want) < 100  # 40,000 pairs share a stretch
+        assert len(got) - len(pairs) >= hot and (hot or len(got) == len(pairs))
+
+
+def test_matrices_of_ambiguous_texts_compare_only_what_may_be_similar(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(108)) for _ in range(40)]
+    texts += [changed(rng, t, n % 9) for n, t in enumerate(texts)]
+    compared = []
+    slow = letters._jaccard6_any
+    monkeypatch.setattr(letters, "_jaccard6_any", lambda x, y: compared.append(len(x)) or slow(x, y))
+    out = close_matrix(pa.array(texts), pa.array(texts), 0.5)
+    assert [[bool(v) for v in r] for r in out] == [[similar(a, b) for b in texts] for a in texts]
+    assert sum(compared) < 400
+
+
+def test_turns_and_parts_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACGT") for _ in range(108)) for _ in range(20)]
+    rows = [(i, changed(rng, base[i % 20], rng.randint(1, 4))) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for name, value in (("TURN", 60), ("PACK", 7), ("PAIRS", 50)):
+        monkeypatch.setattr(stretches, name, value)
+    got = {tuple(r) for r in stretches.stretch_pairs(df, near_copies.stretch_keys, near_copies.STRETCHES, 1024, 4, 0.5).collect()}
+    assert all_similar(rows) <= got and len(got) > 800
+
+
 def test_every_stretch_of_fifteen_letters_shares_a_word():
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
