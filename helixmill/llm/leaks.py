@@ -4,8 +4,8 @@ Texts become words of their plain text, and words of the held-out items become n
 words; its TF-IDF vector counts the held-out vocabulary, weighted over all documents. A randomised SVD of the documents'
 passages gives the latent space: each task multiplies its passages with a random matrix and back, Spark sums the products by
 word, and the driver keeps matrices of vocabulary times ``RANK``, bounded by the held-out words searched at a time. A window of ten document
-words is a candidate for a held-out window if the signs of their latent vectors on random planes agree and their cosine is
-high. Each word has its direction in the latent space, whatever its frequency, and a length by its document frequency. These vectors are whole
+words is a candidate for a held-out window if the signs of their latent vectors on random planes and a digest of these vectors
+agree and their cosine is high. Each word has its direction in the latent space, whatever its frequency, and a length by its document frequency. These vectors are whole
 numbers, so that windows of equal words have exactly equal vectors, and none is lost. Candidates are then checked word by word.
 
 Held-out items are searched in blocks of a bounded number of words; what tasks need of a block is broadcast once.
@@ -189,6 +189,14 @@ def _signs(latent: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return ((latent @ planes) > 0) @ (1 << np.arange(planes.shape[1]))
 
 
+def _keys(latent: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The signs, and under them a digest of the whole-number vector: equal vectors have equal keys, others hardly ever."""
+    bits = 63 - planes.shape[1]
+    factors = np.random.default_rng(SEED + 3).integers(0, 1 << 64, latent.shape[1], np.uint64) | np.uint64(1)
+    digest = (latent.view(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+    return _signs(latent, planes) << bits | (digest >> np.uint64(64 - bits)).view(np.int64)
+
+
 def _unit(latent: np.ndarray) -> np.ndarray:
     return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
@@ -196,7 +204,7 @@ def _unit(latent: np.ndarray) -> np.ndarray:
 def _candidates(latent: np.ndarray, code: np.ndarray, order: np.ndarray, codes: np.ndarray, units: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window, held-out window) with equal codes and a cosine of at least ``cosine``, in parts of ``PAIRS_AT_ONCE`` pairs of equal codes.
 
-    Common words point the same way, so hundreds of held-out windows may share a code, and a code's pairs have no bound.
+    Many held-out windows may share a code, and a code's pairs have no bound.
     """
     lo = np.searchsorted(codes, code, "left")
     upto = np.cumsum(np.searchsorted(codes, code, "right") - lo)
@@ -213,11 +221,13 @@ def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
     """(doc_id, item_id) of documents that hold at least ten consecutive words of an item.
 
     Items of fewer words are never found; a document counts once for an item, however often it holds its words.
+    Common words point the same way, so hundreds of held-out windows share their signs. Only equal words count here, so windows meet
+    under equal vectors at once.
     """
     runs, of = held.windows(WIDTH)
     planes = np.random.default_rng(SEED + 1).standard_normal((vectors.shape[1], PLANES))
     latent = vectors[runs].sum(axis=1)
-    codes = _signs(latent, planes)
+    codes = _keys(latent, planes)
     order = np.argsort(codes, kind="stable")
     block = numbers.sparkSession.sparkContext.broadcast((runs, of, order, codes[order], _unit(latent), np.array(held.ids, np.int64), vectors))
 
@@ -230,12 +240,13 @@ def leaked(numbers: DataFrame, held: HeldOut, vectors: np.ndarray) -> DataFrame:
                 continue
             good = np.r_[0, np.cumsum(words > 0)]
             at = np.flatnonzero((good[WIDTH:] - good[:n] == WIDTH) & (rows[:n] == rows[WIDTH - 1 :]))
-            sums = np.zeros((len(words) + 1, vectors.shape[1]), np.int64)
-            np.cumsum(vectors[words], axis=0, out=sums[1:])
+            known = words[words > 0]  # a window of held-out words is a run of these
+            sums = np.zeros((len(known) + 1, vectors.shape[1]), np.int64)
+            np.cumsum(vectors[known], axis=0, out=sums[1:])
             doc, item = [], []
             for part in np.array_split(at, len(at) // 50_000 + 1):
-                own = sums[part + WIDTH] - sums[part]
-                for window, place in _candidates(own, _signs(own, planes), order, codes, units, COSINE):
+                own = sums[good[part] + WIDTH] - sums[good[part]]
+                for window, place in _candidates(own, _keys(own, planes), order, codes, units, COSINE):
                     same = (words[part[window][:, None] + np.arange(WIDTH)] == runs[place]).all(axis=1)
                     doc.append(ids[rows[part[window[same]]]])
                     item.append(items[of[place[same]]])

@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,42 @@ def test_leak_candidates_come_in_bounded_parts(monkeypatch):
     assert sorted((int(i), int(j)) for w, p in parts for i, j in zip(w, p)) == sorted(want)
 
 
+def test_leaks_compare_windows_of_equal_vectors_only(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = 1000 + rng.integers(-20, 21, (41, 16))  # common words: all point the same way, so all windows share their signs
+    vectors[0] = 0
+    held = leaks.HeldOut([], [])
+    held.ids, held.words = list(range(20)), [rng.integers(1, 41, 30) for _ in range(20)]
+    moved = held.words[3][2:12][::-1]  # an equal vector, but other words
+    lists = [*(np.r_[0, rng.integers(1, 41, 40), 0, held.words[i][5:16], 0] for i in range(20)), np.r_[0, moved, 0], np.r_[held.words[0][:6], 0, held.words[0][6:12]], [], [0] * 12]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(lists))), pa.array([list(x) for x in lists], pa.list_(pa.int32()))], ["doc_id", "words"])
+    compared, candidates = [], leaks._candidates
+
+    def counted(latent, code, order, codes, units, cosine):
+        compared.append(int((np.searchsorted(codes, code, "right") - np.searchsorted(codes, code, "left")).sum()))
+        return candidates(latent, code, order, codes, units, cosine)
+
+    class Here:
+        """Runs the search in this process."""
+
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, run, schema):
+            self.found = [b for b in run(iter([batch]))]
+            return self
+
+        def distinct(self):
+            return [pair for b in self.found for pair in zip(*(c.to_pylist() for c in b.columns))]
+
+    monkeypatch.setattr(leaks, "_candidates", counted)
+    got = leaks.leaked(Here(), held, vectors)
+    assert sorted(got) == [(100 + i, i) for i in range(20)]
+    runs, _ = held.windows(10)
+    theirs = vectors[runs].sum(axis=1)
+    own = [vectors[x[k : k + 10]].sum(axis=0) for x in map(np.array, lists) for k in range(len(x) - 9) if (x[k : k + 10] > 0).all()]
+    assert sum(compared) == sum(int((theirs == v).all(axis=1).sum()) for v in own) < 60
+
+
 def test_pieces_hold_whole_documents_and_few_words(monkeypatch):
     monkeypatch.setattr(leaks, "WORDS_AT_ONCE", 10)
     lists = [[1] * n for n in (4, 6, 1, 0, 25, 3)] + [None, [2] * 9]
