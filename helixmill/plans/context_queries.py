@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import sequence as S
 from helixmill.functions.language import Language
 from helixmill.functions.names import name_key
-from helixmill.operators import codec, ridge, stats, stems
+from helixmill.operators import codec, members, ridge, stats, stems
 from helixmill.plans import frames as T
 from helixmill.plans.registry import register
 from helixmill.sources import materialise, spread
@@ -32,9 +33,9 @@ def fold_of(seq: str, folds: int = FOLDS, seed: str = "fold") -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(seq)), 256), 1, 8), 16, 10).cast("long") % folds
 
 
-def _featured(spark: SparkSession, d: str) -> DataFrame:
+def _featured(spark: SparkSession, d: str, features: Callable[[DataFrame], DataFrame] = stems.features) -> DataFrame:
     rows = T.generated(spark, d, "pool", "seq", "score", "cross").where(F.col("pool").isNotNull() & S.is_dna("seq") & (F.length("seq") >= S.BOUNDARY) & S.finite("score"))
-    return materialise(rows.join(stems.features(rows.select("seq").distinct()), "seq"), "context-features")
+    return materialise(rows.join(features(rows.select("seq").distinct()), "seq"), "context-features")
 
 
 def _grams(rows: DataFrame) -> dict[str, list]:
@@ -50,14 +51,19 @@ def _of_model(grams: list[np.ndarray], features: list[str]) -> list[np.ndarray]:
     return [g[np.ix_(at, at)] for g in grams]
 
 
-def context_models(spark: SparkSession, d: str) -> DataFrame:
-    """(pool, alpha, intercept, b_feature...) of each pool's full context model of the delivered score, one row a pool."""
+def _fits(featured: DataFrame) -> list[tuple]:
+    """(pool, alpha, intercept, coefficients...) of each pool's full context model of the delivered score."""
     out = []
-    for pool, grams in _grams(_featured(spark, d)).items():
+    for pool, grams in _grams(featured).items():
         alpha = ridge.best_alpha(grams)
         intercept, beta = ridge.solve(sum(grams), alpha)
         out.append((pool, alpha, intercept, *map(float, beta)))
-    return spark.createDataFrame(out, "pool string, alpha double, intercept double, " + ", ".join(f"b_{f} double" for f in FEATURES))
+    return out
+
+
+def context_models(spark: SparkSession, d: str) -> DataFrame:
+    """(pool, alpha, intercept, b_feature...) of each pool's full context model of the delivered score, one row a pool."""
+    return spark.createDataFrame(_fits(_featured(spark, d)), "pool string, alpha double, intercept double, " + ", ".join(f"b_{f} double" for f in FEATURES))
 
 
 def linear(prefix: str = "") -> Column:
@@ -116,13 +122,11 @@ def generated_namespaces(spark: SparkSession, d: str) -> DataFrame:
 
     Each namespace sends the payloads to other words, so every one expands, features and scores all fibers anew under the same models.
     """
-    models, per = materialise(context_models(spark, d), "namespace-models"), None
-    for i in range(_NAMESPACES):
-        members = scored_members(spark, d, models, f"{NAMESPACE}-{i}").where("score is not null")
-        best = F.max_by("score", F.struct(S.score_key("score"), -F.col("choice")))
-        fibers = members.groupBy("record_id", "pool", "bits").agg((best - F.avg("score")).alias("gain"))
-        one = fibers.groupBy("pool", "bits").agg(F.avg("gain").alias("gain"), F.count("*").alias("fibers")).withColumn("namespace", F.lit(i))
-        per = one if per is None else per.unionByName(one)
+    rows = T.generated(spark, d, "pool", "payload_rank", "bits").where("pool is not null and payload_rank is not null and bits is not null")
+    records = rows.groupBy("record_id", "pool", "bits").agg(F.collect_list("payload_rank").alias("payloads"))
+    fits = {pool: [intercept, *beta] for pool, _, intercept, *beta in _fits(_featured(spark, d, lambda df: members.features(df, FEATURES)))}
+    parts = members.namespace_gains(spread(records), Language(), [f"{NAMESPACE}-{i}" for i in range(_NAMESPACES)], fits)
+    per = parts.groupBy("pool", "bits", "namespace").agg((F.sum("gain") / F.sum("fibers")).alias("gain"), F.sum("fibers").alias("fibers"))
     return per.groupBy("pool", "bits").agg(
         F.count("*").alias("namespaces"), F.sum("fibers").alias("fibers"), F.round(F.min("gain"), 12).alias("least"), F.round(F.percentile("gain", 0.5), 12).alias("median"), F.round(F.max("gain"), 12).alias("most"),
         F.count_if(F.col("gain") > 0).alias("positive"),
